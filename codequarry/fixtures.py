@@ -56,24 +56,26 @@ FILES = f"{CODE_FILES} UNION ALL {RICH_FILES}"
 # One question per part about one of the seven code projects.
 QUESTIONS = """SELECT CAST(p_partkey AS BIGINT) AS qid,
   concat('mod', CAST(p_partkey % 7 AS VARCHAR(9))) AS project,
-  replace(replace(replace(CASE p_partkey % 17
+  replace(replace(replace(CASE p_partkey % 19
     WHEN 0 THEN 'What does helper{k} do?'
-    WHEN 1 THEN 'how does load_item{j} work?'
-    WHEN 2 THEN 'Where is item{k}9 used?'
+    WHEN 1 THEN 'how does load_item{n} work?'
+    WHEN 2 THEN 'Where is helper{k} used?'
     WHEN 3 THEN 'where is view{j} defined?'
-    WHEN 4 THEN 'why does load_item{k} fail'
+    WHEN 4 THEN 'Why does view{n} '
     WHEN 5 THEN 'list all functions'
     WHEN 6 THEN 'list all classes?'
     WHEN 7 THEN 'list all files'
     WHEN 8 THEN 'please list all imports'
     WHEN 9 THEN 'explain secret'
-    WHEN 10 THEN 'compare item{j} with item1{j}'
+    WHEN 10 THEN 'compare item{j} with view{n}'
     WHEN 11 THEN 'hello there'
     WHEN 12 THEN 'what is unit{k}?'
     WHEN 13 THEN 'what is {n}00?'
     WHEN 14 THEN 'where is hashlib used?'
-    WHEN 15 THEN 'compare helper{j} and load_item{j}'
-    ELSE 'why is item{j} here' END,
+    WHEN 15 THEN 'compare helper{n} and load_item1'
+    WHEN 16 THEN 'compare unit{n} to unit1{n}'
+    WHEN 17 THEN 'explain query'
+    ELSE 'why is item{n}?' END,
     '{k}', CAST(p_partkey AS VARCHAR(9))), '{j}', CAST((p_partkey * 6) % 300 AS VARCHAR(9))),
     '{n}', CAST(p_size AS VARCHAR(9))) AS text
 FROM part"""
