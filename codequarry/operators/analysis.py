@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.functions import text as X
+from codequarry.functions.memo import per_context
 from codequarry.operators import findings as N
 from codequarry.operators import metrics as M
 from codequarry.operators import structure as S
@@ -18,9 +19,16 @@ def analyse_files(files: DataFrame, python_mode: str = "exact",
     Purely per row: no shuffle, and a consumer that reads few columns has the
     other ones pruned away. ``content`` stays available for search.
     """
+    out = S.with_elements(files.where("content <> ''"), python_mode, extra_languages)
+    for step in _metric_columns():
+        out = out.withColumns(step)
+    return out
+
+
+@per_context
+def _metric_columns() -> list[dict[str, Column]]:
     content = F.col("content")
-    out = S.with_elements(files.where(content != ""), python_mode, extra_languages)
-    out = out.withColumns({
+    return [{
         "ext": F.ltrim(F.regexp_extract("path", "[^/.][^/]*(\\.[^/.]*)\\z", 1), F.lit(".")),
         "size": M.size_bytes(content),
         "line_count": X.line_count(content).cast("int"),
@@ -30,14 +38,13 @@ def analyse_files(files: DataFrame, python_mode: str = "exact",
         "code_smells": N.code_smells(content, F.col("wide_functions")),
         "security_issues": N.security_issues(content),
         "short_names": M.has_short_variable(content),
-    })
-    out = out.withColumn("comment_ratio", M.comment_ratio(F.col("comment_count"),
-                                                          F.col("line_count")))
-    return out.withColumns({
+    }, {
+        "comment_ratio": M.comment_ratio(F.col("comment_count"), F.col("line_count")),
+    }, {
         "quality_score": N.quality_score(F.col("code_smells"), F.col("security_issues"),
                                          F.col("complexity.cyclomatic")),
         "suggestions": N.suggestions(F.col("code_smells"), F.col("security_issues"),
                                      F.col("complexity.rating"), F.col("short_names")),
         "summary": M.summary_text(F.col("language"), F.col("elements"), F.col("line_count"),
                                   F.col("comment_ratio")),
-    })
+    }]

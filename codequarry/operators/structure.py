@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from codequarry import catalog as C
 from codequarry.functions import text as X
+from codequarry.functions.memo import per_context
 from codequarry.functions.pyfacts import ELEMENT, python_facts
 
 _ELEMENTS = f"array<{ELEMENT}>"
@@ -266,12 +267,21 @@ def with_elements(files: DataFrame, python_mode: str = "exact",
     parser; a Python file it rejects falls back to the generic rules. "native" stays
     in the JVM.
     """
+    extra = tuple(sorted((extra_languages or {}).items()))
+    out = files
+    for step in _element_columns(python_mode, extra):
+        out = out.withColumns(step)
+    return out.drop("facts", "rules")
+
+
+@per_context
+def _element_columns(python_mode: str, extra: tuple) -> list[dict[str, Column]]:
     content, rules = F.col("content"), F.col("rules")
-    out = files.withColumn("language", language_of(F.col("path"), extra_languages))
-    out = out.withColumn("rules", rule_set(F.col("language")))
+    steps = [{"language": language_of(F.col("path"), dict(extra))},
+             {"rules": rule_set(F.col("language"))}]
     if python_mode == "exact":
         parse = (rules == "python") | content.rlike("(?U)(^|\\W)def[\\s\\\\]")
-        out = out.withColumn("facts", python_facts(F.when(parse, content)))
+        steps.append({"facts": python_facts(F.when(parse, content))})
         python = F.when(F.col("facts.ok"), F.col("facts.elements")).otherwise(
             generic_elements(content))
         wide, parsed = F.col("facts.wide"), F.when(rules == "python", F.col("facts.ok"))
@@ -279,7 +289,7 @@ def with_elements(files: DataFrame, python_mode: str = "exact",
         python = native_python_elements(content)
         wide = F.when(rules == "python", native_wide_functions(content))
         parsed = F.lit(None).cast("boolean")
-    out = out.withColumns({
+    steps.append({
         "parse_ok": parsed,
         "wide_functions": F.coalesce(
             wide, F.array().cast("array<struct<line:int,name:string,args:int>>")),
@@ -287,7 +297,7 @@ def with_elements(files: DataFrame, python_mode: str = "exact",
         .when(rules == "javascript", javascript_elements(content))
         .when(rules == "java", java_elements(content))
         .otherwise(generic_elements(content)).cast(_ELEMENTS)})
-    return out.drop("facts", "rules")
+    return steps
 
 
 def names_of(elements: Column, kind: str) -> Column:
