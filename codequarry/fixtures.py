@@ -32,7 +32,7 @@ CODE_FILES = f"""SELECT split_part(path, '/', 1) AS project, path, content FROM
 # includes, files at the project root.
 _RICH_BODY = """CASE p_partkey % 8
       WHEN 0 THEN 'import os.path as p, sys~from . import core{j}~from .shapes import (~    Shape{j} as S,~    area,~)~~first = second = {n}~count: int = 3~count += 1~~class Shape{k}(Shape{j}, Shape{m}, abc.ABC):~    limit = 5~    def area(self, a, b, c, d, e):~        return a~    if limit:~        def grow(self):~            return 1~    async def later(self):~        pass~    def name(self):~        def inner(x, y):~            return x~        return inner~'
-      WHEN 1 THEN '~class Tool{m}:~    def run(self): pass~~def outer{k}(first, *rest, key=None, **more):~    for item in rest:~        if item:~            def deep(z): return z~    return first~~total{k} = outer{k}(~    1,~    2)~'
+      WHEN 1 THEN '~\"\"\"Notes on {nm}~def fake(a): pass~class Fake: pass~import nothing~\"\"\"~class Tool{m}:~    def run(self): pass~~def outer{k}(first, *rest, key=None, **more):~    for item in rest:~        if item:~            def deep(z): return z~    return first~~total{k} = outer{k}(~    1,~    2)~'
       WHEN 2 THEN 'import React, { Component } from ^react^;~import ^./style{j}.css^;~const List{k} = (props) => {~  return null;~};~export default class Panel{m} extends Component {~}~var helper{k} = function(a) { return a; };~const api = { load{k}: function(x) { return x; } };~'
       WHEN 3 THEN '#include <mod{j}.h>~using std{m};~struct Node{k} {~  int id;~};~// {nm}~* star line~fn walk{k}~size = 4~size == 4~procedure step{m}()~'
       WHEN 4 THEN 'def broken(:~    pass~import os~class Half{k}~x = 1~'
@@ -53,6 +53,38 @@ RICH_FILES = f"""SELECT concat('team', CAST(p_partkey % 3 AS VARCHAR(9))) AS pro
 
 FILES = f"{CODE_FILES} UNION ALL {RICH_FILES}"
 
+# Uploads of assorted type and size per source.
+UPLOADS = """SELECT source AS project, doc_id AS ord, CAST(n_chars * 900 AS BIGINT) AS size,
+  concat('file', CAST(doc_id AS VARCHAR(12)), CASE doc_id % 6 WHEN 0 THEN '.py' WHEN 1 THEN '.JS'
+    WHEN 2 THEN '.txt' WHEN 3 THEN '' WHEN 4 THEN '.tar.rb' ELSE '.go' END) AS name
+FROM documents"""
+
+# Paths asked for: exact, shortened, lengthened and unknown.
+PATH_REQUESTS = """SELECT DISTINCT concat('mod', CAST(p_partkey % 7 AS VARCHAR(9))) AS project,
+  CASE p_partkey % 5
+    WHEN 0 THEN concat('mod', CAST(p_partkey % 7 AS VARCHAR(9)), '/unit', CAST(p_partkey AS VARCHAR(9)), '.py')
+    WHEN 1 THEN concat('unit', CAST(p_partkey AS VARCHAR(9)), '.js')
+    WHEN 2 THEN concat('/srv/mod', CAST(p_partkey % 7 AS VARCHAR(9)), '/unit', CAST(p_partkey AS VARCHAR(9)), '.java')
+    WHEN 3 THEN concat(CAST(p_partkey % 50 AS VARCHAR(9)), '.go')
+    ELSE concat('missing', CAST(p_partkey AS VARCHAR(9)), '.c') END AS request
+FROM part"""
+
+# Lines asked for: a file name and a line number.
+LINE_REQUESTS = """SELECT CAST(p_partkey AS BIGINT) AS qid,
+  concat('mod', CAST(p_partkey % 7 AS VARCHAR(9))) AS project,
+  concat('unit', CAST(p_partkey AS VARCHAR(9)), CASE p_partkey % 9 WHEN 8 THEN '.zip' ELSE '.' END) AS file_name,
+  CAST(p_partkey % 15 AS INT) AS line
+FROM part"""
+
+# All projects, two of them without any file.
+PROJECTS = "SELECT DISTINCT concat('mod', CAST(p_partkey % 9 AS VARCHAR(9))) AS project FROM part"
+
+# Insights stored for some files, and the parts a reviewer replaces.
+STORED = """SELECT DISTINCT concat('mod', CAST(p_partkey % 7 AS VARCHAR(9))) AS project,
+  concat('mod', CAST(p_partkey % 7 AS VARCHAR(9)), '/unit', CAST(p_partkey AS VARCHAR(9)), '.go') AS path,
+  CAST(p_size AS INT) AS quality_score
+FROM part"""
+
 # One question per part about one of the seven code projects.
 QUESTIONS = """SELECT CAST(p_partkey AS BIGINT) AS qid,
   concat('mod', CAST(p_partkey % 7 AS VARCHAR(9))) AS project,
