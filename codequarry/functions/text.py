@@ -46,6 +46,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def each(items: Column | str) -> Column:
+    """A computed array as the input of a generator.
+
+    Over a bare column Spark infers a size filter and pushes it below the projection
+    that computes the array, working the array out twice; over this it does not.
+    """
+    return F.coalesce(items, F.array())
+
+
 def matches(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 

@@ -16,6 +16,7 @@ from codequarry.operators import metrics as M
 from codequarry.operators.copies import matcher_ratio, shingle_overlap
 from codequarry.operators.rollup import top_k
 from codequarry.operators.search import content_hits, substring_pairs, word_hits
+from codequarry.plans.stage import stage
 
 _SUBJECT_GROUP = {"what": 2, "how": 2, "where": 1, "why": 2, "list": 1, "explain": 1, "compare": 1}
 _ANCHORED = ("what", "how", "where")
@@ -178,7 +179,8 @@ def what_is(routed: DataFrame, analysed: DataFrame, files: DataFrame) -> DataFra
             "project", "subject",
             F.when(F.col("type") == "file", F.col("file_answer"))
             .otherwise(_describe_element()).alias("answer"))
-    rest = subjects.join(best.select("project", "subject"), ["project", "subject"], "left_anti")
+    rest = stage(subjects.join(best.select("project", "subject"), ["project", "subject"],
+                               "left_anti"))
     answers = described.unionByName(describe_concepts(rest, files)[0].drop("n_refs"))
     return asked.join(answers, ["project", "subject"]).select("qid", "answer")
 
@@ -344,12 +346,20 @@ def first_mentions(files: DataFrame, subjects: DataFrame, before: int, after: in
     """First line of each file that holds the subject, with its surroundings."""
     hits = content_hits(files, subjects.select("project", F.col("subject").alias("needle")))
     rows = hits.withColumnRenamed("needle", "subject").join(files, ["project", "path"])
-    rows = rows.withColumn("lines", F.split("content", "\n", -1)).withColumn(
-        "at", F.array_position(F.transform(
-            "lines", lambda l: F.contains(F.lower(l), F.col("subject"))), True).cast("int") - 1)
-    return rows.where("at >= 0").select(
-        "project", "subject", "path", (F.col("at") + 1).alias("line"),
-        M.context_window(F.col("lines"), F.col("at"), before, after).alias("context"))
+    return rows.select("project", "subject", "path", F.inline(
+        first_mention(F.col("content"), F.col("subject"), before, after)))
+
+
+def first_mention(content: Column, subject: Column, before: int, after: int) -> Column:
+    """array<struct<line, context>>: one entry, or none where no single line holds it."""
+    def found(lines: Column) -> Column:
+        at = F.array_position(F.transform(
+            lines, lambda l: F.contains(F.lower(l), subject)), True).cast("int") - 1
+        return X.let(at, lambda i: F.filter(
+            F.array(F.struct((i + 1).alias("line"), M.context_window(
+                lines, i, before, after).alias("context"))), lambda m: m.line > 0))
+
+    return X.let(F.split(content, "\n", -1), found)
 
 
 def describe_concepts(subjects: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -384,12 +394,8 @@ def explain_topics(subjects: DataFrame, files: DataFrame) -> tuple[DataFrame, Da
     needles = subjects.select("project", F.col("subject").alias("needle"))
     hits = top_k(content_hits(files, needles), ["project", "needle"], [F.asc("path")], 3, "ref_no")
     rows = hits.withColumnRenamed("needle", "subject").join(files, ["project", "path"])
-    rows = rows.withColumn("lines", F.split("content", "\n", -1)).withColumn(
-        "at", F.array_position(F.transform(
-            "lines", lambda l: F.contains(F.lower(l), F.col("subject"))), True).cast("int") - 1)
-    refs = rows.select("project", "subject", "ref_no", "path", "at", M.context_window(
-        F.col("lines"), F.col("at"), 5, 5).alias("context")).where("at >= 0").withColumn(
-            "line", F.col("at") + 1).drop("at")
+    refs = rows.select("project", "subject", "ref_no", "path", F.inline(
+        first_mention(F.col("content"), F.col("subject"), 5, 5)))
     held = F.lower("context")
     clue = refs.groupBy("project", "subject").agg(
         F.count("*").alias("n"), F.bool_or(F.contains(held, F.lit("class"))).alias("cls"),

@@ -81,7 +81,7 @@ def finding_rows(analysed: DataFrame) -> DataFrame:
 
 def security_report(analysed: DataFrame, grades: DataFrame | None = None) -> DataFrame:
     """Scanner-shaped report; ``grades(type, severity, confidence)`` may grade rules."""
-    rows = analysed.select("project", "path", F.inline("security_issues"))
+    rows = analysed.select("project", "path", F.inline(X.each("security_issues")))
     if grades is None:
         severity, confidence = F.col("severity"), F.lit(None).cast("string")
     else:

@@ -122,7 +122,7 @@ def basic_summary(projects: DataFrame, analysed: DataFrame) -> DataFrame:
 
 def project_concepts(analysed: DataFrame, k: int = C.TOP_CONCEPTS) -> DataFrame:
     """Top words of a project from the top words of its files."""
-    rows = analysed.select("project", "path", F.posexplode("concepts").alias("pos", "c"))
+    rows = analysed.select("project", "path", F.posexplode(X.each("concepts")).alias("pos", "c"))
     counted = rows.groupBy("project", F.col("c.word").alias("word")).agg(
         F.sum("c.cnt").alias("cnt"), F.min(F.struct("path", "pos")).alias("first"))
     return top_k(counted, ["project"], [F.desc("cnt"), F.asc("first")], k).drop("first")

@@ -115,7 +115,9 @@ def similar_classes(classes: DataFrame, above: float = C.SIMILAR_ABOVE,
                          F.col("weights").alias("v1"))
     two = classes.select("project", F.col("sig").alias("sig2"), F.col("ranks").alias("r2"),
                          F.col("weights").alias("v2"))
-    dot = arrow_udf(_dot, "double")
+    # Non-deterministic only to the planner: the threshold is then tested on the scored
+    # column and the product is not worked out a second time below it.
+    dot = arrow_udf(_dot, "double").asNondeterministic()
     scored = candidates.join(one, ["project", "sig1"]).join(two, ["project", "sig2"]).select(
         "project", "sig1", "sig2", F.round(dot("r1", "v1", "r2", "v2"), 9).alias("score"))
     return scored.where((F.col("score") > above) & (F.col("score") < below))

@@ -312,7 +312,7 @@ def names_of(elements: Column, kind: str) -> Column:
 def element_rows(analysed: DataFrame) -> DataFrame:
     """One row per element, ``ord`` giving the order inside the file."""
     return analysed.select(
-        "project", "path", "language", F.posexplode("elements").alias("ord", "e")).select(
+        "project", "path", "language", F.posexplode(X.each("elements")).alias("ord", "e")).select(
         "project", "path", "language", "ord", "e.line", "e.type", "e.name", "e.params",
         "e.bases", "e.methods", "e.extends", "e.implements")
 

@@ -104,7 +104,7 @@ STEPS: dict[str, str] = {
         "package", 1, _JAVA, C.JAVA_PACKAGE, 1, "'package ' || n", "") + ") p WHERE pos = 1",
     "java_imports": _found("import", 2, _JAVA, C.JAVA_IMPORT, 1, "'import ' || n", ""),
     "java_classes": _found("class", 3, _JAVA, C.JAVA_CLASS, 1, "'class ' || n", "",
-                           extra="nullif(g2, '')", extra2="g3"),
+                           extra="nullif(g2, '')", extra2="coalesce(g3, '')"),
     "java_methods": _found("method", 4, _JAVA, C.JAVA_METHOD, 1, "n", ""),
 
     # Python by lines; text inside triple quotes is blanked first
@@ -128,8 +128,8 @@ STEPS: dict[str, str] = {
       FROM py_lines WHERE regexp_matches(text, '^\\s*import\\s')""",
     "py_from_imports": """SELECT project, path, line, 'from ' || module || ' import ' || name AS name
       FROM (SELECT project, path, 1 + len(before) - len(replace(before, chr(10), '')) AS line, module,
-              trim(regexp_replace(unnest(string_split(replace(replace(names, '(', ''), ')', ''), ',')),
-                '\\s+as\\s+\\w+', '')) AS name
+              regexp_replace(regexp_replace(unnest(string_split(replace(replace(names, '(', ''), ')', ''), ',')),
+                '\\s+as\\s+\\w+', ''), '\\s+', '', 'g') AS name
             FROM (SELECT project, path, array_to_string(pieces[1:i], '') AS before,
                     regexp_extract(pieces[i + 1], '^from\\s+\\.*\\s*([\\w.]*)\\s+import', 1) AS module,
                     regexp_extract(pieces[i + 1], '^from[^\\n]*?import\\s*(\\([^)]*\\)|[^\\n(#]+)', 1) AS names
@@ -386,8 +386,8 @@ STEPS: dict[str, str] = {
           CASE WHEN n_import > 0 THEN n_import || ' imports' END) ELSE '' END || '. Summary: ' || summary AS answer
       FROM sentences s JOIN figures f USING (project, path)""",
     "element_texts": """SELECT project, subject, upper(type[1]) || type[2:] || ' ''' || name || ''' is defined in ' || path
-        || ' at line ' || line || CASE WHEN type = 'function' THEN ' with parameters: ' || coalesce(nullif(params, ''), 'none') || '.'
-          ELSE ' with bases: ' || coalesce(nullif(bases, ''), 'none') || '; methods: ' || coalesce(nullif(methods, ''), 'none') || '.' END AS answer
+        || ' at line ' || line || CASE WHEN type = 'function' THEN ' with parameters: ' || coalesce(nullif(replace(params, ',', ', '), ''), 'none') || '.'
+          ELSE ' with bases: ' || coalesce(nullif(replace(bases, ',', ', '), ''), 'none') || '; methods: ' || coalesce(nullif(replace(methods, ',', ', '), ''), 'none') || '.' END AS answer
       FROM best WHERE type IN ('function', 'class')""",
     "mentions": """SELECT s.project, s.subject, l.path, list_position(list_transform(l.split_lines,
           lambda x: contains(lower(x), s.subject)), true) AS line, l.split_lines AS lines
@@ -506,10 +506,13 @@ WHERE s > 0.7 AND s < 0.99""", texts=f"SELECT project, path, content FROM {sourc
     })
 
 
-def _grams(text: str) -> str:
-    words = f"regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]+')"
-    return (f"list_distinct(list_transform(range(1, greatest(len({words}) - 3, 1)), "
-            f"lambda i: array_to_string({words}[i:i + 4], ' ')))")
+def _gram_sets(left: str, right: str) -> str:
+    """One row with the distinct five-word runs ``a`` and ``b`` of two texts."""
+    words = lambda t: f"regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{N}}_]+')"
+    grams = lambda w: (f"list_distinct(list_transform(range(1, greatest(len({w}) - 3, 1)), "
+                       f"lambda i: array_to_string({w}[i:i + 4], ' ')))")
+    return (f"(SELECT {grams('wa')} AS a, {grams('wb')} AS b "
+            f"FROM (SELECT {words(left)} AS wa, {words(right)} AS wb) w)")
 
 
 _SHARED = "len(list_intersect(a, b))"
@@ -534,9 +537,9 @@ _BOTH = {"return": "Both functions return values.", "if": "Both functions contai
 def _function_answer(a: str = "x", b: str = "y") -> str:
     both = ", ".join(f"CASE WHEN contains({a}.code, '{w}') AND contains({b}.code, '{w}') THEN '{t}' END"
                      for w, t in _BOTH.items())
-    shown = lambda t: f"coalesce(nullif({t}.params, ''), 'none')"
+    shown = lambda t: f"coalesce(nullif(replace({t}.params, ',', ', '), ''), 'none')"
     ratio = f"""coalesce((SELECT CASE WHEN {_UNION} > 0 THEN {_SHARED} / {_UNION}::DOUBLE ELSE 0 END
-        FROM (SELECT {_grams(a + '.code')} AS a, {_grams(b + '.code')} AS b) g), 0)"""
+        FROM {_gram_sets(a + '.code', b + '.code')} g), 0)"""
     return f"""concat_ws(' ', 'Functions ''' || {a}.name || ''' and ''' || {b}.name || ''' are ' ||
         CAST({py_round_sql(f'({ratio}) * 100', 1)} AS VARCHAR) || '% similar.',
       CASE WHEN coalesce({a}.params, '') = coalesce({b}.params, '') THEN 'Both functions take the same parameters: ' || {shown(a)} || '.'
@@ -559,7 +562,8 @@ def _class_answer(a: str = "x", b: str = "y") -> str:
       {part(common, "'Common methods: '")}, {part(only(one, two), head(a))}, {part(only(two, one), head(b))})"""
 
 
-_FILE_SETS = """SELECT project, path, list_sort(list_distinct(list(name))) AS names FROM elements GROUP BY ALL"""
+_FILE_SETS = """SELECT m.project, m.path, coalesce(list_sort(list_distinct(list(name) FILTER (name IS NOT NULL))), []) AS names
+  FROM meta m LEFT JOIN elements e ON e.project = m.project AND e.path = m.path GROUP BY ALL"""
 
 
 def _file_answer(a: str, b: str) -> str:
@@ -767,10 +771,10 @@ ORACLES: dict[str, str] = {
     "j04_similar_documents": _similar("docs"),
     "j04_similar_code": _similar("files"),
     "j05_copied_sources": build("""SELECT project, path, source IS NOT NULL AS found, source FROM passages LEFT JOIN copies USING (project, path)"""),
-    "j06_percent_copied": build(f"""SELECT project, path, source IS NOT NULL AS found, source, coalesce((SELECT CAST(floor(
+    "j06_percent_copied": build(f"""SELECT project, path, copies.source IS NOT NULL AS found, copies.source, coalesce((SELECT CAST(floor(
           CASE WHEN {_UNION} > 0 THEN {_SHARED} / {_UNION}::DOUBLE ELSE 0 END * 100) AS BIGINT)
-          FROM (SELECT {_grams('p.content')} AS a, {_grams('d.text')} AS b) g WHERE source IS NOT NULL), 0) AS percent_copied
-      FROM passages p LEFT JOIN copies USING (project, path) LEFT JOIN documents d ON d.doc_id = source"""),
+          FROM {_gram_sets('p.content', 'd.text')} g WHERE copies.source IS NOT NULL), 0) AS percent_copied
+      FROM passages p LEFT JOIN copies USING (project, path) LEFT JOIN documents d ON d.doc_id = copies.source"""),
     "j07_complexity_chart": build("""SELECT project, path, file, cyclomatic, rnk FROM (SELECT project, path, file, cyclomatic,
           row_number() OVER (PARTITION BY project ORDER BY cyclomatic DESC, path) AS rnk
         FROM figures JOIN dir_files USING (project, path)) a WHERE rnk <= 15"""),

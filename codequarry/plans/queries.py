@@ -189,7 +189,7 @@ def _elements_by(spark, sf, rules: str, kind: str, *more: str) -> DataFrame:
     if rules == "python":
         files = files.where(~F.contains("content", F.lit("def broken(:")))
     return files.withColumn("elements", _rule_elements(rules)).select(
-        "project", "path", F.posexplode("elements").alias("ord", "e")).where(
+        "project", "path", F.posexplode(X.each("elements")).alias("ord", "e")).where(
             F.col("e.type") == kind).select("project", "path", "e.name", "e.line",
                                             *[f"e.{m}" for m in more])
 
@@ -228,7 +228,7 @@ def _headers():
 @query("e13_python_exact")
 def _(spark, sf):
     rows = S.with_elements(corpus(spark, sf)).where("language = 'Python'")
-    return rows.select("project", "path", "parse_ok", F.explode("elements").alias("e")).select(
+    return rows.select("project", "path", "parse_ok", F.explode(X.each("elements")).alias("e")).select(
         "project", "path", "parse_ok", "e.line", "e.type", "e.name", "e.params", "e.bases", "e.methods")
 
 
@@ -253,19 +253,19 @@ for _name, _cols in {
 
 @query("m09_concepts")
 def _(spark, sf):
-    return analysed(spark, sf).select("project", "path", F.posexplode("concepts").alias("rnk", "c")).select(
+    return analysed(spark, sf).select("project", "path", F.posexplode(X.each("concepts")).alias("rnk", "c")).select(
         "project", "path", "rnk", "c.word", "c.cnt")
 
 
 @query("m11_suggestions")
 def _(spark, sf):
-    return analysed(spark, sf).select("project", "path", F.inline("suggestions"))
+    return analysed(spark, sf).select("project", "path", F.inline(X.each("suggestions")))
 
 
 @query("m13_context_window")
 def _(spark, sf):
     lines = corpus(spark, sf).select("project", "path", X.lines(F.col("content")).alias("lines"))
-    at = lines.select("project", "path", "lines", F.posexplode("lines").alias("line", "text"))
+    at = lines.select("project", "path", "lines", F.posexplode(X.each("lines")).alias("line", "text"))
     return at.where(F.contains("text", F.lit("return"))).select(
         "project", "path", "line", M.context_window(F.col("lines"), F.col("line"), 3, 3).alias("context"))
 
@@ -318,7 +318,7 @@ def _(spark, sf):
 def _(spark, sf):
     merged = N.merge_insights(analysed(spark, sf)).select(
         "project", "path", "quality_score", F.size("security_issues").alias("issues"),
-        F.explode("code_smells").alias("s"))
+        F.explode(X.each("code_smells")).alias("s"))
     return merged.select("project", "path", "quality_score", "issues", "s.type", "s.line")
 
 
@@ -340,27 +340,49 @@ _ROLLUPS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "a03_common_imports": R.common_imports,
     "a04_main_languages": R.main_languages,
     "a05_project_text": lambda a: R.project_summary(a).select("project", "text"),
-    "a07_ai_quality": lambda a: R.ai_summary(a).select("project", "quality_score"),
     "a08_project_concepts": R.project_concepts,
     "a09_finding_counts": R.finding_counts,
-    "a10_ai_recommendations": lambda a: _ranked(R.ai_summary(a), "recommendations", "type", "message"),
     "a11_directory_metrics": lambda a: R.directory_metrics(a).drop("dir_ord"),
     "a11_directory_files": lambda a: R.directory_files(a).select("project", "dir", "file"),
     "a12_components": lambda a: R.components(a).drop("dir"),
-    "a13_quality_assessment": R.quality_assessment,
     "a14_naming_consistency": lambda a: R.inconsistent_naming(R.project_totals(a)),
     "a15_has_tests": lambda a: R.project_totals(a).select("project", "has_tests"),
     "a19_element_counts": R.element_counts,
     "j01_file_edges": L.file_edges,
     "j01_file_edges_bare": lambda a: L.file_edges(a, resolve_bare=True),
     "j02_component_edges": L.component_edges,
-    "j03_class_edges": L.class_edges,
     "j07_complexity_chart": L.complexity_chart,
 }
 for _name, _fn in _ROLLUPS.items():
     query(_name)(lambda spark, sf, _fn=_fn: _fn(analysed(spark, sf)))
 
 
+def slim(spark, sf) -> DataFrame:
+    """The analysis without content, written once for reports that read it several times."""
+    return stage(analysed(spark, sf).drop("content"))
+
+
+@query("a07_ai_quality")
+def _(spark, sf):
+    return R.ai_summary(slim(spark, sf)).select("project", "quality_score")
+
+
+@query("a10_ai_recommendations")
+def _(spark, sf):
+    return _ranked(R.ai_summary(slim(spark, sf)), "recommendations", "type", "message")
+
+
+@query("a13_quality_assessment")
+def _(spark, sf):
+    return R.quality_assessment(slim(spark, sf))
+
+
+@query("j03_class_edges")
+def _(spark, sf):
+    return L.class_edges(stage(S.with_elements(corpus(spark, sf)).select(
+        "project", "path", "language", "elements")))
+
+
 @query("a06_basic_summary")
 def _(spark, sf):
     return R.basic_summary(derived(spark, sf, FX.PROJECTS), analysed(spark, sf))
@@ -398,7 +420,7 @@ def _(spark, sf):
 
 @query("a18_project_defaults")
 def _(spark, sf):
-    a = stage(analysed(spark, sf).drop("content"))
+    a = slim(spark, sf)
     totals = R.project_totals(a)
     ai = R.ai_summary(a, totals)
     return R.fill_project_defaults(derived(spark, sf, FX.PROJECTS), R.project_summary(a, totals),

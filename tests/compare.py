@@ -11,6 +11,7 @@ import duckdb
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+LAST_SQL: list[float] = []
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 
@@ -39,14 +40,17 @@ def compare(spark, con, sf: str, name: str, query, sql: str) -> str | None:
     """None if both agree, else what differs."""
     df = query(spark, sf)
     got = rows_of(df.columns, df.collect())
+    start = time.time()
     cur = con.execute(sql)
+    LAST_SQL.append(time.time() - start)
     columns = [d[0] for d in cur.description]
     want = rows_of(columns, cur.fetchall())
     if sorted(columns) != sorted(df.columns):
         return f"columns {sorted(df.columns)} vs {sorted(columns)}"
     if got != want:
-        missing = [r for r in want if r not in set(got)][:2]
-        extra = [r for r in got if r not in set(want)][:2]
+        have, expected = set(got), set(want)
+        missing = [r for r in want if r not in have][:2]
+        extra = [r for r in got if r not in expected][:2]
         return f"{len(got)} vs {len(want)} rows; only Spark: {extra}; only SQL: {missing}"
     if not got:
         return "no rows"
@@ -79,6 +83,6 @@ if __name__ == "__main__":
         except Exception as e:  # report and go on
             problem = f"{type(e).__name__}: {str(e)[:700]}"
         bad += problem is not None
-        print(f"{'OK  ' if problem is None else 'FAIL'} {name} {time.time() - start:.1f}s "
+        print(f"{'OK  ' if problem is None else 'FAIL'} {name} {time.time() - start:.1f}s (sql {LAST_SQL[-1] if LAST_SQL else 0:.1f}s) "
               f"{'' if problem is None else problem[:900]}", flush=True)
     print(f"{bad} failing")
