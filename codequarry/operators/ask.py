@@ -47,10 +47,12 @@ def route(questions: DataFrame) -> DataFrame:
         elif name in ("what", "how"):
             action = F.when(fits, F.lit(None)).otherwise(action)
     compare = dict(C.QUESTION_PATTERNS)["compare"]
-    out = questions.select("qid", "project", "text", intent.alias("intent"),
-                           subject.alias("subject"), action.alias("action"))
-    return out.withColumn("subject2", F.when(F.col("intent") == "compare", F.trim(
-        F.regexp_extract(q, X.jvm_regex(compare), 2))))
+    second = F.when(intent == "compare", F.trim(F.regexp_extract(q, X.jvm_regex(compare), 2)))
+    # Routed as one generated row: conditions on it are tested after it, not spelled out
+    # again below it.
+    return questions.select("qid", "project", "text", F.inline(F.array(F.struct(
+        intent.alias("intent"), subject.alias("subject"), action.alias("action"),
+        second.alias("subject2")))))
 
 
 def subjects_of(routed: DataFrame, *intents: str) -> DataFrame:
@@ -77,8 +79,7 @@ def named_things(analysed: DataFrame) -> DataFrame:
 def find_elements(subjects: DataFrame, analysed: DataFrame) -> DataFrame:
     """Everything whose name contains the subject; ``partial`` is 0 for the exact name."""
     things = named_things(analysed)
-    names = things.select("project", F.col("lname").alias("hid")).distinct().withColumn(
-        "text", F.col("hid"))
+    names = things.select("project", F.col("lname").alias("hid")).distinct()
     pairs = substring_pairs(names, subjects.select("project", F.col("subject").alias("needle")))
     pairs = pairs.select("project", F.col("hid").alias("lname"), F.col("needle").alias("subject"))
     return things.join(pairs, ["project", "lname"]).withColumn(
@@ -318,7 +319,7 @@ _LINE_KINDS = [
 
 def explain_lines(requests: DataFrame, files: DataFrame) -> DataFrame:
     """requests(qid, project, file_name, line): what the line of the first such file does."""
-    paths = files.select("project", F.col("path").alias("hid"), F.col("path").alias("text"))
+    paths = files.select("project", F.col("path").alias("hid"))
     first = substring_pairs(paths, requests.select(
         "project", F.col("file_name").alias("needle"))).groupBy("project", "needle").agg(
             F.min("hid").alias("path")).withColumnRenamed("needle", "file_name")

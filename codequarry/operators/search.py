@@ -41,7 +41,9 @@ def _grams(text: Column) -> Column:
 
 def substring_pairs(haystack: DataFrame, needles: DataFrame) -> DataFrame:
     """haystack(project, hid, text) x needles(project, needle) -> (project, hid, needle)
-    for every text that contains the needle."""
+    for every text that contains the needle. Without ``text``, ``hid`` is the text."""
+    named = "text" not in haystack.columns
+    haystack = haystack.withColumn("text", F.col("hid")) if named else haystack
     keyed = needles.select("project", "needle").where("needle <> ''").distinct().withColumn(
         "gram", _needle_gram(F.col("needle")))
     chunks = haystack.select("project", "hid", F.explode(F.transform(
@@ -50,6 +52,8 @@ def substring_pairs(haystack: DataFrame, needles: DataFrame) -> DataFrame:
     grams = chunks.select("project", "hid", F.explode(_grams(F.col("chunk"))).alias("gram"))
     candidates = grams.join(keyed, ["project", "gram"]).select(
         "project", "hid", "needle").distinct()
+    if named:
+        return candidates.where(F.contains("hid", F.col("needle")))
     return candidates.join(haystack, ["project", "hid"]).where(
         F.contains("text", F.col("needle"))).select("project", "hid", "needle")
 

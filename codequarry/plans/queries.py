@@ -489,7 +489,9 @@ def _asked(spark, sf):
 
 
 def _code_analysis(spark, sf):
-    return analyse_files(code(spark, sf)).drop("content")
+    """What answers need of the analysis, written once: lookups read it several times."""
+    return stage(analyse_files(code(spark, sf)).select(
+        "project", "path", "language", "elements", "summary"))
 
 
 @query("q01_route")
@@ -617,10 +619,10 @@ def _(spark, sf):
 
 @query("q16_compare")
 def _(spark, sf):
-    return A.compare(_asked(spark, sf), stage(_code_analysis(spark, sf)), code(spark, sf))
+    return A.compare(_asked(spark, sf), _code_analysis(spark, sf), code(spark, sf))
 
 
 @query("answer_all")
 def _(spark, sf):
-    a = stage(_code_analysis(spark, sf))
+    a = _code_analysis(spark, sf)
     return A.answer_all(derived(spark, sf, FX.QUESTIONS), a, code(spark, sf))
