@@ -21,6 +21,7 @@ from pyspark.sql.functions import arrow_udf
 from codequarry import catalog as C
 from codequarry.functions import text as X
 from codequarry.operators.rollup import top_k
+from codequarry.plans.stage import stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -48,10 +49,10 @@ def vocabulary(terms: DataFrame, files: DataFrame, max_terms: int = C.MAX_TERMS)
         (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def vector_classes(files: DataFrame, stopwords: list[str] | None = None,
-                   max_terms: int = C.MAX_TERMS) -> DataFrame:
+def vectors(files: DataFrame, stopwords: list[str] | None = None,
+            max_terms: int = C.MAX_TERMS) -> DataFrame:
     """(project, path, sig, ranks, weights): unit vectors; equal ``sig`` = equal vector."""
-    terms = term_counts(files, stopwords)
+    terms = stage(term_counts(files, stopwords))
     vocab = vocabulary(terms, files, max_terms)
     entries = terms.join(vocab, ["project", "term"]).groupBy("project", "path").agg(
         F.sort_array(F.collect_list(F.struct("rank", "tf", (F.col("tf") * F.col("idf")).alias("w"))))
@@ -65,6 +66,14 @@ def vector_classes(files: DataFrame, stopwords: list[str] | None = None,
         F.transform("v", lambda e: e.w / F.col("norm")).alias("weights"))
 
 
+def vector_classes(vectors_: DataFrame) -> DataFrame:
+    """(project, sig, cid, ranks, weights): one row per distinct vector. The ids are fixed by
+    being written."""
+    distinct = vectors_.groupBy("project", "sig").agg(
+        F.any_value("ranks").alias("ranks"), F.any_value("weights").alias("weights"))
+    return stage(distinct.withColumn("cid", F.monotonically_increasing_id()))
+
+
 def _dot(r1: pa.Array, w1: pa.Array, r2: pa.Array, w2: pa.Array) -> pa.Array:
     """Sparse dot product of each row, one merge over the whole batch."""
     rows = len(r1)
@@ -88,51 +97,49 @@ def _prefix_postings(classes: DataFrame, above: float) -> DataFrame:
     sums = F.reverse(F.aggregate(
         squares, F.array().cast("array<double>"),
         lambda acc, s: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0.0)) + s))))
-    rows = classes.withColumn("tail", sums).select("project", "sig", F.inline(F.filter(
+    rows = classes.withColumn("tail", sums).select("project", "cid", F.inline(F.filter(
         F.transform("ranks", lambda r, i: F.struct(
             r.alias("rank"), F.get("weights", i).alias("w"),
             F.get("tail", i).alias("tail"),
             F.coalesce(F.get("tail", i + 1), F.lit(0.0)).alias("after"))),
         lambda e: F.sqrt(e.tail) > above - _SLACK)))
-    return rows.select("project", "rank", "sig", "w", F.sqrt("after").alias("rest"))
+    return rows.select("project", "rank", "cid", "w", F.sqrt("after").alias("rest"))
 
 
 def similar_classes(classes: DataFrame, above: float = C.SIMILAR_ABOVE,
                     below: float = C.SIMILAR_BELOW) -> DataFrame:
-    """(project, sig1, sig2, score) for every pair of classes between the thresholds."""
+    """(cid1, cid2, score) for every pair of classes between the thresholds.
+
+    The products of the shared indexed terms are summed per pair; with the norms left
+    after the last of them they bound the cosine, and pairs below the bound go unscored.
+    """
     p = _prefix_postings(classes, above)
-    l = p.select("project", "rank", F.col("sig").alias("sig1"), F.col("w").alias("w1"),
-                 F.col("rest").alias("rest1"))
-    r = p.select("project", "rank", F.col("sig").alias("sig2"), F.col("w").alias("w2"),
-                 F.col("rest").alias("rest2"))
-    pairs = l.join(r, ["project", "rank"]).where("sig1 < sig2")
-    shared = pairs.groupBy("project", "sig1", "sig2").agg(
+    side = lambda n: p.select("project", "rank", *[
+        F.col(c).alias(f"{c}{n}") for c in ("cid", "w", "rest")])
+    pairs = side(1).join(side(2), ["project", "rank"]).where("cid1 < cid2")
+    bounded = pairs.groupBy("cid1", "cid2").agg(
         F.sum(F.col("w1") * F.col("w2")).alias("dot"),
         F.min(F.col("rest1") * F.col("rest2")).alias("rest"))
-    candidates = shared.where(F.col("dot") + F.col("rest") > above - _SLACK).select(
-        "project", "sig1", "sig2")
-    one = classes.select("project", F.col("sig").alias("sig1"), F.col("ranks").alias("r1"),
-                         F.col("weights").alias("v1"))
-    two = classes.select("project", F.col("sig").alias("sig2"), F.col("ranks").alias("r2"),
-                         F.col("weights").alias("v2"))
+    candidates = bounded.where(F.col("dot") + F.col("rest") > above - _SLACK).select("cid1", "cid2")
+    full = lambda n: classes.select(*[
+        F.col(c).alias(f"{c}{n}") for c in ("cid", "ranks", "weights")])
     # Non-deterministic only to the planner: the threshold is then tested on the scored
     # column and the product is not worked out a second time below it.
     dot = arrow_udf(_dot, "double").asNondeterministic()
-    scored = candidates.join(one, ["project", "sig1"]).join(two, ["project", "sig2"]).select(
-        "project", "sig1", "sig2", F.round(dot("r1", "v1", "r2", "v2"), 9).alias("score"))
+    scored = candidates.join(full(1), "cid1").join(full(2), "cid2").select(
+        "cid1", "cid2", F.round(dot("ranks1", "weights1", "ranks2", "weights2"), 9).alias("score"))
     return scored.where((F.col("score") > above) & (F.col("score") < below))
 
 
 def similar_files(files: DataFrame, stopwords: list[str] | None = None,
                   max_terms: int = C.MAX_TERMS) -> DataFrame:
     """(project, file1, file2, similarity) of all file pairs between the thresholds."""
-    vectors = vector_classes(files, stopwords, max_terms)
-    classes = vectors.groupBy("project", "sig").agg(
-        F.any_value("ranks").alias("ranks"), F.any_value("weights").alias("weights"))
-    members = vectors.select("project", "sig", "path")
-    pairs = similar_classes(classes)
-    a = members.select("project", F.col("sig").alias("sig1"), F.col("path").alias("a"))
-    b = members.select("project", F.col("sig").alias("sig2"), F.col("path").alias("b"))
-    return pairs.join(a, ["project", "sig1"]).join(b, ["project", "sig2"]).select(
+    vectors_ = stage(vectors(files, stopwords, max_terms))
+    classes = vector_classes(vectors_)
+    members = vectors_.select("project", "sig", "path").join(
+        classes.select("project", "sig", "cid"), ["project", "sig"])
+    side = lambda n, path: members.select(
+        F.col("cid").alias(f"cid{n}"), F.col("path").alias(path), *(["project"] if n == 1 else []))
+    return similar_classes(classes).join(side(1, "a"), "cid1").join(side(2, "b"), "cid2").select(
         "project", F.least("a", "b").alias("file1"), F.greatest("a", "b").alias("file2"),
         X.py_round(F.col("score"), 2).alias("similarity"))
