@@ -26,6 +26,7 @@ from codequarry.plans.stage import stage
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _SLACK = 1e-9
+_BLOCK = 4096
 
 
 def term_counts(files: DataFrame, stopwords: list[str] | None = None) -> DataFrame:
@@ -67,10 +68,11 @@ def vectors(files: DataFrame, stopwords: list[str] | None = None,
 
 
 def vector_classes(vectors_: DataFrame) -> DataFrame:
-    """(project, sig, cid, ranks, weights): one row per distinct vector. The ids are fixed by
-    being written."""
+    """(project, sig, cid, n, ranks, weights): one row per distinct vector, ``n`` files having
+    it. The ids are fixed by being written."""
     distinct = vectors_.groupBy("project", "sig").agg(
-        F.any_value("ranks").alias("ranks"), F.any_value("weights").alias("weights"))
+        F.count("*").alias("n"), F.any_value("ranks").alias("ranks"),
+        F.any_value("weights").alias("weights"))
     return stage(distinct.withColumn("cid", F.monotonically_increasing_id()))
 
 
@@ -106,40 +108,69 @@ def _prefix_postings(classes: DataFrame, above: float) -> DataFrame:
     return rows.select("project", "rank", "cid", "w", F.sqrt("after").alias("rest"))
 
 
+def _blocks(n: Column) -> Column:
+    """How many blocks a group of ``n`` rows is split into."""
+    return F.ceil(n / _BLOCK).cast("int")
+
+
+def _block_of(key: Column, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(key), blocks).cast("int")
+
+
+def _posting_pairs(postings: DataFrame) -> DataFrame:
+    """Pairs of postings of one term. A long list is cut into blocks and each pair of blocks
+    is a join key of its own, so no task meets more than a block squared."""
+    sizes = postings.groupBy("project", "rank").agg(_blocks(F.count("*")).alias("blocks"))
+    cut = postings.join(sizes, ["project", "rank"]).withColumn(
+        "block", _block_of(F.col("cid"), F.col("blocks")))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+
+    def side(n: int, own: str, other: str) -> DataFrame:
+        return cut.select("project", "rank", F.col("block").alias(own), every.alias(other), *[
+            F.col(c).alias(f"{c}{n}") for c in ("cid", "w", "rest")])
+
+    return side(1, "i", "j").join(side(2, "j", "i"), ["project", "rank", "i", "j"]).where(
+        "cid1 < cid2")
+
+
 def similar_classes(classes: DataFrame, above: float = C.SIMILAR_ABOVE,
                     below: float = C.SIMILAR_BELOW) -> DataFrame:
-    """(cid1, cid2, score) for every pair of classes between the thresholds.
+    """(cid1, cid2, n1, n2, score) for every pair of classes between the thresholds.
 
     The products of the shared indexed terms are summed per pair; with the norms left
     after the last of them they bound the cosine, and pairs below the bound go unscored.
     """
-    p = _prefix_postings(classes, above)
-    side = lambda n: p.select("project", "rank", *[
-        F.col(c).alias(f"{c}{n}") for c in ("cid", "w", "rest")])
-    pairs = side(1).join(side(2), ["project", "rank"]).where("cid1 < cid2")
+    pairs = _posting_pairs(_prefix_postings(classes, above))
     bounded = pairs.groupBy("cid1", "cid2").agg(
         F.sum(F.col("w1") * F.col("w2")).alias("dot"),
         F.min(F.col("rest1") * F.col("rest2")).alias("rest"))
     candidates = bounded.where(F.col("dot") + F.col("rest") > above - _SLACK).select("cid1", "cid2")
     full = lambda n: classes.select(*[
-        F.col(c).alias(f"{c}{n}") for c in ("cid", "ranks", "weights")])
+        F.col(c).alias(f"{c}{n}") for c in ("cid", "n", "ranks", "weights")])
     # Non-deterministic only to the planner: the threshold is then tested on the scored
     # column and the product is not worked out a second time below it.
     dot = arrow_udf(_dot, "double").asNondeterministic()
     scored = candidates.join(full(1), "cid1").join(full(2), "cid2").select(
-        "cid1", "cid2", F.round(dot("ranks1", "weights1", "ranks2", "weights2"), 9).alias("score"))
+        "cid1", "cid2", "n1", "n2", F.round(dot("ranks1", "weights1", "ranks2", "weights2"), 9).alias("score"))
     return scored.where((F.col("score") > above) & (F.col("score") < below))
 
 
 def similar_files(files: DataFrame, stopwords: list[str] | None = None,
                   max_terms: int = C.MAX_TERMS) -> DataFrame:
-    """(project, file1, file2, similarity) of all file pairs between the thresholds."""
+    """(project, file1, file2, similarity) of all file pairs between the thresholds.
+
+    A class with many files is spread over blocks before its pairs are spelled out.
+    """
     vectors_ = stage(vectors(files, stopwords, max_terms))
     classes = vector_classes(vectors_)
     members = vectors_.select("project", "sig", "path").join(
-        classes.select("project", "sig", "cid"), ["project", "sig"])
+        classes.select("project", "sig", "cid", "n"), ["project", "sig"])
     side = lambda n, path: members.select(
-        F.col("cid").alias(f"cid{n}"), F.col("path").alias(path), *(["project"] if n == 1 else []))
-    return similar_classes(classes).join(side(1, "a"), "cid1").join(side(2, "b"), "cid2").select(
+        F.col("cid").alias(f"cid{n}"), F.col("path").alias(path),
+        _block_of(F.col("path"), _blocks(F.col("n"))).alias(f"block{n}"),
+        *(["project"] if n == 1 else []))
+    over = lambda n: F.explode(F.sequence(F.lit(0), _blocks(F.col(f"n{n}")) - 1))
+    pairs = similar_classes(classes).withColumn("block1", over(1)).withColumn("block2", over(2))
+    return pairs.join(side(1, "a"), ["cid1", "block1"]).join(side(2, "b"), ["cid2", "block2"]).select(
         "project", F.least("a", "b").alias("file1"), F.greatest("a", "b").alias("file2"),
         X.py_round(F.col("score"), 2).alias("similarity"))

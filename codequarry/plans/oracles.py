@@ -122,12 +122,14 @@ STEPS: dict[str, str] = {
       FROM py_lines h LEFT JOIN py_lines p ON p.project = h.project AND p.path = h.path
         AND p.line < h.line AND p.indent < h.indent
       WHERE regexp_matches(h.text, '^\\s*(class|def)\\s') GROUP BY ALL""",
-    "py_plain_imports": """SELECT project, path, line, unnest(list_transform(string_split(
-        regexp_extract(text, '^\\s*import\\s+([^#]*)', 1), ','), lambda x:
-          trim(regexp_replace(x, '\\s+as\\s+\\w+', '')))) AS name
-      FROM py_lines WHERE regexp_matches(text, '^\\s*import\\s')""",
-    "py_from_imports": """SELECT project, path, line, 'from ' || module || ' import ' || name AS name
+    "py_plain_imports": """SELECT project, path, line, unnest(names) AS name, generate_subscripts(names, 1) AS pos
+      FROM (SELECT project, path, line, list_transform(string_split(
+              regexp_extract(text, '^\\s*import\\s+([^#]*)', 1), ','), lambda x:
+                trim(regexp_replace(x, '\\s+as\\s+\\w+', ''))) AS names
+            FROM py_lines WHERE regexp_matches(text, '^\\s*import\\s')) a""",
+    "py_from_imports": """SELECT project, path, line, pos, 'from ' || module || ' import ' || name AS name
       FROM (SELECT project, path, 1 + len(before) - len(replace(before, chr(10), '')) AS line, module,
+              generate_subscripts(string_split(names, ','), 1) AS pos,
               regexp_replace(regexp_replace(unnest(string_split(replace(replace(names, '(', ''), ')', ''), ',')),
                 '\\s+as\\s+\\w+', ''), '\\s+', '', 'g') AS name
             FROM (SELECT project, path, array_to_string(pieces[1:i], '') AS before,
@@ -152,22 +154,23 @@ STEPS: dict[str, str] = {
                     list_filter(list_transform(string_split(regexp_extract(text, 'def\\s+\\w+\\(([^)]*)\\)', 1), ','),
                       lambda x: trim(regexp_replace(x, '=.*', ''))), lambda x: x <> '') AS params
                   FROM py_headers WHERE regexp_matches(text, '^\\s*def\\s')) a) b""",
-    "py_variables": """SELECT project, path, line, unnest(list_filter(list_transform(string_split(
-        regexp_extract(text, '^((?:\\w+\\s*=\\s*)+)(?:[^=]|$)', 1), '='), lambda x: trim(x)), lambda x: x <> '')) AS name
-      FROM py_lines WHERE indent = 0""",
-    "py_elements": """SELECT project, path, 'import' AS type, name, line, NULL AS params, NULL AS bases, NULL AS methods FROM py_plain_imports
-      UNION ALL SELECT project, path, 'import', name, line, NULL, NULL, NULL FROM py_from_imports
-      UNION ALL SELECT project, path, 'class', name, line, NULL, bases, methods FROM py_classes
-      UNION ALL SELECT project, path, 'function', name, line, array_to_string(params, ','), NULL, NULL FROM py_defs WHERE NOT in_class
-      UNION ALL SELECT project, path, 'variable', name, line, NULL, NULL, NULL FROM py_variables""",
+    "py_variables": """SELECT project, path, line, unnest(names) AS name, generate_subscripts(names, 1) AS pos
+      FROM (SELECT project, path, line, list_filter(list_transform(string_split(
+              regexp_extract(text, '^((?:\\w+\\s*=\\s*)+)(?:[^=]|$)', 1), '='), lambda x: trim(x)), lambda x: x <> '') AS names
+            FROM py_lines WHERE indent = 0) a""",
+    "py_elements": """SELECT project, path, 'import' AS type, name, line, NULL AS params, NULL AS bases, NULL AS methods, pos FROM py_plain_imports
+      UNION ALL SELECT project, path, 'import', name, line, NULL, NULL, NULL, pos FROM py_from_imports
+      UNION ALL SELECT project, path, 'class', name, line, NULL, bases, methods, 0 FROM py_classes
+      UNION ALL SELECT project, path, 'function', name, line, array_to_string(params, ','), NULL, NULL, 0 FROM py_defs WHERE NOT in_class
+      UNION ALL SELECT project, path, 'variable', name, line, NULL, NULL, NULL, pos FROM py_variables""",
 
     "rule_elements": " UNION ALL ".join(f"SELECT * FROM {t}" for t in (
         "gen_imports", "gen_classes", "gen_functions", "gen_variables", "js_imports", "js_classes",
         "js_functions", "js_components", "java_packages", "java_imports", "java_classes", "java_methods")),
     "elements": """SELECT project, path, type, name, line, extends, k * 100000 + pos AS found,
         NULL AS params, NULL AS bases, NULL AS methods FROM rule_elements
-      UNION ALL SELECT project, path, type, name, line, NULL, line * 10 +
-        CASE type WHEN 'import' THEN 1 WHEN 'class' THEN 2 WHEN 'function' THEN 3 ELSE 4 END,
+      UNION ALL SELECT project, path, type, name, line, NULL, line * 1000 + pos +
+        CASE type WHEN 'import' THEN 100 WHEN 'class' THEN 200 WHEN 'function' THEN 300 ELSE 400 END,
         params, bases, methods FROM py_elements""",
 
     # figures per file
@@ -506,12 +509,15 @@ WHERE s > 0.7 AND s < 0.99""", texts=f"SELECT project, path, content FROM {sourc
     })
 
 
+def _run_list(words: str) -> str:
+    return (f"list_distinct(list_transform(range(1, greatest(len({words}) - 3, 1)), "
+            f"lambda i: array_to_string({words}[i:i + 4], ' ')))")
+
+
 def _gram_sets(left: str, right: str) -> str:
     """One row with the distinct five-word runs ``a`` and ``b`` of two texts."""
     words = lambda t: f"regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{N}}_]+')"
-    grams = lambda w: (f"list_distinct(list_transform(range(1, greatest(len({w}) - 3, 1)), "
-                       f"lambda i: array_to_string({w}[i:i + 4], ' ')))")
-    return (f"(SELECT {grams('wa')} AS a, {grams('wb')} AS b "
+    return (f"(SELECT {_run_list('wa')} AS a, {_run_list('wb')} AS b "
             f"FROM (SELECT {words(left)} AS wa, {words(right)} AS wb) w)")
 
 
@@ -525,9 +531,13 @@ _PAIR_STEPS = {
 }
 
 
+_CODED = f"""SELECT *, {_run_list('wa')} AS grams FROM (SELECT *, regexp_extract_all(lower(code), '[\\p{{L}}\\p{{N}}_]+') AS wa
+  FROM (SELECT *, array_to_string(list_concat([lines[greatest(line, 1)]], body), chr(10)) AS code FROM blocks) c) d"""
+
+
 def _pairs(kind: str) -> dict[str, str]:
     return {"files": FX.RICH_FILES, "things_used": _PAIR_STEPS["things_used"].format(kind=kind),
-            "coded": """SELECT *, array_to_string(list_concat([lines[line]], body), chr(10)) AS code FROM blocks"""}
+            "coded": _CODED}
 
 
 _BOTH = {"return": "Both functions return values.", "if": "Both functions contain conditional logic.",
@@ -538,8 +548,9 @@ def _function_answer(a: str = "x", b: str = "y") -> str:
     both = ", ".join(f"CASE WHEN contains({a}.code, '{w}') AND contains({b}.code, '{w}') THEN '{t}' END"
                      for w, t in _BOTH.items())
     shown = lambda t: f"coalesce(nullif(replace({t}.params, ',', ', '), ''), 'none')"
-    ratio = f"""coalesce((SELECT CASE WHEN {_UNION} > 0 THEN {_SHARED} / {_UNION}::DOUBLE ELSE 0 END
-        FROM {_gram_sets(a + '.code', b + '.code')} g), 0)"""
+    shared = f"len(list_intersect({a}.grams, {b}.grams))"
+    union = f"(len({a}.grams) + len({b}.grams) - {shared})"
+    ratio = f"(CASE WHEN {union} > 0 THEN {shared} / {union}::DOUBLE ELSE 0 END)"
     return f"""concat_ws(' ', 'Functions ''' || {a}.name || ''' and ''' || {b}.name || ''' are ' ||
         CAST({py_round_sql(f'({ratio}) * 100', 1)} AS VARCHAR) || '% similar.',
       CASE WHEN coalesce({a}.params, '') = coalesce({b}.params, '') THEN 'Both functions take the same parameters: ' || {shown(a)} || '.'
@@ -582,7 +593,7 @@ def _file_answer(a: str, b: str) -> str:
 
 
 _BEST_USED = {"things_used": "SELECT * FROM best WHERE type IN ('function', 'class', 'file')",
-              "coded": "SELECT *, array_to_string(list_concat([lines[greatest(line, 1)]], body), chr(10)) AS code FROM blocks"}
+              "coded": _CODED}
 _LINE_CASES = " ".join(
     f"WHEN regexp_matches(text, {_str(p)}) THEN '{s}'" for p, s in (
         (r"^\s*def\s+\w+\s*\(", "This defines a function."),

@@ -16,13 +16,14 @@ def review_analysed(analysed: DataFrame) -> DataFrame:
 
     Every part is reduced to one row per project before it is joined. Edges and
     directory lists can be long, so the row holds their numbers; ``component_edges``
-    and ``directory_files`` give them in full.
+    and ``directory_files`` give them in full. Figures several parts build on are one row
+    (or ten) per project and are written once.
     """
-    totals = R.project_totals(analysed)
+    totals = stage(R.project_totals(analysed))
     summary = R.project_summary(analysed, totals)
-    ai = R.ai_summary(analysed, totals)
+    ai = stage(R.ai_summary(analysed, totals))
     quality = R.quality_assessment(analysed, totals, ai)
-    parts = R.components(analysed)
+    parts = stage(R.components(analysed))
     largest = parts.groupBy("project").agg(
         F.sort_array(F.collect_list(F.struct("component_rank", "name", "file_count", "files")))
         .alias("components"))

@@ -69,7 +69,8 @@ def cosine_pairs(files):
     return out
 
 
-def test_similar_files_against_all_pairs(make_files):
+def test_similar_files_against_all_pairs(make_files, monkeypatch):
+    monkeypatch.setattr(SI, "_BLOCK", 4)  # cut the lists of this small corpus as well
     words = [f"w{i}" for i in range(30)]
     rows = []
     for i in range(60):
