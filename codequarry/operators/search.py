@@ -39,13 +39,17 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.concat(*[of(k) for k in _GRAMS]))
 
 
-def substring_pairs(haystack: DataFrame, needles: DataFrame) -> DataFrame:
+def substring_pairs(haystack: DataFrame, needles: DataFrame,
+                    small: bool | None = None) -> DataFrame:
     """haystack(project, hid, text) x needles(project, needle) -> (project, hid, needle)
     for every text that contains the needle. Without ``text``, ``hid`` is the text."""
     named = "text" not in haystack.columns
     haystack = haystack.withColumn("text", F.col("hid")) if named else haystack
-    keyed = needles.select("project", "needle").where("needle <> ''").distinct().withColumn(
-        "gram", _needle_gram(F.col("needle")))
+    needles = needles.select("project", "needle").where("needle <> ''").distinct()
+    if is_small(needles) if small is None else small:
+        return haystack.join(F.broadcast(needles), "project").where(
+            F.contains("text", F.col("needle"))).select("project", "hid", "needle")
+    keyed = needles.withColumn("gram", _needle_gram(F.col("needle")))
     chunks = haystack.select("project", "hid", F.explode(F.transform(
         F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(_CHUNK)),
         lambda s: F.substr(F.col("text"), s, F.lit(_CHUNK + _GRAMS[0] - 1)))).alias("chunk"))
@@ -77,7 +81,8 @@ def content_hits(files: DataFrame, needles: DataFrame, small: bool | None = None
         F.array_distinct(F.split(text, "\\s+"))).alias("token")).where("token <> ''")
     tokens = tokens.withColumn("hid", F.md5("token"))
     vocabulary = tokens.groupBy("project", "hid").agg(F.any_value("token").alias("text"))
-    matched = substring_pairs(vocabulary, pieces.select("project", F.col("piece").alias("needle")))
+    matched = substring_pairs(vocabulary, pieces.select(
+        "project", F.col("piece").alias("needle")), small)
     matched = matched.withColumnRenamed("needle", "piece").join(pieces, ["project", "piece"])
     hits = tokens.drop("token").join(matched, ["project", "hid"]).select(
         "project", "path", "needle").distinct()

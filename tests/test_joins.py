@@ -34,6 +34,16 @@ def test_content_hits_both_ways(spark, make_files):
         assert {tuple(r) for r in SE.content_hits(files, n, small).collect()} == want
 
 
+def test_substring_pairs_both_ways(spark):
+    names = [("p", n) for n in ["helper12", "get_helper1", "x", "from a import b", "h" * 1500 + "elper"]]
+    needles = ["helper1", "x", "er12", "a import", "elper", "zz", "hhhhhh"]
+    h = spark.createDataFrame(names, "project string, hid string")
+    n = spark.createDataFrame([("p", x) for x in needles], "project string, needle string")
+    want = {("p", t, x) for _, t in names for x in needles if x in t}
+    for small in (True, False):
+        assert {tuple(r) for r in SE.substring_pairs(h, n, small).collect()} == want
+
+
 def test_word_hits(spark, make_files):
     files = make_files(("p", "a", "load item\nloaded item load\nLoad\nunload load2"), ("p", "b", "none"))
     n = spark.createDataFrame([("p", "load"), ("p", "load item")], "project string, needle string")
