@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm import ngram_join
+from codequarry.llm import decontaminate, ngram_join, oracles, substring_dedup
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -20,8 +20,26 @@ def op1_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(_table(spark, sf, "documents"), window=50)
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed",
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    out = decontaminate.contamination(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit",
+                      F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+                      (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op9_decontaminate": op9_decontaminate,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_decontaminate": oracles.OP9,
+}
