@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm import decontaminate, ngram_join, oracles, substring_dedup
+from codequarry.llm import decontaminate, ngram_join, oracles, packing, substring_dedup
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -26,6 +26,16 @@ def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf, "documents"), tokenizer_path())
+
+
 def op9_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     out = decontaminate.contamination(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit",
@@ -37,6 +47,7 @@ def op9_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op3_substring_dedup": op3_substring_dedup,
+    "op8_packing": op8_packing,
     "op9_decontaminate": op9_decontaminate,
 }
 
