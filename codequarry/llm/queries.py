@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm import decontaminate, ngram_join, oracles, packing, substring_dedup
+from codequarry.llm import decontaminate, ngram_join, oracles, packing, quality_model, quality_rules, substring_dedup
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -20,12 +20,21 @@ def op1_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out = substring_dedup.remove_repeats(_table(spark, sf, "documents"), window=50)
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed",
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_quality_model(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = _table(spark, sf, "documents"), _table(spark, sf, "labels")
+    return quality_model.quality_scores(docs, labels).withColumnRenamed("id", "doc_id")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -46,7 +55,9 @@ def op9_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_quality_rules": op2_quality_rules,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_quality_model": op4_quality_model,
     "op8_packing": op8_packing,
     "op9_decontaminate": op9_decontaminate,
 }
