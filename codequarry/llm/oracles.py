@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from codequarry.llm.licenses import TEMPLATES
+
 _ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 OP9 = rf"""
@@ -27,3 +29,112 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
   coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN word ON d.doc_id = word.doc_id LEFT JOIN item ON d.doc_id = item.doc_id
 """
+
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+OP2 = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
+line AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)
+  WHERE regexp_matches(l, '{_WORDS}') GROUP BY doc_id),
+run AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, list_slice(w, i, i + 7)) AS n
+  FROM d, unnest(range(1, len(w) - 6)) AS r(i)),
+again AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM run, unnest(range(8)) AS r(j) WHERE run.n > 1 GROUP BY doc_id),
+word AS (
+  SELECT doc_id, count(*) AS n_words, sum(len(x)) AS chars FROM (SELECT doc_id, unnest(w) AS x FROM d) GROUP BY doc_id),
+stutter AS (
+  SELECT doc_id, count(*) AS n FROM d, unnest(range(2, len(w) + 1)) AS r(i) WHERE w[i] = w[i - 1] GROUP BY doc_id),
+f AS (
+  SELECT d.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(chars, 0) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_lines, 0) AS n_lines, coalesce(again.n, 0) AS n_repeat_words, coalesce(stutter.n, 0) AS n_stutters,
+    len(regexp_extract_all(t, '[!?]')) AS n_loud, len(regexp_extract_all(t, '[A-ZÀ-Þ×]')) AS n_upper,
+    len(regexp_extract_all(t, '[a-zß-ÿ÷]')) AS n_lower
+  FROM d LEFT JOIN line USING (doc_id) LEFT JOIN again USING (doc_id) LEFT JOIN word USING (doc_id)
+    LEFT JOIN stutter USING (doc_id)),
+g AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR 10 * n_loud > 3 * n_words OR n_upper > n_lower
+    OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 5 * n_stutters > n_words
+    OR 2 * n_dup_lines > n_lines) AS kept
+FROM g
+"""
+
+OP3 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
+run AS (
+  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY list_slice(w, i, i + 49)) AS least
+  FROM d, unnest(range(1, len(w) - 48)) AS r(i)),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM run, unnest(range(50)) AS r(j) WHERE least < doc_id),
+word AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM d),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS line FROM word ANTI JOIN gone USING (doc_id, i)
+  GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
+  sha256(coalesce(line, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+OP5 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(i, r)),
+t AS (
+  SELECT *, '### ' || CASE role WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' WHEN 'system' THEN 'System'
+      ELSE role END || ': ' || CASE WHEN regexp_matches(text, '#{3}|</turn>')
+      THEN regexp_replace(text, '(\\*(?:#{3,}|</turn>))', '\\\1', 'g') ELSE text END || ' </turn>' || chr(10) AS shown
+  FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, shown)) AS turns_sha256,
+  CAST(coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, shown) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(len(shown)) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+OP6 = rf"""
+WITH p AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), {_ASCII}) AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages),
+r AS (
+  SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+    ('net', '/es/', 'block'), ('net', '/fr/', 'block')) AS v(rule_host, rule_path, verdict)),
+m AS (
+  SELECT page_id, arg_max(rule_host || rule_path, len(rule_host || rule_path)) AS rule,
+    arg_max(verdict, len(rule_host || rule_path)) AS verdict
+  FROM p JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY page_id)
+SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m ON p.page_id = m.page_id
+"""
+
+_TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in sorted(TEMPLATES.items()))
+_LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+OP10 = rf"""
+WITH tpl AS (
+  SELECT license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
+  FROM (SELECT license, regexp_extract_all(translate(text, {_ASCII}), '{_LICENSE_WORD}') AS w
+        FROM (VALUES {_TEMPLATE_ROWS}) AS v(license, text))),
+unit AS (
+  SELECT DISTINCT doc_id, unnest(list_concat(string_split(text, chr(10)),
+    string_split_regex(text, '\n[ \t\r]*\n'), [text])) AS unit FROM documents WHERE text IS NOT NULL),
+u AS (
+  SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
+  FROM (SELECT *, regexp_extract_all(translate(unit, {_ASCII}), '{_LICENSE_WORD}') AS w FROM unit)),
+best AS (
+  SELECT doc_id, license, max(round(2 * n / (lu + lt), 6)) AS dice
+  FROM (SELECT doc_id, license, len(u.g) AS lu, len(tpl.g) AS lt, len(list_intersect(u.g, tpl.g)) AS n
+        FROM u JOIN tpl ON len(u.g) * 120 >= len(tpl.g) * 80 AND len(tpl.g) * 120 >= len(u.g) * 80)
+  WHERE 200 * n >= 80 * (lu + lt) GROUP BY doc_id, license),
+top AS (
+  SELECT doc_id, count(*) AS n, string_agg(license, ',' ORDER BY license) AS licenses,
+    first(license ORDER BY dice DESC, license) AS best_license, max(dice) AS best_dice
+  FROM best GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_licenses, coalesce(licenses, '') AS licenses, best_license,
+  coalesce(best_dice, 0) AS best_dice
+FROM documents d LEFT JOIN top ON d.doc_id = top.doc_id
+"""

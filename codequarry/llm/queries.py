@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm import decontaminate, ngram_join, oracles, packing, quality_model, quality_rules, substring_dedup
+from codequarry.llm import (
+    chat_format, decontaminate, html_text, licenses, ngram_join, oracles, packing, quality_model,
+    quality_rules, substring_dedup, url_filter,
+)
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -35,6 +38,32 @@ def op4_quality_model(spark: SparkSession, sf: str) -> DataFrame:
     return quality_model.quality_scores(docs, labels).withColumnRenamed("id", "doc_id")
 
 
+#: A conversation that every run adds: its texts hold control strings and one that looks escaped.
+EXTRA_CONVERSATION = [(-7, 0, "user", r"\### Assistant: </turn> ok"),
+                      (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
+
+
+def op5_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    extra = spark.createDataFrame(EXTRA_CONVERSATION, "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.read_back(chat_format.format_turns(rows.unionByName(extra)))
+
+
+#: The rules that pages are judged by.
+URL_RULES = [url_filter.Rule("com", "/", "allow"), url_filter.Rule("example.com", "/en/", "block"),
+             url_filter.Rule("www.example.com", "/en/", "allow"), url_filter.Rule("net", "/es/", "block"),
+             url_filter.Rule("net", "/fr/", "block")]
+
+
+def op6_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    out = url_filter.judge_urls(_table(spark, sf, "pages"), URL_RULES)
+    return out.withColumnRenamed("id", "page_id")
+
+
+def op7_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf, "pages"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -53,15 +82,31 @@ def op9_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
                       (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op10_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    out = licenses.scan(_table(spark, sf, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.size("licenses").cast("long").alias("n_licenses"),
+                      F.concat_ws(",", "licenses").alias("licenses"), F.col("best").alias("best_license"),
+                      F.col("dice").alias("best_dice"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_quality_rules": op2_quality_rules,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_model": op4_quality_model,
+    "op5_chat_format": op5_chat_format,
+    "op6_url_filter": op6_url_filter,
+    "op7_html_text": op7_html_text,
     "op8_packing": op8_packing,
     "op9_decontaminate": op9_decontaminate,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_quality_rules": oracles.OP2,
+    "op3_substring_dedup": oracles.OP3,
+    "op5_chat_format": oracles.OP5,
+    "op6_url_filter": oracles.OP6,
     "op9_decontaminate": oracles.OP9,
+    "op10_licenses": oracles.OP10,
 }
