@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.shared import stage
+from codequarry.llm.shared import stage, text_rows
 
 CAPACITY = 2048
 #: Pieces that one group packs.
@@ -165,5 +165,5 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int =
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = 0,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row per piece."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = text_rows(docs, id_col, text_col)
     return pack_pieces(stage(texts.mapInArrow(_pieces(tokenizer, capacity, end), PIECE)), capacity)

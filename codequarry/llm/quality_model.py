@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.shared import stage
+from codequarry.llm.shared import stage, text_rows
 from codequarry.llm.textstats import DIGIT, STOP, TextStats
 
 FEATURES = ("word_length", "capitals", "symbols", "loud", "stops", "digits", "stutters")
@@ -47,7 +47,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def document_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Staged (id, x)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = text_rows(docs, id_col, text_col)
     return stage(texts.mapInArrow(_features, "id long, x array<double>"))
 
 

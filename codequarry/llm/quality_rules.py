@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.llm.shared import text_rows
 from codequarry.llm.textstats import TextStats
 
 #: Rows, about, that rules are measured on.
@@ -82,7 +83,7 @@ def _judge(order: list[str]):
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = text_rows(docs, id_col, text_col)
     return texts.mapInArrow(
         _judge(rule_order(texts)),
         "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "

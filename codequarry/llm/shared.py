@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one or two numbers that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Texts of one Arrow batch.
+BATCH_ROWS = 1_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,6 +35,15 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text), with Arrow batches small enough for long texts."""
+    conf = docs.sparkSession.conf
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(key, "10000")) > BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -62,7 +73,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = stage(links.where("a != b").select(F.greatest("a", "b").alias("a"),
                                                F.least("a", "b").alias("b")).distinct())
     mark = None
-    while True:
+    while not edges.isEmpty():
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == mark:
             break

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.llm.blobs import gather, scatter
-from codequarry.llm.shared import partitions, stage
+from codequarry.llm.shared import partitions, stage, text_rows
 from codequarry.llm.words import U64, hash_words, mix, spans, text_bytes, windows, word_hashes
 
 #: Windows that a task holds before it settles them.
@@ -224,18 +224,23 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(line[np.cumsum(steps[:-1], dtype=np.int8) > 0][:-1].tobytes())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()),
-             pa.array(kept, pa.binary()).cast(pa.string(), safe=False)],
-            ["id", "n_words", "n_removed", "kept"])
+             pa.array(kept, pa.binary()).cast(pa.string(), safe=False), *batch.columns[3:]],
+            ["id", "n_words", "n_removed", "kept", *batch.schema.names[3:]])
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
+                   text_col: str = "text", carry: bool = False) -> DataFrame:
     """(id, n_words, n_removed, kept): the words left of each document, joined by one space.
 
     A word goes if a run of `window` words that holds it also starts in a document with a smaller
-    id; runs are judged on the input, not on what is left.
+    id; runs are judged on the input, not on what is left. With `carry` each row also has the
+    document's own row, as a struct `row`.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = repeated_runs(texts, window)
-    return (texts.join(_sized(found), "id", "left")
-            .mapInArrow(_kept, "id long, n_words long, n_removed long, kept string"))
+    found = repeated_runs(text_rows(docs, id_col, text_col), window)
+    row = [F.struct("*").alias("row")] if carry else []
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *row)
+    schema = "id long, n_words long, n_removed long, kept string"
+    if carry:
+        schema += f", row {docs.schema.simpleString()}"
+    return (texts.join(_sized(found), "id", "left").select("id", "text", "runs", *(["row"] if carry else []))
+            .mapInArrow(_kept, schema))
