@@ -109,8 +109,9 @@ def marks(templates: dict[str, str], percent: int) -> list[str] | None:
 
 def unit_bigrams(unit: Column) -> Column:
     words = words_of(lower_ascii(unit))
-    return F.array_distinct(F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
-                                       lambda a, b: F.concat_ws(" ", a, b)))
+    pairs = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(words, 1, pairs), F.slice(words, 2, pairs),
+                                       lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
 def licence_units(docs: DataFrame, templates: dict[str, str], percent: int) -> DataFrame:
@@ -154,6 +155,6 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int
             .groupBy("id").agg(F.array_sort(F.collect_list("license")).alias("licenses"),
                                F.min(F.struct((-F.col("dice")).alias("d"), "license")).alias("first")))
     found = stage(best.select("id", "licenses", F.col("first.license").alias("best"), (-F.col("first.d")).alias("dice")))
-    return (rows.select("id").join(found, "id", "left")
-            .select("id", F.coalesce("licenses", F.array().cast("array<string>")).alias("licenses"), "best",
+    return (rows.select("id").alias("r").join(found.alias("f"), F.col("r.id").eqNullSafe(F.col("f.id")), "left")
+            .select("r.id", F.coalesce("licenses", F.array().cast("array<string>")).alias("licenses"), "best",
                     F.coalesce("dice", F.lit(0.0)).alias("dice")))
