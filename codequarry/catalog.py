@@ -23,7 +23,6 @@ UPLOAD_EXTENSIONS = [
 MAX_UPLOAD_FILES = 100
 MAX_UPLOAD_FILE_BYTES = 5 * 1024 * 1024
 MAX_UPLOAD_TOTAL_BYTES = 100 * 1024 * 1024
-BINARY_SAMPLE_BYTES = 8000
 RETENTION_HOURS = 24
 
 # --- fixed values: repository address ----------------------------------------
@@ -39,7 +38,6 @@ GENERIC_FUNCTION = (
     r"\s*(\w+|\(\s*\))"
 )
 GENERIC_VARIABLE = r"^\s*(\w+)\s*=\s*[^=]"
-GENERIC_VARIABLE_LIMIT = 10
 COMMENT = r"""^\s*(#|//|/\*|\*|'''|\"\"\").*$"""
 
 # JavaScript and TypeScript (MULTILINE).
@@ -169,8 +167,6 @@ MISSING_SUMMARY_TEXT = "Analysis complete."
 MISSING_RATING = "unknown"
 
 # --- fixed values: similarity and copies --------------------------------------
-TERM = r"(?u)\b\w\w+\b"
-MAX_TERMS = 1000
 SIMILAR_ABOVE = 0.7
 SIMILAR_BELOW = 0.99
 QUERY_LINES = 10

@@ -34,11 +34,12 @@ def _metric_columns() -> list[dict[str, Column]]:
         "line_count": X.line_count(content).cast("int"),
         "comment_count": M.comment_count(content),
         "complexity": M.complexity(content),
-        "concepts": M.concepts(content),
+        "word_ranks": M.word_ranks(content),
         "code_smells": N.code_smells(content, F.col("wide_functions")),
         "security_issues": N.security_issues(content),
         "short_names": M.has_short_variable(content),
     }, {
+        "concepts": M.concepts(F.col("word_ranks")),
         "comment_ratio": M.comment_ratio(F.col("comment_count"), F.col("line_count")),
     }, {
         "quality_score": N.quality_score(F.col("code_smells"), F.col("security_issues"),

@@ -59,18 +59,23 @@ def identifier_words(content: Column) -> Column:
     return F.filter(F.split(F.lower(F.array_join(pieces, " ")), " ", -1), lambda w: w != "")
 
 
-def concepts(content: Column, stopwords: list[str] | None = None) -> Column:
-    """array<struct<word, cnt>>: the ten most frequent words, ties by first use."""
+def word_ranks(content: Column, stopwords: list[str] | None = None) -> Column:
+    """array<struct<word, cnt>>: the words by frequency, ties by first use."""
     stop = F.array(*[F.lit(w) for w in (C.STOPWORDS if stopwords is None else stopwords)])
     kept = F.filter(
         X.word_counts(F.filter(identifier_words(content), lambda w: F.length(w) > 2)),
         lambda e: ~F.array_contains(stop, e.word))
     ranked = F.sort_array(F.transform(kept, lambda e: F.struct(
         (-e.cnt).alias("neg"), e.pos.alias("pos"), e.word.alias("word"))))
-    return F.transform(F.slice(ranked, 1, C.TOP_CONCEPTS), lambda e: F.struct(
+    return F.transform(ranked, lambda e: F.struct(
         e.word.alias("word"), (-e.neg).cast("long").alias("cnt")))
 
 
+def concepts(ranks: Column, k: int = C.TOP_CONCEPTS) -> Column:
+    """The k most frequent words."""
+    return F.slice(ranks, 1, k)
+
+
 def has_short_variable(content: Column) -> Column:
     return content.rlike(X.jvm_regex(C.SHORT_VARIABLE))
 

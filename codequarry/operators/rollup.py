@@ -121,8 +121,8 @@ def basic_summary(projects: DataFrame, analysed: DataFrame) -> DataFrame:
 
 
 def project_concepts(analysed: DataFrame, k: int = C.TOP_CONCEPTS) -> DataFrame:
-    """Top words of a project from the top words of its files."""
-    rows = analysed.select("project", "path", F.posexplode(X.each("concepts")).alias("pos", "c"))
+    """Top words of a project from all words of its files."""
+    rows = analysed.select("project", "path", F.posexplode(X.each("word_ranks")).alias("pos", "c"))
     counted = rows.groupBy("project", F.col("c.word").alias("word")).agg(
         F.sum("c.cnt").alias("cnt"), F.min(F.struct("path", "pos")).alias("first"))
     return top_k(counted, ["project"], [F.desc("cnt"), F.asc("first")], k).drop("first")
@@ -210,9 +210,14 @@ def directory_metrics(files: DataFrame) -> DataFrame:
         F.count("*").alias("file_count"), F.min("path").alias("dir_ord"))
 
 
+def component_directories(files: DataFrame) -> DataFrame:
+    """All directories with two or more files."""
+    return directory_metrics(files).where("file_count >= 2")
+
+
 def components(files: DataFrame) -> DataFrame:
-    """The ten largest directories with two or more files, and five example files each."""
-    large = directory_metrics(files).where("file_count >= 2")
+    """The ten largest component directories, and five example files each."""
+    large = component_directories(files)
     top = top_k(large, ["project"], [F.desc("file_count"), F.asc("dir_ord")], 10, "component_rank")
     examples = _ranked_list(
         top_k(directory_files(files), ["project", "dir"], [F.asc("path")], 5),

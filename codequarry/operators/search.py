@@ -1,8 +1,8 @@
 """Finding many texts inside many texts with equi-joins.
 
 A substring has at least one gram in common with the text that holds it, so
-candidates come from a hash join on grams and are then checked. A small set of
-needles, counted first, is broadcast and tested during the scan instead.
+candidates come from a hash join on grams and are then checked, however many or few
+the needles are. A blank needle is in no text.
 """
 
 from __future__ import annotations
@@ -12,17 +12,11 @@ from pyspark.sql import functions as F
 
 from codequarry.functions import text as X
 
-BROADCAST_ROWS = 256
 _GRAMS = (6, 3, 1)
 _CHUNK = 1000
 WORD_RUN = r"[\p{L}\p{N}_]++"
 
 
-def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether a frame has at most ``limit`` rows; reads no further than that."""
-    return df.limit(limit + 1).count() <= limit
-
-
 def _needle_gram(needle: Column) -> Column:
     size = F.length(needle)
     k = F.when(size >= _GRAMS[0], _GRAMS[0]).when(size >= _GRAMS[1], _GRAMS[1]).otherwise(1)
@@ -39,16 +33,12 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.concat(*[of(k) for k in _GRAMS]))
 
 
-def substring_pairs(haystack: DataFrame, needles: DataFrame,
-                    small: bool | None = None) -> DataFrame:
+def substring_pairs(haystack: DataFrame, needles: DataFrame) -> DataFrame:
     """haystack(project, hid, text) x needles(project, needle) -> (project, hid, needle)
     for every text that contains the needle. Without ``text``, ``hid`` is the text."""
     named = "text" not in haystack.columns
     haystack = haystack.withColumn("text", F.col("hid")) if named else haystack
     needles = needles.select("project", "needle").where("needle <> ''").distinct()
-    if is_small(needles) if small is None else small:
-        return haystack.join(F.broadcast(needles), "project").where(
-            F.contains("text", F.col("needle"))).select("project", "hid", "needle")
     keyed = needles.withColumn("gram", _needle_gram(F.col("needle")))
     chunks = haystack.select("project", "hid", F.explode(F.transform(
         F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(_CHUNK)),
@@ -62,17 +52,14 @@ def substring_pairs(haystack: DataFrame, needles: DataFrame,
         F.contains("text", F.col("needle"))).select("project", "hid", "needle")
 
 
-def content_hits(files: DataFrame, needles: DataFrame, small: bool | None = None) -> DataFrame:
+def content_hits(files: DataFrame, needles: DataFrame) -> DataFrame:
     """(project, path, needle) where the lower-cased content holds the needle.
 
-    Few needles ride along with the scan. Many are matched against the distinct
-    blank-free tokens of a project, which grow far slower than the text.
+    Needles are matched against the distinct blank-free tokens of a project, which
+    grow far slower than the text.
     """
-    needles = needles.select("project", "needle").distinct()
+    needles = needles.select("project", "needle").where(F.trim("needle") != "").distinct()
     text = F.lower("content")
-    if is_small(needles) if small is None else small:
-        return files.join(F.broadcast(needles), "project").where(
-            F.contains(text, F.col("needle"))).select("project", "path", "needle")
     piece = F.element_at(F.array_sort(
         F.split(F.trim("needle"), "\\s+"),
         lambda a, b: F.length(a) - F.length(b)), -1)
@@ -82,7 +69,7 @@ def content_hits(files: DataFrame, needles: DataFrame, small: bool | None = None
     tokens = tokens.withColumn("hid", F.md5("token"))
     vocabulary = tokens.groupBy("project", "hid").agg(F.any_value("token").alias("text"))
     matched = substring_pairs(vocabulary, pieces.select(
-        "project", F.col("piece").alias("needle")), small)
+        "project", F.col("piece").alias("needle")))
     matched = matched.withColumnRenamed("needle", "piece").join(pieces, ["project", "piece"])
     hits = tokens.drop("token").join(matched, ["project", "hid"]).select(
         "project", "path", "needle").distinct()
@@ -92,15 +79,13 @@ def content_hits(files: DataFrame, needles: DataFrame, small: bool | None = None
     return hits.where(~spaced).unionByName(checked)
 
 
-def word_hits(files: DataFrame, words: DataFrame, small: bool | None = None) -> DataFrame:
+def word_hits(files: DataFrame, words: DataFrame) -> DataFrame:
     """(project, path, needle, line) of every line holding the needle as whole words."""
     words = words.select("project", "needle").distinct().withColumn(
         "word", F.get(F.regexp_extract_all("needle", F.lit(WORD_RUN), F.lit(0)), 0)
     ).where("word is not null")
     tokens = files.select("project", "path", F.explode(F.array_distinct(
         F.regexp_extract_all(F.lower("content"), F.lit(WORD_RUN), F.lit(0)))).alias("word"))
-    if is_small(words) if small is None else small:
-        words = F.broadcast(words)
     hits = tokens.join(words, ["project", "word"]).select("project", "path", "needle")
     edge = r"[\p{L}\p{N}_]"
     pattern = F.concat(F.lit(f"(?<!{edge})\\Q"), F.replace("needle", F.lit("\\E"), F.lit("")),

@@ -38,12 +38,14 @@ def term_counts(files: DataFrame, stopwords: list[str] | None = None) -> DataFra
         "project", "path", F.col("word").alias("term"), F.col("cnt").alias("tf"))
 
 
-def vocabulary(terms: DataFrame, files: DataFrame, max_terms: int = C.MAX_TERMS) -> DataFrame:
-    """The most frequent terms of each project with idf; ``rank`` orders them rarest first."""
+def vocabulary(terms: DataFrame, files: DataFrame, max_terms: int | None = None) -> DataFrame:
+    """The terms of each project with idf; ``rank`` orders them rarest first. ``max_terms`` keeps
+    only the most frequent ones."""
     n = files.groupBy("project").agg(F.count("*").alias("n"))
-    kept = top_k(
-        terms.groupBy("project", "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")),
-        ["project"], [F.desc("total"), F.asc("term")], max_terms).join(n, "project")
+    kept = terms.groupBy("project", "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+    if max_terms is not None:
+        kept = top_k(kept, ["project"], [F.desc("total"), F.asc("term")], max_terms)
+    kept = kept.join(n, "project")
     rarest = Window.partitionBy("project").orderBy("df", "term")
     return kept.select(
         "project", "term", F.row_number().over(rarest).alias("rank"),
@@ -51,7 +53,7 @@ def vocabulary(terms: DataFrame, files: DataFrame, max_terms: int = C.MAX_TERMS)
 
 
 def vectors(files: DataFrame, stopwords: list[str] | None = None,
-            max_terms: int = C.MAX_TERMS) -> DataFrame:
+            max_terms: int | None = None) -> DataFrame:
     """(project, path, sig, ranks, weights): unit vectors; equal ``sig`` = equal vector."""
     terms = stage(term_counts(files, stopwords))
     vocab = vocabulary(terms, files, max_terms)
@@ -69,11 +71,11 @@ def vectors(files: DataFrame, stopwords: list[str] | None = None,
 
 def vector_classes(vectors_: DataFrame) -> DataFrame:
     """(project, sig, cid, n, ranks, weights): one row per distinct vector, ``n`` files having
-    it. The ids are fixed by being written."""
+    it."""
     distinct = vectors_.groupBy("project", "sig").agg(
         F.count("*").alias("n"), F.any_value("ranks").alias("ranks"),
         F.any_value("weights").alias("weights"))
-    return stage(distinct.withColumn("cid", F.monotonically_increasing_id()))
+    return stage(distinct.withColumn("cid", F.xxhash64("project", "sig")))
 
 
 def _dot(r1: pa.Array, w1: pa.Array, r2: pa.Array, w2: pa.Array) -> pa.Array:
@@ -156,7 +158,7 @@ def similar_classes(classes: DataFrame, above: float = C.SIMILAR_ABOVE,
 
 
 def similar_files(files: DataFrame, stopwords: list[str] | None = None,
-                  max_terms: int = C.MAX_TERMS) -> DataFrame:
+                  max_terms: int | None = None) -> DataFrame:
     """(project, file1, file2, similarity) of all file pairs between the thresholds.
 
     A class with many files is spread over blocks before its pairs are spelled out.

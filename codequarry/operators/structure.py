@@ -61,8 +61,9 @@ def _present(names: Column) -> Column:
     return F.filter(names, lambda n: n != "")
 
 
-def generic_elements(content: Column) -> Column:
-    """Rules for any language without its own; an import is named by its keyword."""
+def generic_elements(content: Column, variable_limit: int | None = None) -> Column:
+    """Rules for any language without its own; an import is named by its keyword. All variables
+    count, or the first ``variable_limit`` matches."""
     cls = X.jvm_regex(C.GENERIC_CLASS, multiline=True)
     fun = X.jvm_regex(C.GENERIC_FUNCTION, multiline=True)
     imp = X.jvm_regex(C.GENERIC_IMPORT, multiline=True)
@@ -75,8 +76,9 @@ def generic_elements(content: Column) -> Column:
             kind, p["n"], X.first_line_of(text, F.concat_ws(" ", p["k"], p["n"]))))
 
     def build(text: Column) -> Column:
+        found = X.matches(content, var)
         variables = F.transform(
-            F.slice(X.matches(content, var), 1, C.GENERIC_VARIABLE_LIMIT),
+            found if variable_limit is None else F.slice(found, 1, variable_limit),
             lambda n: _element("variable", n, X.first_line_of(text, F.concat(n, F.lit(" =")))))
         return _in_line_order(F.concat(
             _named("import", X.matches(content, imp), text),
@@ -142,6 +144,7 @@ def python_statements(content: Column) -> Column:
     numbered = F.array_join(F.transform(
         X.lines(content), lambda l, i: F.concat((i + 1).cast("string"), F.lit("\x02"), l)), "\n")
     emptied = F.regexp_replace(numbered, "(?s)(\"\"\"|''').*?\\1", "\"\"")
+    emptied = F.regexp_replace(emptied, "\\\\\\n\\d+\\x02\\s*", " ")
     joined = F.regexp_replace(
         emptied, "\\n\\d+\\x02\\s*(?=[^()\\[\\]{}]*[)\\]}])", " ")
     shape = "^(\\d+)\\x02(\\s*)(.*)"
@@ -152,6 +155,22 @@ def python_statements(content: Column) -> Column:
     return F.filter(rows, lambda r: (r.code != "") & ~F.startswith(r.code, F.lit("#")))
 
 
+def plausible_python(content: Column) -> Column:
+    """Whether brackets match in number outside strings and comments, and every class and
+    function header is whole. What is not is left to the generic rules, as the parser would."""
+    strings = ("(?s)(\"\"\"|\'\'\').*?\\1|\"(?:[^\"\\\\\\n]|\\\\.)*+\"|\'(?:[^\'\\\\\\n]|\\\\.)*+\'|#[^\\n]*+")
+    bare = F.regexp_replace(content, strings, "")
+
+    def balanced(text: Column) -> Column:
+        count = lambda m: F.length(text) - F.length(F.replace(text, F.lit(m), F.lit("")))
+        return (count("(") == count(")")) & (count("[") == count("]")) & (count("{") == count("}"))
+
+    def whole(s: Column) -> Column:
+        return (~s.code.rlike("^(class|def)\\s") | s.code.rlike(_DEF + "[^:]*:") | s.code.rlike(_CLASS + "\\s*:"))
+
+    return X.let(bare, balanced) & F.forall(python_statements(content), whole)
+
+
 def enclosing_headers(statements: Column) -> Column:
     """Class and function headers with the block that directly holds each.
 
@@ -271,7 +290,7 @@ def with_elements(files: DataFrame, python_mode: str = "exact",
     out = files
     for step in _element_columns(python_mode, extra):
         out = out.withColumns(step)
-    return out.drop("facts", "rules")
+    return out.drop("facts", "native_ok", "rules")
 
 
 @per_context
@@ -286,9 +305,10 @@ def _element_columns(python_mode: str, extra: tuple) -> list[dict[str, Column]]:
             generic_elements(content))
         wide, parsed = F.col("facts.wide"), F.when(rules == "python", F.col("facts.ok"))
     else:
-        python = native_python_elements(content)
-        wide = F.when(rules == "python", native_wide_functions(content))
-        parsed = F.lit(None).cast("boolean")
+        steps.append({"native_ok": F.when(rules == "python", plausible_python(content))})
+        parsed = F.col("native_ok")
+        python = F.when(parsed, native_python_elements(content)).otherwise(generic_elements(content))
+        wide = F.when(parsed, native_wide_functions(content))
     steps.append({
         "parse_ok": parsed,
         "wide_functions": F.coalesce(

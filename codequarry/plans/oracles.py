@@ -89,7 +89,7 @@ STEPS: dict[str, str] = {
     "gen_classes": _found("class", 2, _GENERIC, C.GENERIC_CLASS, 2, "g1 || ' ' || g2"),
     "gen_functions": _found("function", 3, _GENERIC, C.GENERIC_FUNCTION, 2, "g1 || ' ' || g2"),
     "gen_variables": "SELECT * FROM (" + _found(
-        "variable", 4, _GENERIC, C.GENERIC_VARIABLE, 1, "n || ' ='") + ") v WHERE pos <= 10 AND line > 0",
+        "variable", 4, _GENERIC, C.GENERIC_VARIABLE, 1, "n || ' ='") + ") v WHERE line > 0",
     "js_imports": " UNION ALL ".join(
         _found("import", 1, _JS, p, 1, "n").replace(", pos, 'import'", f", {i} * 1000 + pos AS pos, 'import'", 1)
         for i, p in enumerate(C.JS_IMPORTS)),
@@ -184,9 +184,10 @@ STEPS: dict[str, str] = {
                     '[A-Z]([0-9])', ' \\1', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'),
                     '[A-Z]?[a-z]+|[A-Z]+') AS l FROM meta) a) b
       WHERE len(word) > 2 AND lower(word) NOT IN ({_STOP})""",
-    "concepts": """SELECT * FROM (SELECT project, path, word, count(*) AS cnt, row_number() OVER (
+    "ranked_words": """SELECT project, path, word, count(*) AS cnt, row_number() OVER (
           PARTITION BY project, path ORDER BY count(*) DESC, min(pos)) - 1 AS rnk
-        FROM words GROUP BY project, path, word) a WHERE rnk < 10""",
+        FROM words GROUP BY project, path, word""",
+    "concepts": "SELECT * FROM ranked_words WHERE rnk < 10",
     "magic": f"""SELECT project, path, 'smell' AS kind, 3 AS rule, 'magic_number' AS type,
         {_str(C.SMELL_RULES[2][2])} AS message, 1 + len(before) - len(replace(before, chr(10), '')) AS line,
         'medium' AS severity, i AS nth
@@ -272,8 +273,8 @@ STEPS: dict[str, str] = {
           PARTITION BY project ORDER BY count(*) DESC, min(path || '#' || lpad(CAST(found AS VARCHAR), 9, '0'))) AS rnk
         FROM import_texts GROUP BY project, name) a WHERE rnk <= 10""",
     "project_words": """SELECT project, word, CAST(cnt AS BIGINT) AS cnt, rnk FROM (SELECT project, word, sum(cnt) AS cnt,
-          row_number() OVER (PARTITION BY project ORDER BY sum(cnt) DESC, min(path || '#' || rnk)) AS rnk
-        FROM concepts GROUP BY project, word) a WHERE rnk <= 10""",
+          row_number() OVER (PARTITION BY project ORDER BY sum(cnt) DESC, min(path || '#' || lpad(CAST(rnk AS VARCHAR), 9, '0'))) AS rnk
+        FROM ranked_words GROUP BY project, word) a WHERE rnk <= 10""",
     "kinds": "SELECT project, kind, type, count(*) AS cnt FROM findings GROUP BY ALL",
     "quality": f"""SELECT project, {py_round_sql('quality_sum / file_count::DOUBLE', 1)} AS quality_score,
         {py_round_sql('hundredths / 100.0e0 / file_count', 2)} AS comment_ratio,
@@ -303,13 +304,13 @@ STEPS: dict[str, str] = {
           unnest([{", ".join(_str(C.AI_RECOMMENDATIONS[k]) for k in ("security", "complexity", "quality"))}]) AS message
         FROM quality) a WHERE holds""",
     "own_advice": f"""SELECT project, nth, type, message FROM (
-        SELECT r.project, unnest([documentation_rating = 'poor', complexity_rating = 'poor', false,
+        SELECT r.project, unnest([documentation_rating = 'poor', complexity_rating = 'poor', coalesce(c.n, 0) > 10,
             coalesce(e.n, 0) > coalesce(c.n, 0) * 2, coalesce(inconsistent, false), NOT has_tests, security_issues > 0]) AS holds,
           unnest([10, 11, 12, 13, 14, 15, 16]) AS nth,
           unnest(['documentation', 'complexity', 'architecture', 'architecture', 'naming', 'testing', 'security']) AS type,
           unnest([{", ".join(_str(C.REVIEW_RECOMMENDATIONS[k]) for k in C.REVIEW_RECOMMENDATIONS)}]) AS message
         FROM ratings r LEFT JOIN (SELECT project, count(*) AS n FROM component_pairs GROUP BY project) e USING (project)
-          LEFT JOIN (SELECT project, count(*) AS n FROM big_dirs GROUP BY project) c USING (project)
+          LEFT JOIN (SELECT project, count(*) AS n FROM dirs WHERE file_count >= 2 GROUP BY project) c USING (project)
           LEFT JOIN naming USING (project) LEFT JOIN tested USING (project)) a WHERE holds""",
     "advice": """SELECT project, row_number() OVER (PARTITION BY project ORDER BY nth) - 1 AS nth, type, message
       FROM (SELECT * FROM ai_advice UNION ALL SELECT * FROM own_advice) a""",
@@ -464,6 +465,13 @@ def _of(table: str, kind: str, *more: str) -> str:
     return build(f"SELECT {columns} FROM {table} WHERE type = '{kind}'")
 
 
+def _of_python(kind: str, *more: str) -> str:
+    """All Python files; what the parser would reject has generic elements."""
+    columns = ", ".join([_P, "name", "line", "parse_ok", *more])
+    return build(f"""SELECT {columns} FROM (SELECT e.*, NOT broken AS parse_ok FROM elements e
+      JOIN meta USING (project, path) WHERE language = 'Python') x WHERE type = '{kind}'""")
+
+
 def _figure(*columns: str) -> str:
     return build(f"SELECT {_P}, {', '.join(columns)} FROM figures")
 
@@ -499,9 +507,7 @@ WHERE s > 0.7 AND s < 0.99""", texts=f"SELECT project, path, content FROM {sourc
         "tf": f"""SELECT project, path, term, count(*) AS tf FROM (SELECT project, path,
             unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM texts) a
           WHERE term NOT IN ({_STOP}) GROUP BY ALL""",
-        "terms": """SELECT project, term, df FROM (SELECT project, term, count(*) AS df, row_number() OVER (
-            PARTITION BY project ORDER BY sum(tf) DESC, term) AS rnk FROM tf GROUP BY project, term) a
-          WHERE rnk <= 1000""",
+        "terms": "SELECT project, term, count(*) AS df FROM tf GROUP BY project, term",
         "sizes": "SELECT project, count(*) AS n FROM texts GROUP BY project",
         "raw": """SELECT project, path, term, tf * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS w
           FROM tf JOIN terms USING (project, term) JOIN sizes USING (project)""",
@@ -523,10 +529,12 @@ def _gram_sets(left: str, right: str) -> str:
 
 _SHARED = "len(list_intersect(a, b))"
 _UNION = "(len(a) + len(b) - len(list_intersect(a, b)))"
+_STEM_AND_BLOCK = """(regexp_replace(name, '[0-9]+$', '') || '#' ||
+  CAST(CAST(regexp_extract(path, '([0-9]+)\\.[a-z]+$', 1) AS BIGINT) // 24 AS VARCHAR))"""
 _PAIR_STEPS = {
     "files": FX.RICH_FILES,
-    "things_used": """SELECT * FROM (SELECT *, regexp_replace(name, '[0-9]+$', '') AS subject, row_number() OVER (
-        PARTITION BY project, regexp_replace(name, '[0-9]+$', '') ORDER BY path, ord) AS nth
+    "things_used": """SELECT * FROM (SELECT *, {subject} AS subject, row_number() OVER (
+        PARTITION BY project, {subject} ORDER BY path, ord) AS nth
       FROM things WHERE type = '{kind}') t WHERE nth = 1""",
 }
 
@@ -536,7 +544,7 @@ _CODED = f"""SELECT *, {_run_list('wa')} AS grams FROM (SELECT *, regexp_extract
 
 
 def _pairs(kind: str) -> dict[str, str]:
-    return {"files": FX.RICH_FILES, "things_used": _PAIR_STEPS["things_used"].format(kind=kind),
+    return {"files": FX.RICH_FILES, "things_used": _PAIR_STEPS["things_used"].format(kind=kind, subject=_STEM_AND_BLOCK),
             "coded": _CODED}
 
 
@@ -649,7 +657,7 @@ _COMPARE_STEPS = {"things_used": "SELECT * FROM best", "coded": _BEST_USED["code
                   "file_sets": _FILE_SETS}
 
 ORACLES: dict[str, str] = {
-    "s02_drop_binary": f"""SELECT doc_id FROM (SELECT doc_id, left(hex({_BYTES}), 16000) AS h FROM documents) a
+    "s02_drop_binary": f"""SELECT doc_id FROM (SELECT doc_id, hex({_BYTES}) AS h FROM documents) a
       WHERE NOT regexp_matches(h, '^(?:[0-9A-F][0-9A-F])*00') AND TRY(decode(unhex(h))) IS NOT NULL""",
     "s03_decode_text": """SELECT doc_id, md5(regexp_replace(text, '\\r\\n?', chr(10), 'g')
         || CASE WHEN doc_id % 3 = 0 THEN chr(65533) || chr(65533) ELSE '' END) AS digest FROM documents""",
@@ -681,11 +689,12 @@ ORACLES: dict[str, str] = {
     "e05_generic_classes": build(f"SELECT {_P}, name, line FROM gen_classes i SEMI JOIN (SELECT * FROM meta WHERE rules = 'generic') m USING (project, path)"),
     "e06_generic_functions": build(f"SELECT {_P}, name, line FROM gen_functions i SEMI JOIN (SELECT * FROM meta WHERE rules = 'generic') m USING (project, path)"),
     "e07_generic_variables": build(f"SELECT {_P}, name, line FROM gen_variables i SEMI JOIN (SELECT * FROM meta WHERE rules = 'generic') m USING (project, path)"),
-    "e08_python_imports": _of("py_elements", "import"),
-    "e09_python_classes": _of("py_elements", "class", "bases", "methods"),
-    "e10_python_functions": _of("py_elements", "function", "params"),
-    "e11_python_variables": _of("py_elements", "variable"),
-    "e12_enclosing_header": build("SELECT project, path, line, in_class FROM py_headers"),
+    "e08_python_imports": _of_python("import"),
+    "e09_python_classes": _of_python("class", "bases", "methods"),
+    "e10_python_functions": _of_python("function", "params"),
+    "e11_python_variables": _of_python("variable"),
+    "e12_enclosing_header": build("SELECT project, path, line, in_class FROM py_headers",
+                                  py_text=STEPS["py_text"].replace(" AND NOT broken", "")),
     "e13_python_exact": build("""SELECT project, path, NOT broken AS parse_ok, line, type, name, params, bases, methods
       FROM elements JOIN meta USING (project, path) WHERE language = 'Python'"""),
     "e14_js_imports": build(f"SELECT {_P}, name, line FROM js_imports"),

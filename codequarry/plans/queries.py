@@ -52,16 +52,17 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A given table; one stored in fewer files than there are cores is spread out."""
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def derived(spark: SparkSession, sf: str, sql: str, *tables: str) -> DataFrame:
-    """A corpus computed from given tables by the SQL the oracle shares."""
+    """A corpus computed from given tables by the SQL the oracle shares.
+
+    Their rows are short and each becomes a file, so they are spread before it does.
+    """
+    cores = spark.sparkContext.defaultParallelism
     for name in tables or ("part",):
-        table(spark, sf, name).createOrReplaceTempView(name)
+        table(spark, sf, name).repartition(cores).createOrReplaceTempView(name)
     return spark.sql(sql)
 
 
@@ -180,14 +181,17 @@ def _(spark, sf):
 @per_context
 def _rule_elements(rules: str):
     build = {"generic": S.generic_elements, "javascript": S.javascript_elements,
-             "java": S.java_elements, "python": S.native_python_elements}
+             "java": S.java_elements}
     return build[rules](F.col("content"))
 
 
 def _elements_by(spark, sf, rules: str, kind: str, *more: str) -> DataFrame:
     files = corpus(spark, sf).where(S.rule_set(S.language_of(F.col("path"))) == rules)
     if rules == "python":
-        files = files.where(~F.contains("content", F.lit("def broken(:")))
+        return S.with_elements(files, "native").select(
+            "project", "path", "parse_ok", F.explode(X.each("elements")).alias("e")).where(
+                F.col("e.type") == kind).select("project", "path", "e.name", "e.line", "parse_ok",
+                                                *[f"e.{m}" for m in more])
     return files.withColumn("elements", _rule_elements(rules)).select(
         "project", "path", F.posexplode(X.each("elements")).alias("ord", "e")).where(
             F.col("e.type") == kind).select("project", "path", "e.name", "e.line",
@@ -213,8 +217,7 @@ for _name, _args in {
 
 @query("e12_enclosing_header")
 def _(spark, sf):
-    files = corpus(spark, sf).where(S.language_of(F.col("path")) == "Python").where(
-        ~F.contains("content", F.lit("def broken(:")))
+    files = corpus(spark, sf).where(S.language_of(F.col("path")) == "Python")
     headers = _headers()
     return files.select("project", "path", F.inline(headers)).select(
         "project", "path", "line", "in_class")
@@ -572,11 +575,13 @@ def _(spark, sf):
 
 
 def _compared(spark, sf, kind, compare) -> DataFrame:
-    """Every definition against the one of the same name in the other team projects."""
+    """Every definition against those of its kind in the other team projects: the same name up to
+    its number, in files whose numbers are in the same block of twenty-four."""
     files = derived(spark, sf, FX.RICH_FILES)
     analysed_ = S.with_elements(files).drop("content")
     things = A.named_things(analysed_).where(F.col("type") == kind).withColumn(
-        "subject", F.regexp_replace("name", "[0-9]+$", ""))
+        "subject", F.concat(F.regexp_replace("name", "[0-9]+$", ""), F.lit("#"), F.floor(
+            F.regexp_extract("path", r"([0-9]+)\.[a-z]+$", 1).cast("long") / 24).cast("string")))
     best = A._with_code(A.best_elements(things.withColumn("partial", F.lit(0))), files)
     side = lambda n: best.select("subject", *[F.col(c).alias(f"{c}{n}") for c in
                                               ("project", "name", "code", "params", "methods")])

@@ -27,7 +27,7 @@ def review_analysed(analysed: DataFrame) -> DataFrame:
     largest = parts.groupBy("project").agg(
         F.sort_array(F.collect_list(F.struct("component_rank", "name", "file_count", "files")))
         .alias("components"))
-    sizes = parts.groupBy("project").agg(F.count("*").alias("n_components"))
+    sizes = R.component_directories(analysed).groupBy("project").agg(F.count("*").alias("n_components"))
     edges = L.component_edges(analysed).groupBy("project").agg(F.count("*").alias("n_edges"))
     imports = R._ranked_list(R.common_imports(analysed), ["project"], F.struct("name", "cnt"),
                              "common_imports")

@@ -2,28 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="codequarry-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write the frame once to the shared folder and read it back.
+    """A frame that is worked out once, however many reports read it.
 
-    Being columnar, each reader loads only the columns it needs, and a lost executor
-    costs a re-read, not a re-analysis.
+    Where the session names a shared folder (`spark.checkpoint.dir`), the frame is written there
+    and read back: readers load only their columns and a lost executor costs a re-read. Elsewhere
+    it is kept by the executors as it is first read, and parts that are lost are worked out anew;
+    nothing is written to a folder of one machine. `spark.catalog.clearCache()` lets go of it.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    path = f"{folder.rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

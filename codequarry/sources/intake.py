@@ -11,13 +11,14 @@ from codequarry.operators.rollup import top_k
 from codequarry.operators.search import suffix_matches
 
 
-def is_binary(raw: Column, sample: int = C.BINARY_SAMPLE_BYTES) -> Column:
-    """NUL or invalid UTF-8 in the first bytes; a character cut by the sample counts."""
-    head = F.substring(raw, 1, sample).cast("string")
+def is_binary(raw: Column, sample: int | None = None) -> Column:
+    """NUL or invalid UTF-8 anywhere, or in the first ``sample`` bytes, where a character that the
+    sample cuts counts."""
+    head = (raw if sample is None else F.substring(raw, 1, sample)).cast("string")
     return F.contains(head, F.lit("\x00")) | ~F.is_valid_utf8(head)
 
 
-def drop_binary(df: DataFrame, sample: int = C.BINARY_SAMPLE_BYTES) -> DataFrame:
+def drop_binary(df: DataFrame, sample: int | None = None) -> DataFrame:
     return df.where(~is_binary(F.col("bytes"), sample))
 
 

@@ -25,31 +25,38 @@ def texts(n):
     return [" ".join(RNG.choices(WORDS, k=RNG.randint(0, 12))) + "\n" + RNG.choice(WORDS) * 2 for _ in range(n)]
 
 
-def test_content_hits_both_ways(spark, make_files):
+def test_content_hits(spark, make_files):
     files = make_files(*[(f"p{i % 2}", f"f{i}", t) for i, t in enumerate(texts(40) + ["q" * 2500 + "zend"])])
     needles = ["load", "oad item", "secret", "zend", "x", "é", "t1", "me\n", "nothing", "aaaaaaa", "item get_size"]
     n = spark.createDataFrame([(f"p{i}", x) for i in (0, 1) for x in needles], "project string, needle string")
     want = {(r.project, r.path, x) for r in files.collect() for x in needles if x in r.content.lower()}
-    for small in (True, False):
-        assert {tuple(r) for r in SE.content_hits(files, n, small).collect()} == want
+    assert {tuple(r) for r in SE.content_hits(files, n).collect()} == want
+    few = n.where("needle = 'oad item'")
+    assert {tuple(r) for r in SE.content_hits(files, few).collect()} == {w for w in want if w[2] == "oad item"}
 
 
-def test_substring_pairs_both_ways(spark):
+def test_blank_needles_are_in_no_text(spark, make_files):
+    files = make_files(("p", "a", "some text with  blanks"))
+    n = spark.createDataFrame([("p", x) for x in ("", " ", "\n")], "project string, needle string")
+    assert not SE.content_hits(files, n).collect() and not SE.word_hits(files, n).collect()
+    names = spark.createDataFrame([("p", "x")], "project string, hid string")
+    assert not SE.substring_pairs(names, n).collect()
+
+
+def test_substring_pairs(spark):
     names = [("p", n) for n in ["helper12", "get_helper1", "x", "from a import b", "h" * 1500 + "elper"]]
     needles = ["helper1", "x", "er12", "a import", "elper", "zz", "hhhhhh"]
     h = spark.createDataFrame(names, "project string, hid string")
     n = spark.createDataFrame([("p", x) for x in needles], "project string, needle string")
     want = {("p", t, x) for _, t in names for x in needles if x in t}
-    for small in (True, False):
-        assert {tuple(r) for r in SE.substring_pairs(h, n, small).collect()} == want
+    assert {tuple(r) for r in SE.substring_pairs(h, n).collect()} == want
 
 
 def test_word_hits(spark, make_files):
     files = make_files(("p", "a", "load item\nloaded item load\nLoad\nunload load2"), ("p", "b", "none"))
     n = spark.createDataFrame([("p", "load"), ("p", "load item")], "project string, needle string")
-    for small in (True, False):
-        got = {(r.path, r.needle, r.line) for r in SE.word_hits(files, n, small).collect()}
-        assert got == {("a", "load", 1), ("a", "load", 2), ("a", "load", 3), ("a", "load item", 1)}
+    got = {(r.path, r.needle, r.line) for r in SE.word_hits(files, n).collect()}
+    assert got == {("a", "load", 1), ("a", "load", 2), ("a", "load", 3), ("a", "load item", 1)}
 
 
 def cosine_pairs(files):
@@ -63,7 +70,7 @@ def cosine_pairs(files):
         for c in tf.values():
             total.update(c)
             df.update(c.keys())
-        vocab = [w for w, _ in sorted(total.items(), key=lambda e: (-e[1], e[0]))[:C.MAX_TERMS]]
+        vocab = sorted(total)
         n = len(rows)
         vec = {}
         for path, c in tf.items():

@@ -90,7 +90,7 @@ def test_concepts(spark):
         kept = [w.lower() for w in words if len(w) > 2 and w.lower() not in C.STOPWORDS]
         return Counter(kept).most_common(10)
 
-    got = column(spark, texts, M.concepts)
+    got = column(spark, texts, lambda c: M.concepts(M.word_ranks(c)))
     assert [[(r.word, r.cnt) for r in rows] for rows in got] == [want(t) for t in texts]
 
 
