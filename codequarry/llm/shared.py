@@ -13,14 +13,18 @@ BROADCAST_ROWS = 1_000_000
 #: Texts of one Arrow batch.
 BATCH_ROWS = 1_000
 
+_own: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a local one only where unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    key = spark.sparkContext.applicationId
+    if key not in _own:
+        _own[key] = tempfile.mkdtemp(prefix="llm-")
+    return _own[key]
 
 
 def stage(df: DataFrame) -> DataFrame:
