@@ -115,21 +115,22 @@ def _is_usage() -> Column:
 
 
 def where_defined(routed: DataFrame, analysed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Answers and references of ``where is X`` / ``where is X defined``."""
+    """Answers of ``where is X`` / ``where is X defined``, and references (project, subject, file,
+    line, context), each once however many questions ask for the subject."""
     asked = routed.where((F.col("intent") == "where") & ~_is_usage())
     hits = find_elements(asked.select("project", "subject").distinct(), analysed)
-    refs = asked.join(hits, ["project", "subject"]).select(
-        "qid", F.col("path").alias("file"), "line", "context")
+    refs = hits.select("project", "subject", F.col("path").alias("file"), "line", "context")
     return _located(asked, hits), refs
 
 
 def where_used(routed: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Answers and references of ``where is X used``: lines with X as a whole word."""
+    """Answers and references of ``where is X used``: lines with X as a whole word, each once
+    per subject."""
     asked = routed.where(_is_usage())
     hits = word_hits(files, asked.select("project", F.col("subject").alias("needle")))
     hits = hits.withColumnRenamed("needle", "subject")
-    refs = asked.join(hits, ["project", "subject"]).select(
-        "qid", F.col("path").alias("file"), "line",
+    refs = hits.select(
+        "project", "subject", F.col("path").alias("file"), "line",
         F.concat(F.lit("Usage of "), "subject").alias("context"))
     return _located(asked, hits), refs
 

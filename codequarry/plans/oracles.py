@@ -807,10 +807,11 @@ ORACLES: dict[str, str] = {
     "q02_find_elements": _q("""SELECT project, subject, type, name, path, line, context FROM best SEMI JOIN (SELECT project, subject
         FROM routed WHERE intent IN ('what', 'where', 'compare')) r USING (project, subject)"""),
     "q03_where_defined": _q(_ANSWERS["defined"]),
-    "q03_where_defined_refs": _q(f"SELECT qid, path AS file, line, context FROM routed JOIN hits USING (project, subject) WHERE {_DEFINED}"),
+    "q03_where_defined_refs": _q(f"""SELECT project, subject, path AS file, line, context FROM hits
+      SEMI JOIN (SELECT project, subject FROM routed WHERE {_DEFINED}) r USING (project, subject)"""),
     "q04_where_used": _q(_ANSWERS["used"]),
-    "q04_where_used_refs": _q(f"""SELECT qid, path AS file, line, 'Usage of ' || subject AS context FROM routed
-      JOIN usage USING (project, subject) WHERE {_USED}"""),
+    "q04_where_used_refs": _q(f"""SELECT project, subject, path AS file, line, 'Usage of ' || subject AS context FROM usage
+      SEMI JOIN (SELECT project, subject FROM routed WHERE {_USED}) r USING (project, subject)"""),
     "q05_what_is": _q(_ANSWERS["what"]),
     "q06_how_works": _q(_ANSWERS["how"], **_BEST_USED),
     "q07_why_is": _q(_ANSWERS["why"], reasons=_WHY),

@@ -7,6 +7,8 @@ from compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
 SQL = entry.oracle_sql()
+#: No question of the smallest corpus meets a definition.
+MAY_BE_EMPTY = {"q03_where_defined_refs"}
 
 
 @pytest.fixture(scope="module")
@@ -14,6 +16,12 @@ def con():
     return connect(SF)
 
 
+@pytest.fixture(autouse=True)
+def fresh(spark):
+    yield
+    spark.catalog.clearCache()
+
+
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, con, name):
     query = entry.queries()[name]
@@ -21,7 +29,7 @@ def test_query(spark, con, name):
         assert query(spark, SF).count() > 0
         return
     problem = compare(spark, con, SF, name, query, SQL[name])
-    assert problem in (None, "no rows")
+    assert problem is None or problem == "no rows" and name in MAY_BE_EMPTY
 
 
 def test_every_statement_has_a_query():
