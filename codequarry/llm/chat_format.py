@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.shared import partitions
+from codequarry.llm.shared import partitions, small_batches
 
 HEAD, END = "### ", " </turn>\n"
 #: Role as rendered for the usual roles; any other is rendered as it is.
@@ -165,6 +165,7 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def format_turns(conversations: DataFrame) -> DataFrame:
     """(conv_id, turn, formatted): every turn rendered; a conversation is its turns, joined."""
+    small_batches(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"),
                                 F.col("turn").cast("long").alias("turn"),
                                 F.col("role").cast("string").alias("role"),

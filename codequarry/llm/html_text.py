@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.llm.shared import small_batches
+
 #: Elements that are not part of an article.
 DROPPED = frozenset("head script style noscript template svg math iframe object embed canvas audio video "
                     "nav footer aside form button select option textarea label fieldset menu dialog".split())
@@ -228,5 +230,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row (page_id, url, html)."""
-    return (pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    small_batches(pages.sparkSession)
+    return (pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
+                         F.col("html").cast("string").alias("html"))
             .mapInArrow(_extract, "page_id long, url string, text string, n_chars long"))

@@ -39,12 +39,16 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text), with Arrow batches small enough for long texts."""
-    conf = docs.sparkSession.conf
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches small enough for long texts; a smaller setting stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(conf.get(key, "10000")) > BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text), to be read in small batches."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
