@@ -768,12 +768,24 @@ ORACLES: dict[str, str] = {
     "a16_review_recommendations": build("SELECT * FROM advice"),
     "a17_project_review": build("""SELECT t.project, x.text, file_count, total_elements,
         coalesce((SELECT count(*) FROM component_pairs c WHERE c.project = t.project), 0) AS n_edges,
+        coalesce((SELECT count(*) FROM edges e WHERE e.project = t.project), 0) AS n_file_edges,
+        coalesce((SELECT count(*) FROM class_pairs p WHERE p.project = t.project), 0) AS n_class_edges,
         (SELECT files FROM histogram h WHERE h.project = t.project AND language = 'Python') AS python_files,
         (SELECT name FROM top_imports i WHERE i.project = t.project AND rnk = 1) AS top_import, quality_score,
         code_smells AS smell_types, (SELECT word FROM project_words w WHERE w.project = t.project AND rnk = 1) AS top_concept,
         (SELECT coalesce(nullif(replace(dir, '/', '.'), '.'), 'root') FROM big_dirs b WHERE b.project = t.project AND component_rank = 1) AS top_component,
         documentation_rating, (SELECT count(*) FROM advice a WHERE a.project = t.project) AS n_recommendations
       FROM totals t JOIN project_text x USING (project) JOIN ratings r USING (project)"""),
+    "a17_review_entries": build("""SELECT project, 'import' AS part, rnk - 1 AS nth, name, cnt FROM top_imports
+      UNION ALL SELECT project, 'concept', rnk - 1, word, cnt FROM project_words
+      UNION ALL SELECT project, 'component', component_rank - 1, coalesce(nullif(replace(dir, '/', '.'), '.'), 'root'), file_count
+        FROM big_dirs
+      UNION ALL SELECT project, 'chart', rnk - 1, path, cyclomatic FROM (SELECT project, path, cyclomatic, row_number() OVER (
+          PARTITION BY project ORDER BY cyclomatic DESC, path) AS rnk FROM figures) c WHERE rnk <= 15
+      UNION ALL SELECT project, 'language', 0, language, files FROM histogram
+      UNION ALL SELECT project, kind, 0, type, cnt FROM kinds"""),
+    "a10_duplicate_advice": _q(f"""SELECT project, coalesce(n, 0) > 5 AS refactoring FROM totals
+      LEFT JOIN (SELECT project, count(*) AS n FROM ({_similar('code')}) s GROUP BY project) p USING (project)"""),
     "a18_file_defaults": _q(f"""SELECT project, path, CASE WHEN s.path IS NULL THEN 75 ELSE 70 END AS quality_score,
         CASE WHEN s.path IS NULL THEN 5 ELSE cyclomatic END AS cyclomatic, 1 AS smells, 0 AS issues
       FROM figures LEFT JOIN ({FX.STORED}) s USING (project, path)"""),

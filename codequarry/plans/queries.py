@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -399,7 +400,7 @@ def _(spark, sf):
 @query("a17_project_review")
 def _(spark, sf):
     return project_review(corpus(spark, sf)).select(
-        "project", "text", "file_count", "total_elements", "n_edges",
+        "project", "text", "file_count", "total_elements", "n_edges", "n_file_edges", "n_class_edges",
         F.col("languages")["Python"].alias("python_files"),
         F.col("common_imports")[0]["name"].alias("top_import"),
         F.col("ai_summary.quality_score").alias("quality_score"),
@@ -410,6 +411,35 @@ def _(spark, sf):
         F.size("recommendations").alias("n_recommendations"))
 
 
+@query("a17_review_entries")
+def _(spark, sf):
+    """The review's lists in full, a row per entry."""
+    review = project_review(corpus(spark, sf))
+
+    def entries(part: str, rows, name: str, count: str) -> DataFrame:
+        return review.select("project", F.posexplode(rows).alias("nth", "x")).select(
+            "project", F.lit(part).alias("part"), F.col("nth").cast("bigint").alias("nth"),
+            F.col(f"x.{name}").alias("name"), F.col(f"x.{count}").cast("bigint").alias("cnt"))
+
+    lists = [entries("import", "common_imports", "name", "cnt"),
+             entries("concept", "ai_summary.key_concepts", "word", "cnt"),
+             entries("component", "components", "name", "file_count"),
+             entries("chart", "complexity_chart", "path", "cyclomatic")]
+    maps = [review.select("project", F.lit(p).alias("part"), F.lit(0).cast("bigint").alias("nth"),
+                          F.explode(c).alias("name", "cnt"))
+            for p, c in (("language", "languages"), ("smell", "ai_summary.code_smells"),
+                         ("security", "ai_summary.security_issues"))]
+    return reduce(DataFrame.unionByName, [*lists, *maps])
+
+
+@query("a10_duplicate_advice")
+def _(spark, sf):
+    """Whether near-duplicate pairs call for refactoring."""
+    pairs = SI.similar_files(code(spark, sf)).groupBy("project").agg(F.count("*").alias("pairs"))
+    advised = R.ai_summary(stage(analyse_files(code(spark, sf)).drop("content")), duplicates=pairs)
+    return advised.select("project", F.exists("recommendations", lambda r: r.type == "refactoring").alias("refactoring"))
+
+
 @query("a18_file_defaults")
 def _(spark, sf):
     stored = N.merge_insights(analyse_files(code(spark, sf))).join(

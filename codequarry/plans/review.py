@@ -14,9 +14,9 @@ from codequarry.plans.stage import stage
 def review_analysed(analysed: DataFrame) -> DataFrame:
     """One row per project: summary, AI summary, architecture, quality, recommendations.
 
-    Every part is reduced to one row per project before it is joined. Edges and
-    directory lists can be long, so the row holds their numbers; ``component_edges``
-    and ``directory_files`` give them in full. Figures several parts build on are one row
+    Every part is reduced to one row per project before it is joined. Edges, similar pairs and
+    directory lists can be long, so the row holds the numbers of edges; ``component_edges``,
+    ``file_edges``, ``class_edges``, ``similar_files`` and ``directory_files`` give them in full. Figures several parts build on are one row
     (or ten) per project and are written once.
     """
     totals = stage(R.project_totals(analysed))
@@ -29,6 +29,10 @@ def review_analysed(analysed: DataFrame) -> DataFrame:
         .alias("components"))
     sizes = R.component_directories(analysed).groupBy("project").agg(F.count("*").alias("n_components"))
     edges = L.component_edges(analysed).groupBy("project").agg(F.count("*").alias("n_edges"))
+    graphs = [L.file_edges(analysed).groupBy("project").agg(F.count("*").alias("n_file_edges")),
+              L.class_edges(analysed).groupBy("project").agg(F.count("*").alias("n_class_edges"))]
+    chart = R._ranked_list(L.complexity_chart(analysed), ["project"], F.struct("path", "cyclomatic"),
+                           "complexity_chart")
     imports = R._ranked_list(R.common_imports(analysed), ["project"], F.struct("name", "cnt"),
                              "common_imports")
     languages = R.language_histogram(analysed).groupBy("project").agg(F.map_from_entries(
@@ -41,9 +45,9 @@ def review_analysed(analysed: DataFrame) -> DataFrame:
         c for c in quality.columns if c != "project"]).alias("code_quality"))
     out = summary.select("project", "text", "file_count", "total_lines", "class_count",
                          "function_count", "total_elements", "main_languages")
-    for part in (languages, imports, ai, largest, edges, quality, advice):
+    for part in (languages, imports, ai, largest, edges, *graphs, chart, quality, advice):
         out = out.join(part, "project", "left")
-    return out.withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_edges", "n_file_edges", "n_class_edges")})
 
 
 def project_review(files: DataFrame, python_mode: str = "exact") -> DataFrame:
