@@ -8,9 +8,10 @@ every first-level partition, once per band of sizes that a partner may have. Lin
 signature for certain; what shares one is verified on the exact sets.
 
 Signatures travel as byte planes per bucket, so a hot signature costs a few bytes per set. Sets
-equal within a batch sign once. Groups of sets under one signature are never expanded into all
-pairs: members are compared with the group's smallest component first, and only pairs that are
-then still in different components are compared with each other.
+equal within a batch sign once. Groups of sets under one signature are never expanded into pairs: each
+member is compared with the smallest of a group first, which joins most copies. Families of sets
+that share signatures but are then still apart are compared block by block, and a block hands on
+only links between components that it has not joined yet.
 
 Null and empty texts have no shingles and no links. Ties and repeated rows fall into one class.
 """
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codequarry.llm.shared import components, partitions, sized, stage
+from codequarry.llm.shared import components, partitions, sized, stage, text_rows
 from codequarry.llm.words import U64, mix, pack, shingle_set, unpack
 
 #: Ratio of the largest to the smallest size of a band; 1.3 gives the fewest signatures per set.
@@ -33,8 +34,8 @@ BAND_RATIO = 1.3
 FLUSH = 2_000_000
 #: Bytes of a signature that travel. A chance match costs one comparison, never a wrong link.
 SIGNATURE_BYTES = 6
-#: Rounds of comparing each component with one other before the rest is compared pair by pair.
-STAR_ROUNDS = 3
+#: Sets of a block.
+BLOCK_SETS = 400
 
 
 def linked(common: int, a: int, b: int, percent: int) -> bool:
@@ -195,58 +196,122 @@ def _verified(size: int, percent: int):
     return run
 
 
+def _used(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    return texts.join(sized(stage(ids.select("id").distinct())), "id", "left_semi")
+
+
 def _compare(texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The staged pairs (a, b) that are linked."""
-    ids = stage(pairs.select(F.col("a").alias("id")).unionByName(
-        pairs.select(F.col("b").alias("id"))).distinct())
-    used = texts.join(sized(ids), "id", "left_semi")
+    used = _used(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     both = (pairs.join(used.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
             .join(used.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
             .select("a", "b", "ta", "tb"))
     return stage(both.mapInArrow(_verified(size, percent), "a long, b long"))
 
 
+class Forest:
+    """Which components are joined, by their smallest known member."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(up, up)
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        if a == b:
+            return False
+        self.up[max(a, b)] = min(a, b)
+        return True
+
+
+def _block_links(parts: list[int], sides: np.ndarray, sets: list[np.ndarray],
+                 percent: int) -> list[tuple[int, int]]:
+    """Pairs of components that links join; sets of side 0 with those of side 1, or of side 2 with each other."""
+    sizes = np.array([len(x) for x in sets])
+    left = np.flatnonzero(sides != 1)
+    right = np.flatnonzero(sides == 1) if (sides == 1).any() else left
+    if not len(left) or not len(right):
+        return []
+    owner = np.repeat(np.arange(len(left)), sizes[left])
+    features = np.concatenate([sets[i] for i in left])
+    order = np.argsort(features, kind="stable")
+    features, owner = features[order], owner[order]
+    forest, links = Forest(), []
+    for i in right:
+        low = np.searchsorted(features, sets[i], side="left")
+        count = np.searchsorted(features, sets[i], side="right") - low
+        at = np.repeat(low - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+        common = np.bincount(owner[at], minlength=len(left))
+        near = np.flatnonzero((100 * common >= percent * (sizes[i] + sizes[left] - common)) & (left != i))
+        for j in left[near]:
+            if forest.join(parts[i], parts[j]):
+                links.append((parts[i], parts[j]))
+    return links
+
+
+def _blocks(size: int, percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("family", "ascending"), ("side", "ascending"), ("id", "ascending")])
+        family, sides = table.column("family").to_numpy(), table.column("side").to_numpy()
+        parts = table.column("component").to_pylist()
+        sets = [shingle_set(t.as_py(), size) for t in table.column("text")]
+        edge = np.flatnonzero(np.concatenate(([True], family[1:] != family[:-1], [True])))
+        links = []
+        for s, e in zip(edge[:-1], edge[1:]):
+            links += _block_links(parts[s:e], sides[s:e], sets[s:e], percent)
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return run
+
+
+def _family_links(texts: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+    """Linked components (a, b) of the families (family, id, component), block by block.
+
+    A family of n sets has n / BLOCK_SETS blocks, and each of its sets goes to every pair of
+    blocks that holds its own; small families share groups.
+    """
+    buckets = 4 * partitions(texts.sparkSession)
+    count = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
+    placed = (members.join(count, "family")
+              .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+              .withColumn("side", F.when(F.col("low") == F.col("high"), 2).when(F.col("own") == F.col("low"), 0).otherwise(1))
+              .withColumn("part", F.when(F.col("blocks") == 1, F.struct(
+                  F.pmod(F.xxhash64("family"), F.lit(buckets)).alias("f"), F.lit(-1).alias("l"), F.lit(-1).alias("h")))
+                  .otherwise(F.struct(F.col("family").alias("f"), F.col("low").alias("l"), F.col("high").alias("h"))))
+              .select("id", "part.*", "family", "side", "component"))
+    return stage(placed.join(_used(texts, members), "id").groupBy("f", "l", "h")
+                 .applyInArrow(_blocks(size, percent), "a long, b long"))
+
+
 def link_components(texts: DataFrame, groups: DataFrame, size: int, percent: int) -> DataFrame:
-    """(id, component) over all links between ids that share a group.
+    """(id, component) over all links between ids that share a group (grp, id).
 
-    Components only grow by verified links. Each round compares every component of a group with
-    the group's smallest one through one pair; pairs of different components that are left after
-    the last round are all compared, so no link that would join two components is missed.
+    First each id is compared with the smallest id of its groups. Then ids are families, joined by
+    the groups whose members are still in different components; all sets of a family are compared,
+    but only links between components count, so no link that would join two is missed.
     """
-    spark = groups.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
-    tested = spark.createDataFrame([], "a long, b long")
-    known = groups.select("id", F.col("id").alias("component")).distinct()
-    for turn in range(STAR_ROUNDS + 1):
-        placed = groups.join(known, "id") if turn else groups.withColumn("component", F.col("id"))
-        span = placed.groupBy("grp").agg(
-            F.min(F.struct("component", "id")).alias("least"), F.max("component").alias("most"))
-        mixed = span.where("least.component != most").select("grp", "least")
-        apart = placed.join(mixed, "grp")
-        if turn < STAR_ROUNDS:
-            pairs = (apart.where("component != least.component")
-                     .groupBy("component", F.col("least.component").alias("other"))
-                     .agg(F.min(F.struct(F.col("id").alias("a"), F.col("least.id").alias("b"))).alias("p"))
-                     .select("component", "other", "p.a", "p.b"))
-            first = pairs.groupBy("component").agg(F.min(F.struct("other", "a", "b")).alias("p"))
-            pairs = first.select("p.a", "p.b")
-        else:
-            mine = placed.join(mixed.select("grp"), "grp", "left_semi")
-            other = mine.select("grp", F.col("id").alias("b"), F.col("component").alias("other"))
-            pairs = (mine.withColumnRenamed("id", "a").join(other, "grp")
-                     .where("a > b and component != other").select("a", "b").distinct())
-        pairs = stage(pairs.join(tested, ["a", "b"], "left_anti").repartition("b"))
-        if pairs.isEmpty():
-            if turn >= STAR_ROUNDS:
-                break
-            continue
-        found = _compare(texts, pairs, size, percent)
-        links, tested = links.unionByName(found), tested.unionByName(pairs)
-        if turn < STAR_ROUNDS and not found.isEmpty():
-            joined = components(links)
-            known = stage(groups.select("id").distinct().join(joined, "id", "left")
-                          .select("id", F.coalesce("component", "id").alias("component")))
-    return components(links)
+    least = groups.groupBy("grp").agg(F.min("id").alias("b"))
+    pairs = stage(groups.join(least, "grp").where("id != b").groupBy(F.col("id").alias("a")).agg(F.min("b").alias("b")))
+    links = _compare(texts, pairs, size, percent)
+    known = stage(groups.select("id").distinct().join(components(links), "id", "left")
+                  .select("id", F.coalesce("component", "id").alias("component")))
+    placed = groups.join(known, "id")
+    mixed = (placed.groupBy("grp").agg(F.min("id").alias("b"), F.min("component").alias("c"),
+                                       F.max("component").alias("d")).where("c != d").select("grp", "b"))
+    family = components(placed.join(mixed, "grp").select(F.col("id").alias("a"), "b"))
+    members = family.withColumnRenamed("component", "family").join(known, "id")
+    # the one pair of a family of two has been compared
+    several = members.groupBy("family").agg(F.count("*").alias("n")).where("n > 2").select("family")
+    members = stage(members.join(several, "family", "left_semi"))
+    joined = components(_family_links(texts, members, size, percent))
+    return (known.join(joined.select(F.col("id").alias("component"), F.col("component").alias("c")), "component", "left")
+            .select("id", F.coalesce("c", "component").alias("component")))
 
 
 def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -256,7 +321,7 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
     `size` words make a shingle; two documents link when 100 * |A and B| >= percent * |A or B|.
     class_id is the smallest id with the same shingle set. Rows with a null id come back alone.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = text_rows(docs, id_col, text_col)
     spark = docs.sparkSession
     sets = stage(texts.mapInArrow(_sets(size), "id long, n_shingles long, print binary"))
     classes = (sets.where("print is not null and id is not null").groupBy("print")
