@@ -53,7 +53,7 @@ _TOKEN = re.compile(
     |<(?P<raw>{RAW})\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</(?P=raw)\s*+>|\Z)
     |<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>
     |<[!?/][^>]*+>""")
-_ATTR = re.compile(r"""(?is)\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_ATTR = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*("[^"]*+"|'[^']*+'|[^\s"'>]+))?""")
 _HIDDEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
 _NAME_WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 

@@ -38,6 +38,11 @@ def test_what_is_left_out(around):
     assert H.main_text(around.format(ARTICLE)) == TEXT
 
 
+def test_values_are_not_attributes():
+    page = "<article><p title='a hidden class=ad gem' data-id=ad>kept</p><p HIDDEN>gone</p><p id=Notice-1>gone</p></article>"
+    assert H.main_text(page) == "kept"
+
+
 def test_inner_parts_are_left_out():
     page = ARTICLE.replace("<ul>", "<div class='share'>Share</div><span class=ad>buy <span>now</span></span><ul>")
     assert H.main_text(page) == TEXT
