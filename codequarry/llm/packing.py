@@ -11,9 +11,12 @@ end token, so none is without a piece. Rows that repeat an id are pieces of thei
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import reduce
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -25,35 +28,75 @@ from codequarry.llm.shared import stage, text_rows
 CAPACITY = 2048
 #: Pieces that one group packs.
 GROUP_PIECES = 40_000
-#: Words a worker remembers the ids of, and the longest of them.
-CACHE_WORDS, CACHE_CHARS = 400_000, 48
+#: Words a worker remembers the ids of, twice over, and the longest of them.
+CACHE_WORDS, CACHE_CHARS = 300_000, 48
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: Punctuation that ends a word: a letter before, one that stays a letter in lower case, a space after.
+_ENDS_WORD = re.compile(r"[.,](?<=[^\W\d_\u0130].)(?= )")
+
+
+def is_latin(text: str) -> bool:
+    """Whether all characters are below U+0100."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordIds(dict):
     """The ids of a stretch without white space, as unsigned 32-bit little-endian bytes.
 
     The tokenizer drops white space and joins nothing across it, so a text's ids are those of its
-    stretches, one after the other.
+    stretches, one after the other. It also lower-cases letters one by one and takes punctuation
+    after a letter by itself, so such forms of a word are put together from its plain one, and plain
+    words of Latin letters, which are one piece each, go to its model directly. Words seen of late
+    are remembered; a full memory becomes the older one.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelt = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xA1, 0x100)}
+        self.packed = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.of(word)
         if len(word) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
 
+    def of(self, word: str) -> bytes:
+        if word.isalpha() and word.islower() and is_latin(word):
+            pieces = self.model.tokenize(word if word.isascii() else word.translate(self.spelt))
+            return b"".join([self.packed[p.id] for p in pieces])
+        if word.isprintable() and "<|" not in word:  # special tokens are looked for before all else
+            base = word.rstrip(punctuation)
+            if base and len(base) < len(word) and base[-1].lower()[-1].isalpha():
+                return self[base] + self[word[len(base):]]
+            if is_latin(word) and word.lower() != word:
+                return self[word.lower()]
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def text(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        if "<|" not in text and is_latin(text):
+            text = text.lower()
+        words = _ENDS_WORD.sub(r" \g<0>", text.replace("\n", " ")).split(" ")
+        return b"".join(map(self.__getitem__, words))
 
 
 def _pieces(path: str, capacity: int, end: int):
