@@ -4,8 +4,11 @@ Sets of word shingles whose Jaccard similarity reaches a threshold differ in at
 k following from the larger set's size. The feature domain is cut into n1 first-level partitions
 of three parts each, n1 > k/2, so that one first-level partition of a linked pair differs in at
 most one element, and two of its three parts are equal: every set signs each two-part subset of
-every first-level partition, once per band of sizes that a partner may have. Linked sets share a
-signature for certain; what shares one is verified on the exact sets.
+every first-level partition, once per band of sizes that a partner may have. Up to three
+differences are spread over one partition of k + 3 parts, and its subsets of three parts signed.
+Linked sets share a signature for certain. Of the sets that share one, those whose elements,
+counted in 64 buckets, differ by more than k are apart for certain; the others are verified on
+the exact sets.
 
 Signatures travel as byte planes per bucket, so a hot signature costs a few bytes per set. Sets
 equal within a batch sign once. Groups of sets under one signature are never expanded into pairs: each
@@ -19,21 +22,26 @@ Null and empty texts have no shingles and no links. Ties and repeated rows fall
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.llm.blobs import gather, scatter
 from codequarry.llm.shared import components, partitions, sized, stage, text_rows
-from codequarry.llm.words import U64, mix, pack, shingle_set, unpack
+from codequarry.llm.words import U64, mix, shingle_set
 
 #: Ratio of the largest to the smallest size of a band; 1.3 gives the fewest signatures per set.
 BAND_RATIO = 1.3
 #: Signatures that a task holds before it hands them on.
-FLUSH = 2_000_000
+FLUSH = 500_000
 #: Bytes of a signature that travel. A chance match costs one comparison, never a wrong link.
 SIGNATURE_BYTES = 6
+#: Differences up to which one partition is enumerated in full, and seeds to sign under.
+SMALL_K, SEEDS = 3, 12
 #: Sets of a block.
 BLOCK_SETS = 400
 
@@ -42,50 +50,73 @@ def linked(common: int, a: int, b: int, percent: int) -> bool:
     return 100 * common >= percent * (a + b - common)
 
 
+class Band(NamedTuple):
+    """Sizes low to high, and how their sets are partitioned."""
+
+    low: int
+    high: int
+    k: int
+    n1: int  # first-level partitions
+    spare: int  # how many more of them agree, up to k2 elements each, than one
+    n2: int  # parts of each
+    subsets: list[tuple[int, ...]]  # of n2 - k2 parts
+    cuts: np.ndarray
+
+
 class Bands:
     """Bands of set sizes with the partitions of each."""
 
     def __init__(self, percent: int):
         self.percent, self.bands = percent, []
-        self.next = 1
+
+    def _add(self) -> None:
+        low = self.bands[-1].high + 1 if self.bands else 1
+        high = max(low, int(low * BAND_RATIO))
+        k = 2 * high * (100 - self.percent) // (100 + self.percent)
+        # few differences: one partition, all subsets that leave out k parts; else two levels
+        n1, k2, n2 = (1, k, k + 3) if k <= SMALL_K else (k // 2 + 1, 1, 3)
+        # more partitions than needed: sets with few empty subsets then sign under one seed only
+        spare = -(-n1 * (100 - self.percent) // 200) if n1 > 2 else 0
+        n1 += spare
+        cuts = np.array([(i << 64) // (n1 * n2) for i in range(1, n1 * n2)], dtype=U64)
+        self.bands.append(Band(low, high, k, n1, spare, n2, list(combinations(range(n2), n2 - k2)), cuts))
 
     def of(self, size: int) -> list[int]:
         """The bands that hold the size of a possible partner, not smaller, of a set."""
         top = size * 100 // self.percent
-        while self.next <= top:
-            low = self.next
-            high = max(low, int(low * BAND_RATIO))
-            self.next = high + 1
-            k = 2 * high * (100 - self.percent) // (100 + self.percent)
-            n1 = k // 2 + 1
-            spare = (n1 >= 4) + n1 // 24
-            n1 += spare
-            cuts = np.array([(i << 64) // (3 * n1) for i in range(1, 3 * n1)], dtype=U64)
-            salt = mix(np.arange(3 * n1, dtype=U64) + U64(len(self.bands) << 40)).reshape(3, n1)
-            # k = 0 leaves equal sets only, and those are one class already
-            self.bands.append((low, high, cuts, n1, spare, salt, k))
-        return [i for i, b in enumerate(self.bands) if b[1] >= size and b[0] <= top and b[6] > 0]
+        while not self.bands or self.bands[-1].high < top:
+            self._add()
+        # k = 0 leaves equal sets only, and those are one class already
+        return [i for i, b in enumerate(self.bands) if b.high >= size and b.low <= top and b.k > 0]
 
 
 def signatures(features: np.ndarray, bands: Bands) -> np.ndarray:
-    """All signatures of a sorted set."""
+    """All signatures of a sorted set.
+
+    More than `spare` first-level partitions of two linked sets agree on a subset. A set with at
+    most `spare` partitions that hold an empty subset therefore shares one that is not empty, and
+    need not sign the empty ones, which any set may have. A set with more signs under the next
+    seed as well: its partner does too, or has signed enough. What is left after the last seed
+    signs its empty subsets.
+    """
     found = []
-    sums = np.zeros(len(features) + 1, dtype=U64)
-    np.cumsum(mix(features ^ U64(0xA5A5A5A5A5A5A5A5)), out=sums[1:])
     for i in bands.of(len(features)):
-        _, _, cuts, n1, spare, salt, _ = bands.bands[i]
-        edge = np.empty(3 * n1 + 1, dtype=np.int64)
-        edge[0], edge[-1] = 0, len(features)
-        edge[1:-1] = np.searchsorted(features, cuts)
-        part = (sums[edge[1:]] - sums[edge[:-1]]).reshape(n1, 3).T
-        count = np.diff(edge).reshape(n1, 3).T
-        both = np.stack((part[0] + part[1], part[0] + part[2], part[1] + part[2]))
-        none = np.stack((count[0] + count[1], count[0] + count[2], count[1] + count[2])) == 0
-        signed = mix(both + salt)
-        # More than `spare` first-level partitions agree but for one element, so a set with at
-        # most `spare` that hold an empty subset agrees on one that has none.
-        empty = none.any(axis=0).sum()
-        found.append(signed[~none] if empty and empty <= spare else signed.ravel())
+        band = bands.bands[i]
+        for seed in range(SEEDS):
+            own = features if not seed else np.sort(mix(features ^ U64(seed * 0x5851F42D4C957F2D & (1 << 64) - 1)))
+            sums = np.zeros(len(own) + 1, dtype=U64)
+            np.cumsum(mix(own ^ U64(0xA5A5A5A5A5A5A5A5)), out=sums[1:])
+            edge = np.concatenate(([0], np.searchsorted(own, band.cuts), [len(own)]))
+            part = (sums[edge[1:]] - sums[edge[:-1]]).reshape(band.n1, band.n2)
+            count = np.diff(edge).reshape(band.n1, band.n2)
+            both = np.stack([part[:, c].sum(axis=1, dtype=U64) for c in map(list, band.subsets)])
+            none = np.stack([count[:, c].sum(axis=1) for c in map(list, band.subsets)]) == 0
+            salt = mix(np.arange(both.size, dtype=U64) + U64((i * SEEDS + seed) << 32)).reshape(both.shape)
+            signed = mix(both + salt)
+            enough = none.any(axis=0).sum() <= band.spare
+            found.append(signed[~none] if enough or seed < SEEDS - 1 else signed.ravel())
+            if enough:
+                break
     return np.concatenate(found) if found else np.empty(0, dtype=U64)
 
 
@@ -94,17 +125,23 @@ def fingerprint(features: np.ndarray) -> bytes:
                     dtype=U64).tobytes()
 
 
+def sketch(features: np.ndarray) -> bytes:
+    """Elements in 64 buckets, 255 at most: two sets differ in as many as their sketches at least."""
+    return np.minimum(np.bincount((features & U64(63)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes()
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, prints = [], []
+            counts, prints, sketches = [], [], []
             for text in batch.column(1):
                 features = shingle_set(text.as_py(), size)
                 counts.append(len(features))
                 prints.append(fingerprint(features) if len(features) else None)
+                sketches.append(sketch(features))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(prints, pa.binary())],
-                ["id", "n_shingles", "print"])
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(prints, pa.binary()),
+                 pa.array(sketches, pa.binary())], ["id", "n_shingles", "print", "sketch"])
     return run
 
 
@@ -115,19 +152,7 @@ def _postings(size: int, percent: int, buckets: int):
         def flush() -> pa.RecordBatch:
             signed = np.concatenate(held)
             owner = np.repeat(np.array(ids, dtype=np.int64), [len(x) for x in held])
-            bucket = (signed >> U64(16)) % U64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            edge = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=U64))
-            keys, left, right = [], [], []
-            for b in range(buckets):
-                part = order[edge[b]:edge[b + 1]]
-                if len(part):
-                    keys.append(b)
-                    left.append(pack(signed[part], SIGNATURE_BYTES))
-                    right.append(pack(owner[part]))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int32()), pa.array(left, pa.binary()),
-                 pa.array(right, pa.binary())], ["bucket", "signed", "owner"])
+            return scatter((signed >> U64(16)) % U64(buckets), buckets, [signed, owner], [SIGNATURE_BYTES, 8])
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -151,33 +176,102 @@ def _postings(size: int, percent: int, buckets: int):
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups of ids under one signature; equal groups of a task once."""
-    signed, owner = [], []
-    for batch in batches:
-        signed += [unpack(x.as_py(), SIGNATURE_BYTES) for x in batch.column(0)]
-        owner += [unpack(x.as_py()) for x in batch.column(1)]
-    if not signed:
-        return
-    keys, ids = np.concatenate(signed), np.concatenate(owner)
-    del signed, owner
+def _shared(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group, id) of the signatures that several ids have; equal groups once."""
     order = np.argsort(keys, kind="stable")
     keys, ids = keys[order], ids[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     length = np.diff(np.append(first, len(keys)))
     name = np.add.reduceat(mix(ids), first) + length.astype(U64)
     many = np.flatnonzero(length > 1)
-    if not len(many):
-        return
     _, once = np.unique(name[many], return_index=True)
     many = many[once]
     size = length[many]
-    at = np.repeat(first[many], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    groups = np.repeat(name[many], size).view(np.int64)
-    members = ids[at].view(np.int64)
-    for i in range(0, len(at), 1 << 20):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(groups[i:i + (1 << 20)]), pa.array(members[i:i + (1 << 20)])], ["grp", "id"])
+    at = np.repeat(first[many] - np.cumsum(size) + size, size) + np.arange(size.sum())
+    return np.repeat(name[many], size).view(np.int64), ids[at].view(np.int64)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups of ids under one signature, bucket by bucket as the rows are sorted."""
+    def rows(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, members = _shared(*gather(iter(held), [SIGNATURE_BYTES, 8]))
+        for i in range(0, len(groups), 1 << 18):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(groups[i:i + (1 << 18)]), pa.array(members[i:i + (1 << 18)])], ["grp", "id"])
+
+    held, last = [], None
+    for batch in batches:
+        buckets = np.asarray(batch.column(0))
+        edge = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1], [True])))
+        for s, e in zip(edge[:-1], edge[1:]):
+            if held and buckets[s] != last:
+                yield from rows(held)
+                held = []
+            last = buckets[s]
+            held.append(batch.slice(s, e - s).select([1, 2]))
+    if held:
+        yield from rows(held)
+
+
+def clusters(sizes: np.ndarray, sketches: np.ndarray, percent: int) -> Iterator[list[int]]:
+    """Members of a group that a chain of pairs joins which sketches and sizes cannot tell apart."""
+    left = np.arange(len(sizes))
+    while len(left) > 1:
+        found, open_ = [left[0]], [left[0]]
+        left = left[1:]
+        while open_ and len(left):
+            x = open_.pop()
+            apart = np.abs(sketches[left] - sketches[x]).sum(axis=1)
+            near = apart * (100 + percent) <= (sizes[left] + sizes[x]) * (100 - percent)
+            near &= 100 * np.minimum(sizes[left], sizes[x]) >= percent * np.maximum(sizes[left], sizes[x])
+            hit = left[near].tolist()
+            left = left[~near]
+            found += hit
+            open_ += hit
+        if len(found) > 1:
+            yield found
+
+
+def _clusters(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        names, members = [], []
+
+        def settle(held: list[pa.RecordBatch]) -> None:
+            group = pa.Table.from_batches(held)
+            ids, sizes = group.column(1).to_numpy(), group.column(2).to_numpy()
+            counts = np.frombuffer(b"".join(group.column(3).to_pylist()), np.uint8).reshape(-1, 64).astype(np.int16)
+            for found in clusters(sizes, counts, percent):
+                own = np.unique(ids[found])
+                name = int((mix(own.view(U64)).sum(dtype=U64) + U64(len(own))).view(np.int64))
+                if name not in seen:
+                    seen.add(name)
+                    names.append(np.full(len(own), name))
+                    members.append(own)
+
+        def rows() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(members))], ["grp", "id"])
+            names.clear()
+            members.clear()
+            return out
+
+        held, last = [], None
+        for batch in batches:
+            groups = np.asarray(batch.column(0))
+            edge = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1], [True])))
+            for s, e in zip(edge[:-1], edge[1:]):
+                if held and groups[s] != last:
+                    settle(held)
+                    held = []
+                last = groups[s]
+                held.append(batch.slice(s, e - s))
+            if names:
+                yield rows()
+        if held:
+            settle(held)
+        if names:
+            yield rows()
+    return run
 
 
 def _verified(size: int, percent: int):
@@ -323,21 +417,23 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
     """
     texts = text_rows(docs, id_col, text_col)
     spark = docs.sparkSession
-    sets = stage(texts.mapInArrow(_sets(size), "id long, n_shingles long, print binary"))
+    sets = stage(texts.mapInArrow(_sets(size), "id long, n_shingles long, print binary, sketch binary"))
     classes = (sets.where("print is not null and id is not null").groupBy("print")
                .agg(F.min("id").alias("class_id"), F.count("*").alias("n")).where("n > 1"))
     member = stage(sets.join(classes.select("print", "class_id"), "print")
                    .select("id", "class_id").distinct())
     buckets = 4 * partitions(spark)
     groups = (texts.mapInArrow(_postings(size, percent, buckets),
-                               "bucket int, signed binary, owner binary")
-              .repartition(partitions(spark), "bucket").select("signed", "owner")
+                               "bucket int, c0 binary, c1 binary")
+              .repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
               .mapInArrow(_groups, "grp long, id long"))
     groups = stage(groups)
     groups = (groups.join(member, "id", "left")
               .select("grp", F.coalesce("class_id", "id").alias("id")).distinct())
-    several = groups.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp")
-    groups = stage(groups.join(several, "grp", "left_semi"))
+    sketches = sets.select("id", F.col("n_shingles").alias("n"), "sketch").distinct()
+    groups = stage(groups.join(sketches, "id").select("grp", "id", "n", "sketch")
+                   .repartition(partitions(spark), "grp").sortWithinPartitions("grp")
+                   .mapInArrow(_clusters(percent), "grp long, id long").distinct())
     found = link_components(texts, groups, size, percent)
     return (sets.select("id", "n_shingles").join(member, "id", "left")
             .withColumn("class_id", F.coalesce("class_id", "id"))

@@ -95,6 +95,29 @@ def test_signatures_are_shared_at_the_threshold():
         assert np.intersect1d(a, b).size
 
 
+def test_small_sets_share_signatures():
+    rng = np.random.default_rng(8)
+    for trial in range(4000):
+        percent = (85, 80)[trial % 2]
+        base = np.unique(rng.integers(0, 2 ** 63, int(rng.integers(5, 60))).astype(np.uint64))
+        gone = rng.random(len(base)) < 0.1
+        extra = rng.integers(0, 2 ** 63, int(rng.integers(0, 3))).astype(np.uint64)
+        other = np.unique(np.concatenate((base[~gone], extra)))
+        common = np.intersect1d(base, other).size
+        if len(other) and J.linked(common, len(base), len(other), percent) and common < max(len(base), len(other)):
+            assert np.intersect1d(J.signatures(base, bands := J.Bands(percent)), J.signatures(other, bands)).size
+
+
+def test_unrelated_sets_share_none():
+    rng = np.random.default_rng(9)
+    seen = {}
+    bands = J.Bands(80)
+    for i in range(3000):
+        for sig in J.signatures(np.sort(rng.integers(0, 2 ** 63, int(rng.integers(6, 60))).astype(np.uint64)), bands).tolist():
+            seen.setdefault(sig, set()).add(i)
+    assert sum(len(x) > 1 for x in seen.values()) < 60
+
+
 def test_whole_texts_count():
     long = " ".join(str(i) for i in range(300_000))
     assert len(shingle_set(long, 4)) == 299_997
