@@ -42,8 +42,8 @@ FLUSH = 500_000
 SIGNATURE_BYTES = 6
 #: Differences up to which one partition is enumerated in full, and seeds to sign under.
 SMALL_K, SEEDS = 3, 12
-#: Sets of a block.
-BLOCK_SETS = 400
+#: Sets and shingles of a block, about. Larger blocks repeat fewer texts, and fill a task.
+BLOCK_SETS, BLOCK_SHINGLES = 2_000, 1_500_000
 
 
 def linked(common: int, a: int, b: int, percent: int) -> bool:
@@ -363,13 +363,14 @@ def _blocks(size: int, percent: int):
 
 
 def _family_links(texts: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
-    """Linked components (a, b) of the families (family, id, component), block by block.
+    """Linked components (a, b) of the families (family, id, component, n), block by block.
 
-    A family of n sets has n / BLOCK_SETS blocks, and each of its sets goes to every pair of
-    blocks that holds its own; small families share groups.
+    A family is cut into blocks of bounded size, and each of its sets goes to every pair of blocks
+    that holds its own; small families share groups.
     """
     buckets = 4 * partitions(texts.sparkSession)
-    count = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
+    count = members.groupBy("family").agg(F.greatest(
+        F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = (members.join(count, "family")
               .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -383,8 +384,9 @@ def _family_links(texts: DataFrame, members: DataFrame, size: int, percent: int)
                  .applyInArrow(_blocks(size, percent), "a long, b long"))
 
 
-def link_components(texts: DataFrame, groups: DataFrame, size: int, percent: int) -> DataFrame:
-    """(id, component) over all links between ids that share a group (grp, id).
+def link_components(texts: DataFrame, groups: DataFrame, sizes: DataFrame, size: int,
+                    percent: int) -> DataFrame:
+    """(id, component) over all links between ids that share a group (grp, id); sizes: (id, n).
 
     First each id is compared with the smallest id of its groups. Then ids are families, joined by
     the groups whose members are still in different components; all sets of a family are compared,
@@ -402,7 +404,7 @@ def link_components(texts: DataFrame, groups: DataFrame, size: int, percent: int
     members = family.withColumnRenamed("component", "family").join(known, "id")
     # the one pair of a family of two has been compared
     several = members.groupBy("family").agg(F.count("*").alias("n")).where("n > 2").select("family")
-    members = stage(members.join(several, "family", "left_semi"))
+    members = stage(members.join(several, "family", "left_semi").join(sizes, "id"))
     joined = components(_family_links(texts, members, size, percent))
     return (known.join(joined.select(F.col("id").alias("component"), F.col("component").alias("c")), "component", "left")
             .select("id", F.coalesce("c", "component").alias("component")))
@@ -434,7 +436,8 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
     groups = stage(groups.join(sketches, "id").select("grp", "id", "n", "sketch")
                    .repartition(partitions(spark), "grp").sortWithinPartitions("grp")
                    .mapInArrow(_clusters(percent), "grp long, id long").distinct())
-    found = link_components(texts, groups, size, percent)
+    sizes = sets.groupBy("id").agg(F.max("n_shingles").alias("n"))
+    found = link_components(texts, groups, sizes, size, percent)
     return (sets.select("id", "n_shingles").join(member, "id", "left")
             .withColumn("class_id", F.coalesce("class_id", "id"))
             .join(found.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
