@@ -402,9 +402,10 @@ def link_components(texts: DataFrame, groups: DataFrame, sizes: DataFrame, size:
                                        F.max("component").alias("d")).where("c != d").select("grp", "b"))
     family = components(placed.join(mixed, "grp").select(F.col("id").alias("a"), "b"))
     members = family.withColumnRenamed("component", "family").join(known, "id")
-    # the one pair of a family of two has been compared
-    several = members.groupBy("family").agg(F.count("*").alias("n")).where("n > 2").select("family")
-    members = stage(members.join(several, "family", "left_semi").join(sizes, "id"))
+    # a family of two is done if its one pair has been compared: the larger id may have met another id only
+    ends = stage(members.groupBy("family").agg(F.count("*").alias("n"), F.max("id").alias("a"), F.min("id").alias("b")))
+    done = ends.where("n = 2").join(pairs, ["a", "b"], "left_semi").select("family")
+    members = stage(members.join(done, "family", "left_anti").join(sizes, "id"))
     joined = components(_family_links(texts, members, size, percent))
     return (known.join(joined.select(F.col("id").alias("component"), F.col("component").alias("c")), "component", "left")
             .select("id", F.coalesce("c", "component").alias("component")))

@@ -74,6 +74,25 @@ def test_equals_all_pairs(spark, monkeypatch, size, percent, edits):
     assert run(spark, once, size, percent) == brute(once, size, percent)
 
 
+def test_chains_of_three(spark):
+    # ends that only a middle text links, which has the largest, the middle or the smallest id of the three
+    rows = []
+    for words in range(6, 61):
+        for trial in range(9):
+            base = [f"c{words}x{trial}y{i}" for i in range(words)]
+            ends = [["e1", *base[1:]], [*base[:-1], "e2"]]
+            for _ in range(trial // 3 * words // 20):  # more words at each end
+                ends = [["e1", *ends[0][:-1]], [*ends[1][1:], "e2"]]
+            three = [*ends, base] if trial % 3 == 0 else [ends[0], base, ends[1]] if trial % 3 == 1 else [base, *ends]
+            rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate(three)]
+    assert run(spark, rows, 5, 80) == brute_by_word(rows, 5, 80)
+
+
+def brute_by_word(rows, size, percent):
+    """brute() on each three rows: the chains share no word but those at their ends."""
+    return sorted((x for i in range(0, len(rows), 3) for x in brute(rows[i:i + 3], size, percent)), key=str)
+
+
 def test_empty_table(spark):
     assert run(spark, [], 5, 80) == []
 
