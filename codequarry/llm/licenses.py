@@ -1,10 +1,13 @@
 """Licence notices in documents, by the Dice coefficient over word bigrams; DataFrame functions only.
 
-A unit is a line, a paragraph (lines up to an empty one) or a whole text, normalised to words of
-letters and digits with A-Z lower-cased. Its distinct bigrams are compared with those of each
+A unit is any run of neighbouring lines, so also a line, a paragraph or a whole text, normalised to
+words of letters and digits with A-Z lower-cased. Its distinct bigrams are compared with those of each
 template: Dice = 2 * common / (bigrams of the unit + bigrams of the template). At a threshold t, a
 unit with n bigrams can reach only templates with t / (2 - t) * n to (2 - t) / t * n of them, and
-a text without any marked word of a template cannot reach it at all.
+a text without any marked word of a template cannot reach it at all. Lines, paragraphs and whole
+texts are compared by a join; other runs only in texts that hold t / (2 - t) of a template's bigrams
+somewhere. A closest run starts at a line that brings a bigram of the template, and is followed until
+it has too many bigrams.
 
 Null and empty texts have no unit and no licence. Ties go to the template that comes first by name.
 Rows that repeat a doc_id are one document and each get its licences.
@@ -114,8 +117,7 @@ def unit_bigrams(unit: Column) -> Column:
                                        lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
-def licence_units(docs: DataFrame, templates: dict[str, str], percent: int) -> DataFrame:
-    """(id, unit): the units of the texts that some template could match."""
+def _reachable(templates: dict[str, str], percent: int):
     low = min(len(bigrams(normal_words(t))) for t in templates.values()) * percent / (200 - percent)
     need = marks(templates, percent)
 
@@ -124,8 +126,64 @@ def licence_units(docs: DataFrame, templates: dict[str, str], percent: int) -> D
         found = F.size(words) > low
         return found if need is None else found & F.arrays_overlap(words, F.lit(need))
 
+    return reachable
+
+
+def reachable_texts(docs: DataFrame, templates: dict[str, str], percent: int) -> DataFrame:
+    return docs.where(_reachable(templates, percent)("text"))
+
+
+def licence_units(docs: DataFrame, templates: dict[str, str], percent: int) -> DataFrame:
+    """(id, unit): the lines, paragraphs and whole texts that some template could match."""
     units = F.array_distinct(F.concat(F.split("text", "\n"), F.split("text", r"\n[ \t\r]*\n"), F.array("text")))
-    return docs.where(reachable("text")).select("id", F.explode(units).alias("unit")).where(reachable("unit"))
+    return (reachable_texts(docs, templates, percent).select("id", F.explode(units).alias("unit"))
+            .where(_reachable(templates, percent)("unit")))
+
+
+def run_dice(docs: DataFrame, templates: dict[str, str], percent: int) -> DataFrame:
+    """(id, license, dice): the closest run of lines of each text to each template that one reaches."""
+    grams = {name: sorted(bigrams(normal_words(t))) for name, t in sorted(templates.items())}
+    grams = {name: g for name, g in grams.items() if g}
+    if not grams:
+        return docs.sparkSession.createDataFrame([], docs.select("id").schema.add("license", "string").add("dice", "double"))
+    listed = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(len(g)).alias("size"), F.lit(g).alias("grams"))
+                       for name, g in grams.items()])
+    texts = docs.select("id", "text", F.array_intersect(
+        unit_bigrams(F.col("text")), F.lit(sorted(set().union(*grams.values())))).alias("hit"))
+    near = F.filter(listed, lambda t: F.size(F.array_intersect(t["grams"], F.col("hit"))) * (200 - percent) >= t["size"] * percent)
+    held = texts.select("id", "text", F.explode(near).alias("t")).select("id", "text", "t.*")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: words_of(lower_ascii(x))), lambda w: F.size(w) > 0)
+    held = stage(held.select("id", "license", "size", "grams", lines.alias("lines")))
+
+    def pairs(words: Column) -> Column:
+        n = F.size(words) - 1
+        return F.array_distinct(F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+    # of each line its own bigrams, and those with the last word of the line before
+    joined = F.transform("lines", lambda w, k: F.struct(pairs(w).alias("own"), F.when(k == 0, pairs(w)).otherwise(
+        pairs(F.concat(F.slice(F.get("lines", k - 1), -1, 1), w))).alias("after")))
+    held = stage(held.select("id", "license", "size", "grams", joined.alias("lines")))
+    brings = lambda x: F.coalesce(F.arrays_overlap(x, F.col("grams")), F.lit(False))
+    starts = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda k: brings(F.get("lines", k)["own"])
+                      | brings(F.get("lines", k + 1)["after"]))
+    held = stage(held.select("*", starts.alias("starts")))
+
+    def follow(state: Column, line: Column) -> Column:
+        def judged(seen: Column) -> Column:
+            n, common = F.size(seen), F.size(F.array_intersect(seen, F.col("grams")))
+            reached = common * 200 >= (n + F.col("size")) * percent
+            return F.struct(seen.alias("seen"), F.greatest(state["dice"], F.when(
+                reached, 2 * common / (n + F.col("size"))).otherwise(0.0)).alias("dice"), F.lit(False).alias("first"))
+
+        added = F.array_union(state["seen"], F.when(state["first"], line["own"]).otherwise(line["after"]))
+        open_ = F.size(state["seen"]) * percent <= F.col("size") * (200 - percent)
+        # one element, so that the union is made once
+        return F.when(open_, F.transform(F.array(added), judged)[0]).otherwise(state)
+
+    empty = F.struct(F.array().cast("array<string>").alias("seen"), F.lit(0.0).alias("dice"), F.lit(True).alias("first"))
+    best = F.array_max(F.transform("starts", lambda k: F.aggregate(
+        F.slice(F.col("lines"), k + 1, F.size("lines")), empty, follow, lambda state: state["dice"])))
+    return held.select("id", "license", F.round(best, 6).alias("dice")).where("dice > 0")
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
@@ -151,6 +209,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int
               .groupBy("id", "unit_key", "n", "license", "size").agg(F.count_distinct("gram").alias("common"))
               .where(F.col("common") * 200 >= F.col("n") * percent + F.col("size") * percent))
     best = (common.select("id", "license", F.round(2 * F.col("common") / (F.col("n") + F.col("size")), 6).alias("dice"))
+            .unionByName(run_dice(reachable_texts(rows, templates, percent), templates, percent))
             .groupBy("id", "license").agg(F.max("dice").alias("dice"))
             .groupBy("id").agg(F.array_sort(F.collect_list("license")).alias("licenses"),
                                F.min(F.struct((-F.col("dice")).alias("d"), "license")).alias("first")))

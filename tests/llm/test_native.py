@@ -118,6 +118,42 @@ def test_licences_equal_all_templates(spark, percent):
     assert scanned(spark, docs, percent) == sorted(((k, *licences(t, percent)) for k, t in docs), key=str)
 
 
+def runs(text, percent):
+    """licences() over all runs of lines."""
+    best, lines = {}, text.split("\n")
+    for i in range(len(lines)):
+        for j in range(i, len(lines)):
+            for name, dice in run_hits("\n".join(lines[i:j + 1]), percent).items():
+                best[name] = max(best.get(name, 0), dice)
+    first = min(best, key=lambda k: (-best[k], k), default=None)
+    return sorted(best), first, best.get(first, 0.0)
+
+
+def run_hits(unit, percent):
+    u, found = grams(unit), {}
+    for name, template in L.TEMPLATES.items():
+        t = grams(template)
+        n = len(u & t)
+        if u and 200 * n >= percent * (len(u) + len(t)):
+            found[name] = round(2 * n / (len(u) + len(t)), 6)
+    return found
+
+
+@pytest.mark.parametrize("percent", [80, 60])
+def test_licences_within_long_texts(spark, percent):
+    docs = []
+    for i, text in enumerate(L.TEMPLATES.values()):
+        w = text.split()
+        third = [w[:len(w) // 3], w[len(w) // 3:2 * len(w) // 3], w[2 * len(w) // 3:]]
+        prose = [" ".join(f"p{i}q{k}r{x}" for x in range(12)) for k in range(24)]
+        split = "\n\n".join(" ".join(x) for x in third)  # blank lines in the middle of the notice
+        wrapped = "\n".join(" ".join(w[k:k + 4]) for k in range(0, len(w), 4))  # nothing blank around it
+        docs += [(10 * i, "\n\n".join([*prose[:12], split, *prose[12:]])), (10 * i + 1, "\n".join([*prose[:12], wrapped, *prose[12:]]))]
+    found = scanned(spark, docs, percent)
+    assert found == sorted(((k, *runs(t, percent)) for k, t in docs), key=str)
+    assert all(dice == 1 for *_, dice in found)
+
+
 def test_no_documents(spark):
     assert scanned(spark, []) == []
 
