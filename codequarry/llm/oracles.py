@@ -138,3 +138,69 @@ SELECT d.doc_id, coalesce(n, 0) AS n_licenses, coalesce(licenses, '') AS license
   coalesce(best_dice, 0) AS best_dice
 FROM documents d LEFT JOIN top ON d.doc_id = top.doc_id
 """
+
+#: crc(v): lists of CRC-32 steps by byte; crc32 of a decimal text d is then _CRC.
+_CRC_TABLE = """crc AS (
+  SELECT list(v ORDER BY i) AS crc_of FROM (
+    SELECT i, list_reduce(list_concat([i], range(8)),
+      lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v
+    FROM range(256) AS r(i)))"""
+
+
+def _crc(text: str) -> str:
+    """CRC-32 of an ASCII text, with the column crc_of at hand."""
+    return (f"xor(list_reduce(list_concat([4294967295], list_transform(range(1, len({text}) + 1), "
+            f"lambda i: CAST(ascii(substr({text}, i, 1)) AS BIGINT))), "
+            "lambda c, b: xor(crc_of[xor(c, b) % 256 + 1], c // 256)), 4294967295)")
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || {value}, '-')"
+
+
+_LEAF = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_ID = "CAST(doc_id AS VARCHAR)"
+
+OP11 = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (
+  SELECT doc_id, lang, sha256({_LEAF} || {_field("text")}) AS leaf,
+    sha256({_LEAF} || CASE WHEN doc_id IS NOT NULL AND {_crc(_ID)} % 3 = 0
+      THEN {_field(f"translate(text, {_ASCII})")} ELSE {_field("text")} END) AS changed
+  FROM documents, crc),
+leaf AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM d),
+up AS (
+  SELECT lang, 0 AS lvl, list(leaf ORDER BY idx) AS h FROM leaf GROUP BY lang
+  UNION ALL
+  SELECT lang, lvl + 1, list_transform(range(0, len(h), 8), lambda i: sha256(array_to_string(h[i + 1:i + 8], '')))
+  FROM up WHERE len(h) > 1),
+sub AS (SELECT lang, h[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM up WHERE len(h) = 1),
+over_ AS (
+  SELECT 0 AS lvl, list(subroot ORDER BY place) AS h FROM sub
+  UNION ALL
+  SELECT lvl + 1, list_transform(range(0, len(h), 8), lambda i: sha256(array_to_string(h[i + 1:i + 8], '')))
+  FROM over_ WHERE len(h) > 1),
+step AS (
+  SELECT leaf.lang, idx, lvl, h, CAST(floor(idx / 8 ** lvl) AS BIGINT) AS spot FROM leaf JOIN up ON leaf.lang IS NOT DISTINCT FROM up.lang
+  WHERE len(h) > 1
+  UNION ALL
+  SELECT leaf.lang, idx, 100 + lvl, h, CAST(floor(place / 8 ** lvl) AS BIGINT) FROM leaf
+    JOIN sub ON leaf.lang IS NOT DISTINCT FROM sub.lang, over_ WHERE len(h) > 1),
+path AS (
+  SELECT lang, idx, row_number() OVER (PARTITION BY lang, idx ORDER BY lvl) AS k,
+    array_to_string(h[spot // 8 * 8 + 1:spot], '') AS before, array_to_string(h[spot + 2:spot // 8 * 8 + 8], '') AS after
+  FROM step),
+proof AS (SELECT lang, idx, sha256(string_agg(before || after, '' ORDER BY k)) AS proof FROM path GROUP BY lang, idx),
+fold AS (
+  SELECT lang, idx, CAST(0 AS BIGINT) AS k, changed AS h FROM leaf
+  UNION ALL
+  SELECT fold.lang, fold.idx, path.k, sha256(before || h || after) FROM fold
+    JOIN path ON fold.lang IS NOT DISTINCT FROM path.lang AND fold.idx = path.idx AND path.k = fold.k + 1),
+folded AS (SELECT lang, idx, arg_max(h, k) AS h FROM fold GROUP BY lang, idx),
+root AS (SELECT h[1] AS root FROM over_ WHERE len(h) = 1)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded.h AS folded_root,
+  folded.h = root AS verified
+FROM leaf JOIN sub ON leaf.lang IS NOT DISTINCT FROM sub.lang
+  JOIN folded ON leaf.lang IS NOT DISTINCT FROM folded.lang AND leaf.idx = folded.idx
+  LEFT JOIN proof ON leaf.lang IS NOT DISTINCT FROM proof.lang AND leaf.idx = proof.idx, root
+"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.llm import (
-    chat_format, decontaminate, html_text, licenses, ngram_join, oracles, packing, quality_model,
+    chat_format, decontaminate, html_text, licenses, merkle, ngram_join, oracles, packing, quality_model,
     quality_rules, substring_dedup, url_filter,
 )
 
@@ -89,6 +89,10 @@ def op10_licenses(spark: SparkSession, sf: str) -> DataFrame:
                       F.col("dice").alias("best_dice"))
 
 
+def op11_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_quality_rules": op2_quality_rules,
@@ -100,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_decontaminate": op9_decontaminate,
     "op10_licenses": op10_licenses,
+    "op11_merkle": op11_merkle,
 }
 
 ORACLES: dict[str, str] = {
@@ -109,4 +114,5 @@ ORACLES: dict[str, str] = {
     "op6_url_filter": oracles.OP6,
     "op9_decontaminate": oracles.OP9,
     "op10_licenses": oracles.OP10,
+    "op11_merkle": oracles.OP11,
 }
