@@ -204,3 +204,37 @@ FROM leaf JOIN sub ON leaf.lang IS NOT DISTINCT FROM sub.lang
   JOIN folded ON leaf.lang IS NOT DISTINCT FROM folded.lang AND leaf.idx = folded.idx
   LEFT JOIN proof ON leaf.lang IS NOT DISTINCT FROM proof.lang AND leaf.idx = proof.idx, root
 """
+
+_CONV = "CAST(conv_id AS VARCHAR)"
+
+OP13 = rf"""
+WITH {_CRC_TABLE},
+t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+      sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS idx
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id, {_crc(_CONV)} % 4 AS h, conv_id - conv_id % 20 AS base FROM t, crc),
+r AS (
+  SELECT c.conv_id, 0 AS part, idx, role, text FROM c JOIN t ON t.conv_id = c.base WHERE idx < h
+  UNION ALL
+  SELECT c.conv_id, 1, idx, role, text FROM c JOIN t ON t.conv_id = c.conv_id WHERE idx >= h),
+p AS (
+  SELECT conv_id, list(role || chr(10) || text) OVER w AS node, row_number() OVER w AS depth,
+    count(*) OVER (PARTITION BY conv_id) AS size, len(regexp_extract_all(text, '{_WORDS}')) AS words
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, idx ROWS UNBOUNDED PRECEDING)
+  UNION ALL
+  SELECT conv_id, [], 0, (SELECT count(*) FROM r WHERE r.conv_id = c.conv_id), 0 FROM c),
+n AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(words) AS saved,
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = depth), '') AS ends
+  FROM p GROUP BY node, depth),
+kid AS (SELECT node[:depth - 1] AS node, count(*) AS n FROM n WHERE depth > 0 GROUP BY ALL),
+one AS (SELECT n.*, coalesce(kid.n, 0) AS n_children FROM n LEFT JOIN kid ON n.node = kid.node),
+under AS (
+  SELECT node[:k] AS node, sum(saved) AS saved, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM one, unnest(range(depth + 1)) AS u(k) GROUP BY ALL)
+SELECT one.conv_id, one.depth, up.conv_id AS parent_conv_id, one.n_convs, one.n_children, n_leaves,
+  CAST(under.saved AS BIGINT) AS saved_tokens, sha256(one.ends) AS ends_sha256
+FROM one JOIN under ON one.node = under.node LEFT JOIN n AS up ON one.depth > 0 AND up.node = one.node[:one.depth - 1]
+"""

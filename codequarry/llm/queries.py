@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.llm import (
-    chat_format, decontaminate, html_text, licenses, merkle, ngram_join, oracles, packing, quality_model,
-    quality_rules, substring_dedup, url_filter,
+    chat_format, decontaminate, html_text, licenses, merkle, ngram_join, oracles, packing, prefix_trie,
+    quality_model, quality_rules, substring_dedup, url_filter,
 )
 
 
@@ -93,6 +93,18 @@ def op11_merkle(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf, "documents"))
 
 
+def rebuilt(conversations: DataFrame) -> DataFrame:
+    """The trie of conversations that open with up to three turns of another one."""
+    conv = F.col("conv_id")
+    head = F.crc32(conv.cast("string").cast("binary")) % 4
+    turns = prefix_trie.ordered_turns(conversations)
+    return prefix_trie.prefix_trie(*prefix_trie.regrown_turns(turns, base=conv - conv % 20, head=head, most=3))
+
+
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return rebuilt(_table(spark, sf, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_quality_rules": op2_quality_rules,
@@ -105,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_licenses": op10_licenses,
     "op11_merkle": op11_merkle,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
@@ -115,4 +128,5 @@ ORACLES: dict[str, str] = {
     "op9_decontaminate": oracles.OP9,
     "op10_licenses": oracles.OP10,
     "op11_merkle": oracles.OP11,
+    "op13_prefix_trie": oracles.OP13,
 }
