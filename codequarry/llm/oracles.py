@@ -238,3 +238,28 @@ SELECT one.conv_id, one.depth, up.conv_id AS parent_conv_id, one.n_convs, one.n_
   CAST(under.saved AS BIGINT) AS saved_tokens, sha256(one.ends) AS ends_sha256
 FROM one JOIN under ON one.node = under.node LEFT JOIN n AS up ON one.depth > 0 AND up.node = one.node[:one.depth - 1]
 """
+
+#: Bytes as pairs of hexadecimal digits: strings of 50 bytes have 100, here told apart by their MD5.
+OP12 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+part_of AS (SELECT doc_id, k, x[2 * k + 1:2 * k + 2098] AS y FROM d, unnest(range(0, len(x) // 2, 1000)) AS r(k)),
+win AS (SELECT doc_id, k + i AS i, md5_number(y[2 * i + 1:2 * i + 100]) AS w
+  FROM part_of, unnest(range(0, least(1000, len(y) // 2 - 49))) AS r(i)),
+first_of AS (SELECT w, min(doc_id) AS least, max(doc_id) AS most FROM win GROUP BY w),
+run AS (SELECT doc_id, i, least FROM win JOIN first_of USING (w) WHERE least < most),
+gone AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS last FROM run WHERE least < doc_id),
+span AS (
+  SELECT doc_id, min(i) AS a, max(i) + 50 AS b
+  FROM (SELECT *, count(*) FILTER (last IS NULL OR i > last + 50) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM gone)
+  GROUP BY doc_id, k),
+part AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER w, 0) AS since, lead(a) OVER w IS NULL AS final
+  FROM span WINDOW w AS (PARTITION BY doc_id ORDER BY a)),
+kept AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed,
+    string_agg(x[2 * since + 1:2 * a] || CASE WHEN final THEN x[2 * b + 1:] ELSE '' END, '' ORDER BY a) AS x
+  FROM part JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, len(d.x) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.x, d.x))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codequarry.llm import (
     chat_format, decontaminate, html_text, licenses, merkle, ngram_join, oracles, packing, prefix_trie,
-    quality_model, quality_rules, substring_dedup, url_filter,
+    quality_model, quality_rules, substring_dedup, suffix_dedup, url_filter,
 )
 
 
@@ -93,6 +93,12 @@ def op11_merkle(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf, "documents"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    out = suffix_dedup.remove_repeated_bytes(_table(spark, sf, "documents"), window=50)
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans",
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def rebuilt(conversations: DataFrame) -> DataFrame:
     """The trie of conversations that open with up to three turns of another one."""
     conv = F.col("conv_id")
@@ -117,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_licenses": op10_licenses,
     "op11_merkle": op11_merkle,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
@@ -128,5 +135,6 @@ ORACLES: dict[str, str] = {
     "op9_decontaminate": oracles.OP9,
     "op10_licenses": oracles.OP10,
     "op11_merkle": oracles.OP11,
+    "op12_suffix_dedup": oracles.OP12,
     "op13_prefix_trie": oracles.OP13,
 }
