@@ -344,8 +344,29 @@ STEPS: dict[str, str] = {
     "docs": """SELECT concat_ws('/', source, lang) AS project, 'd' || doc_id AS path, text AS content FROM documents""",
 
     # copies
-    "passages": """SELECT project, path, content FROM docs UNION ALL
-      SELECT 'benchmark', 'b' || item_id, text FROM benchmark""",
+    "passages": """SELECT concat_ws('/', source, lang) AS project, 'd' || doc_id AS path, text AS content, doc_id AS own FROM documents
+      UNION ALL SELECT 'benchmark', 'b' || item_id, text, NULL FROM benchmark""",
+    "passage_words": """SELECT project, path, own, line, w, row_number() OVER (PARTITION BY project, path ORDER BY line, k) - 1 AS at_
+      FROM (SELECT project, path, own, line, unnest(ws) AS w, generate_subscripts(ws, 1) AS k
+            FROM (SELECT project, path, own, line, regexp_extract_all(lower(l), '[\\p{L}\\p{N}_]+') AS ws
+                  FROM (SELECT project, path, own, unnest(string_split(content, chr(10))) AS l,
+                          generate_subscripts(string_split(content, chr(10)), 1) AS line FROM passages) a) b) c""",
+    "passage_runs": """SELECT project, path, own, at_, array_to_string(ws, ' ') AS run, line AS first_, last_
+      FROM (SELECT project, path, own, at_, line, list(w) OVER t AS ws, max(line) OVER t AS last_ FROM passage_words
+            WINDOW t AS (PARTITION BY project, path ORDER BY at_ ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)) a
+      WHERE len(ws) = 10""",
+    "source_places": """SELECT own AS source, run, min(at_) AS s_at, arg_min(first_, at_) AS s_first, arg_min(last_, at_) AS s_last
+      FROM passage_runs WHERE own IS NOT NULL GROUP BY ALL""",
+    "copied_runs": """SELECT * FROM (SELECT p.*, source, s_at, s_first, s_last, row_number() OVER (
+          PARTITION BY project, path, at_ ORDER BY source) AS nth
+        FROM passage_runs p JOIN source_places s ON p.run = s.run AND source IS DISTINCT FROM own) a WHERE nth = 1""",
+    "copied": """SELECT project, path, min(source) AS source, CAST(sum(gain) AS BIGINT) AS n_copied
+      FROM (SELECT *, least(10, coalesce(at_ - lag(at_) OVER (PARTITION BY project, path ORDER BY at_), 10)) AS gain
+            FROM copied_runs) a GROUP BY ALL""",
+    "copied_places": """SELECT project, path, source, min(first_) AS first_line, max(last_) AS last_line,
+        min(s_first) AS source_first_line, max(s_last) AS source_last_line, count(*) + 9 AS n_words
+      FROM (SELECT *, at_ - s_at AS off_, at_ - row_number() OVER (PARTITION BY project, path, source, at_ - s_at ORDER BY at_) AS isle
+            FROM copied_runs) a GROUP BY project, path, source, off_, isle""",
     "openings": """SELECT project, path, content, lower(array_to_string(list_slice(
         string_split(regexp_replace(content, '\\n$', ''), chr(10)), 1, 10), ' ')) AS q FROM passages""",
     "copies": """SELECT o.project, o.path, min(d.doc_id) AS source FROM openings o JOIN documents d
@@ -802,11 +823,14 @@ ORACLES: dict[str, str] = {
     "j03_class_edges": build("SELECT * FROM class_pairs"),
     "j04_similar_documents": _similar("docs"),
     "j04_similar_code": _similar("files"),
-    "j05_copied_sources": build("""SELECT project, path, source IS NOT NULL AS found, source FROM passages LEFT JOIN copies USING (project, path)"""),
-    "j06_percent_copied": build(f"""SELECT project, path, copies.source IS NOT NULL AS found, copies.source, coalesce((SELECT CAST(floor(
+    "j05_copied_sources": build("""SELECT project, path, source IS NOT NULL AS found, source, coalesce(n_copied, 0) AS n_copied
+      FROM passages LEFT JOIN copied USING (project, path)"""),
+    "j05_copied_passages": build("SELECT * FROM copied_places"),
+    "j05_copied_openings": build("""SELECT project, path, source IS NOT NULL AS found, source FROM passages LEFT JOIN copies USING (project, path)"""),
+    "j06_percent_copied": build(f"""SELECT project, path, copied.source IS NOT NULL AS found, copied.source, coalesce((SELECT CAST(floor(
           CASE WHEN {_UNION} > 0 THEN {_SHARED} / {_UNION}::DOUBLE ELSE 0 END * 100) AS BIGINT)
-          FROM {_gram_sets('p.content', 'd.text')} g WHERE copies.source IS NOT NULL), 0) AS percent_copied
-      FROM passages p LEFT JOIN copies USING (project, path) LEFT JOIN documents d ON d.doc_id = copies.source"""),
+          FROM {_gram_sets('p.content', 'd.text')} g WHERE copied.source IS NOT NULL), 0) AS percent_copied
+      FROM passages p LEFT JOIN copied USING (project, path) LEFT JOIN documents d ON d.doc_id = copied.source"""),
     "j07_complexity_chart": build("""SELECT project, path, file, cyclomatic, rnk FROM (SELECT project, path, file, cyclomatic,
           row_number() OVER (PARTITION BY project ORDER BY cyclomatic DESC, path) AS rnk
         FROM figures JOIN dir_files USING (project, path)) a WHERE rnk <= 15"""),

@@ -473,9 +473,13 @@ def _(spark, sf):
 
 
 def _passages(spark, sf):
-    return documents(spark, sf).unionByName(table(spark, sf, "benchmark").select(
+    """All documents and benchmark items; a document is not copied from itself."""
+    docs = table(spark, sf, "documents").select(
+        F.concat_ws("/", "source", "lang").alias("project"), F.concat(F.lit("d"), "doc_id").alias("path"),
+        F.col("text").alias("content"), F.col("doc_id").alias("own"))
+    return docs.unionByName(table(spark, sf, "benchmark").select(
         F.lit("benchmark").alias("project"), F.concat(F.lit("b"), "item_id").alias("path"),
-        F.col("text").alias("content")))
+        F.col("text").alias("content"), F.lit(None).cast("bigint").alias("own")))
 
 
 def _known(spark, sf):
@@ -484,10 +488,25 @@ def _known(spark, sf):
 
 @query("j05_copied_sources")
 def _(spark, sf):
-    hits = CP.copy_hits(_passages(spark, sf), _known(spark, sf))
-    return _passages(spark, sf).select("project", "path").join(
-        hits, ["project", "path"], "left").select(
-            "project", "path", F.col("source").isNotNull().alias("found"), "source")
+    files = _passages(spark, sf)
+    return files.select("project", "path").join(
+        CP.copy_hits(files, _known(spark, sf)), ["project", "path"], "left").select(
+            "project", "path", F.col("source").isNotNull().alias("found"), "source",
+            F.coalesce("n_copied", F.lit(0)).alias("n_copied"))
+
+
+@query("j05_copied_passages")
+def _(spark, sf):
+    return CP.copied_passages(stage(CP.copied_windows(_passages(spark, sf), _known(spark, sf))))
+
+
+@query("j05_copied_openings")
+def _(spark, sf):
+    """The reference's own question: do the first ten lines stand in a source?"""
+    files = _passages(spark, sf)
+    hits = CP.copy_hits(files, _known(spark, sf), opening_lines=C.QUERY_LINES)
+    return files.select("project", "path").join(hits, ["project", "path"], "left").select(
+        "project", "path", F.col("source").isNotNull().alias("found"), "source")
 
 
 @query("j06_percent_copied")

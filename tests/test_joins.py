@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from codequarry import catalog as C
@@ -110,7 +111,7 @@ def test_copies_against_all_pairs(spark, make_files):
         q = " ".join(o.splitlines()[:10]).lower()
         return min([i for i, t in sources if q.strip() and q in t.lower()], default=None)
 
-    report = {r.path: r for r in CP.copy_report(files, src, exact=True).collect()}
+    report = {r.path: r for r in CP.copy_report(files, src, exact=True, opening_lines=10).collect()}
     texts_by = dict(sources)
     for i, o in enumerate(openings):
         r = report[f"f{i}"]
@@ -119,6 +120,69 @@ def test_copies_against_all_pairs(spark, make_files):
         assert r.percent_copied == want
 
 
+def all_copied_windows(files, sources, least):
+    """Every window of words with its first place in the smallest other source."""
+    def placed(text):
+        return [(w, n) for n, line in enumerate(text.splitlines(), 1) for w in re.findall(r"\w+", line.lower())]
+
+    held = {}
+    for source, text in sorted(sources):
+        words = placed(text)
+        for i in range(len(words) - least + 1):
+            run = words[i:i + least]
+            held.setdefault(tuple(w for w, _ in run), {}).setdefault(source, (i, run[0][1], run[-1][1]))
+    out = set()
+    for path, text, own in files:
+        words = placed(text)
+        for i in range(len(words) - least + 1):
+            run = words[i:i + least]
+            others = [(s, *p) for s, p in held.get(tuple(w for w, _ in run), {}).items() if s != own]
+            if others:
+                out.add((path, i, run[0][1], run[-1][1], *min(others)))
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 4, 10])
+def test_copied_windows_against_all_windows(spark, least):
+    rng = random.Random(least)
+    words = [f"w{i}" for i in range(300)]
+    passages = [rng.choices(words, k=rng.randint(least, 3 * least + 4)) for _ in range(8)]
+
+    def text():
+        parts = [rng.choices(words, k=rng.randint(0, 15)) for _ in range(3)] + rng.choices(passages, k=2)
+        rng.shuffle(parts)
+        return "\n".join(" ".join(p) for p in parts).replace("w1 ", "W1, ")
+
+    sources = [(i, text()) for i in range(25)] + [(30, ""), (31, "one two")]
+    files = [(f"s{i}", t, i) for i, t in sources] + [(f"f{i}", "\n" * 12 + text(), None) for i in range(15)]
+    df = spark.createDataFrame([("p", *f) for f in files], "project string, path string, content string, own int")
+    src = spark.createDataFrame(sources, "source int, text string")
+    found = CP.copied_windows(df, src, least).persist()
+    got = {(r.path, r["at"], r["first"], r["last"], r.source, r.source_at, r.source_first, r.source_last) for r in found.collect()}
+    assert got == all_copied_windows(files, sources, least) and got
+    places = {(path, i + j) for path, i, *_ in got for j in range(least)}
+    for r in CP.copied_words(found, least).collect():
+        mine = [g for g in got if g[0] == r.path]
+        assert r.source == min(g[4] for g in mine) and r.n_copied == len([p for p in places if p[0] == r.path])
+
+
+def test_a_copy_far_down_is_one_passage(spark, make_files):
+    body = [f"line {i} says {i * 7} and {i * 11}" for i in range(40)]
+    src = spark.createDataFrame([(1, "\n".join(["head"] + body)), (2, "\n".join(body[10:20]))], "source int, text string")
+    files = make_files(("copy.txt", "\n".join(["new " * 3] * 25 + body[5:30] + ["tail"])), ("own.txt", "nothing of it"))
+    got = CP.copied_passages(CP.copied_windows(files, src)).collect()
+    assert [tuple(r) for r in got] == [("p", "copy.txt", 1, 26, 50, 7, 31, 25 * 6)]
+
+
+def test_hot_keys_join_like_others(spark):
+    from codequarry.operators.spread import hot_join
+
+    left = spark.createDataFrame([("hot", i) for i in range(50)] + [("a", 1), ("b", 2), ("none", 3)], "k string, v int").persist()
+    right = spark.createDataFrame([("hot", 10), ("a", 20), ("b", 30), ("other", 40)], "k string, w int")
+    want = sorted(tuple(r) for r in left.join(right, ["k"]).collect())
+    assert sorted(tuple(r) for r in hot_join(left, right, ["k"], key_rows=5).collect()) == want and len(want) == 52
+
+
 def test_edges(make_files):
     rows = [("a/x.py", "from b.y import z\nfrom utils import k\n"), ("b/y.py", "from x import q\n"), ("b/utils.py", ""),
             ("c/utils.py", "v = 1\n"), ("c/z.js", "import m from './x';\n"), ("main.py", "from c import thing\n")]
