@@ -53,6 +53,11 @@ RICH_FILES = f"""SELECT concat('team', CAST(p_partkey % 3 AS VARCHAR(9))) AS pro
 
 FILES = f"{CODE_FILES} UNION ALL {RICH_FILES}"
 
+# All projects and a fork of each of the harder ones, which has moved on here and there.
+FORKED_FILES = f"""{FILES} UNION ALL SELECT concat(project, '-fork') AS project, path,
+  replace(replace(replace(content, 'return a', 'if a: return a + 1'), 'def name(self)', 'def title(self)'),
+    'for item in rest', 'while rest') AS content FROM ({RICH_FILES}) forked"""
+
 # Uploads of assorted type and size per source.
 UPLOADS = """SELECT source AS project, doc_id AS ord, CAST(n_chars * 900 AS BIGINT) AS size,
   concat('file', CAST(doc_id AS VARCHAR(12)), CASE doc_id % 6 WHEN 0 THEN '.py' WHEN 1 THEN '.JS'

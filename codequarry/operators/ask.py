@@ -7,6 +7,8 @@ separate tables: references may be many and are never gathered into one row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from codequarry.operators import metrics as M
 from codequarry.operators.copies import matcher_ratio, shingle_overlap
 from codequarry.operators.rollup import top_k
 from codequarry.operators.search import content_hits, substring_pairs, word_hits
+from codequarry.operators.spread import hot_join
 from codequarry.plans.stage import stage
 
 _SUBJECT_GROUP = {"what": 2, "how": 2, "where": 1, "why": 2, "list": 1, "explain": 1, "compare": 1}
@@ -344,38 +347,62 @@ def explain_lines(requests: DataFrame, files: DataFrame) -> DataFrame:
 
 # --- concepts and topics ----------------------------------------------------------------
 
-def first_mentions(files: DataFrame, subjects: DataFrame, before: int, after: int) -> DataFrame:
-    """First line of each file that holds the subject, with its surroundings."""
+def file_mentions(files: DataFrame, subjects: DataFrame, before: int, after: int,
+                  clues: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
+    """(project, subject, path, line, context, clues): a row per file that holds the subject.
+
+    line and context are of its first mention, null where no single line holds the subject; a clue
+    is true if it holds for the surroundings of any mention in the file.
+    """
     hits = content_hits(files, subjects.select("project", F.col("subject").alias("needle")))
-    rows = hits.withColumnRenamed("needle", "subject").join(files, ["project", "path"])
-    return rows.select("project", "subject", "path", F.inline(
-        first_mention(F.col("content"), F.col("subject"), before, after)))
-
-
-def first_mention(content: Column, subject: Column, before: int, after: int) -> Column:
-    """array<struct<line, context>>: one entry, or none where no single line holds it."""
-    def found(lines: Column) -> Column:
-        at = F.array_position(F.transform(
-            lines, lambda l: F.contains(F.lower(l), subject)), True).cast("int") - 1
-        return X.let(at, lambda i: F.filter(
-            F.array(F.struct((i + 1).alias("line"), M.context_window(
-                lines, i, before, after).alias("context"))), lambda m: m.line > 0))
-
-    return X.let(F.split(content, "\n", -1), found)
-
-
-def describe_concepts(subjects: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What a subject seems to be, judged from its first mention in every file."""
-    mentions = first_mentions(files, subjects, 3, 3)
-    ctx, s = F.col("context"), F.col("subject")
-    clue = mentions.groupBy("project", "subject").agg(
-        F.count("*").alias("n"),
-        F.bool_or(F.contains(ctx, F.lit("class"))).alias("cls"),
-        F.bool_or(F.contains(ctx, F.lit("def __init__"))).alias("init"),
-        F.bool_or(F.contains(ctx, F.concat(F.lit("def "), s))).alias("fun"),
-        F.bool_or(F.contains(ctx, F.lit("import")) & F.contains(ctx, s)).alias("imp"),
-        F.bool_or(F.contains(ctx, F.lit("=")) & F.contains(
-            F.substring_index(ctx, "=", 1), s)).alias("var"))
+    rows = hits.withColumnRenamed("needle", "subject").join(
+        files.select("project", "path", "content"), ["project", "path"])
+    subject = F.col("subject")
+
+    def around(lines: Column) -> Column:
+        at = F.filter(F.transform(lines, lambda l, i: F.when(
+            F.contains(F.lower(l), subject), i)), lambda i: i.isNotNull())
+        return F.transform(at, lambda i: F.struct(
+            (i + 1).alias("line"), M.context_window(lines, i, before, after).alias("context")))
+
+    def any_of(mentions: Column, clue: str) -> Column:
+        return F.exists(mentions, lambda m: clues[clue](m.context, subject)).alias(clue)
+
+    def judge(mentions: Column) -> Column:
+        return F.struct(
+            F.get(mentions, 0).line.alias("line"), F.get(mentions, 0).context.alias("context"),
+            *[any_of(mentions, c) for c in clues])
+
+    found = X.let(F.split("content", "\n", -1), lambda ls: X.let(around(ls), judge))
+    return rows.select("project", "subject", "path", F.inline(F.array(found)))
+
+
+#: What the surroundings of a mention say about a concept.
+_CONCEPT_CLUES = {
+    "cls": lambda ctx, s: F.contains(ctx, F.lit("class")),
+    "init": lambda ctx, s: F.contains(ctx, F.lit("def __init__")),
+    "fun": lambda ctx, s: F.contains(ctx, F.concat(F.lit("def "), s)),
+    "imp": lambda ctx, s: F.contains(ctx, F.lit("import")) & F.contains(ctx, s),
+    "var": lambda ctx, s: F.contains(ctx, F.lit("=")) & F.contains(F.substring_index(ctx, "=", 1), s),
+}
+_TOPIC_CLUES = {
+    "cls": lambda ctx, s: F.contains(F.lower(ctx), F.lit("class")),
+    "fun": lambda ctx, s: F.lower(ctx).rlike("function|def"),
+}
+
+
+def _judged(mentions: DataFrame, clues: dict) -> DataFrame:
+    return mentions.where("line is not null").groupBy("project", "subject").agg(
+        F.count("*").alias("n"), *[F.bool_or(c).alias(c) for c in clues])
+
+
+def describe_concepts(subjects: DataFrame, files: DataFrame, shown: int = 3) -> tuple[DataFrame, DataFrame]:
+    """What a subject seems to be, judged from all its mentions in all files.
+
+    References are the first mentions of the first `shown` files.
+    """
+    mentions = stage(file_mentions(files, subjects, 3, 3, _CONCEPT_CLUES))
+    clue = _judged(mentions, _CONCEPT_CLUES)
     guess = (F.when(F.col("cls"), F.concat(F.lit("a class or object that "), F.when(
         F.col("init"), "initializes with some parameters and ").otherwise("")))
         .when(F.col("fun"), "a function that ").when(F.col("imp"), "a module or library that ")
@@ -385,43 +412,73 @@ def describe_concepts(subjects: DataFrame, files: DataFrame) -> tuple[DataFrame,
             F.lit("I couldn't find any information about "), _quoted("subject"),
             F.lit(" in the code."))).otherwise(F.concat(
                 F.lit("Based on the code, "), _quoted("subject"), F.lit(" appears to be "), guess,
-                F.lit("is used in the project for functionality related to "), s, F.lit("."))
-            ).alias("answer"), F.least(F.coalesce("n", F.lit(0)), F.lit(3)).alias("n_refs"))
-    refs = top_k(mentions, ["project", "subject"], [F.asc("path")], 3, "ref_no")
+                F.lit("is used in the project for functionality related to "), "subject", F.lit("."))
+            ).alias("answer"), F.least(F.coalesce("n", F.lit(0)), F.lit(shown)).alias("n_refs"))
+    refs = top_k(mentions.where("line is not null").drop(*_CONCEPT_CLUES),
+                 ["project", "subject"], [F.asc("path")], shown, "ref_no")
     return answers, refs
 
 
-def explain_topics(subjects: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A topic judged from its first mention in the first three files that hold it."""
-    needles = subjects.select("project", F.col("subject").alias("needle"))
-    hits = top_k(content_hits(files, needles), ["project", "needle"], [F.asc("path")], 3, "ref_no")
-    rows = hits.withColumnRenamed("needle", "subject").join(files, ["project", "path"])
-    refs = rows.select("project", "subject", "ref_no", "path", F.inline(
-        first_mention(F.col("content"), F.col("subject"), 5, 5)))
-    held = F.lower("context")
-    clue = refs.groupBy("project", "subject").agg(
-        F.count("*").alias("n"), F.bool_or(F.contains(held, F.lit("class"))).alias("cls"),
-        F.bool_or(held.rlike("function|def")).alias("fun"))
-    files_held = hits.select("project", F.col("needle").alias("subject")).distinct().withColumn(
-        "held", F.lit(True))
+def explain_topics(subjects: DataFrame, files: DataFrame, shown: int = 3) -> tuple[DataFrame, DataFrame]:
+    """A topic judged from all its mentions in all files.
+
+    References are the first mentions of the first `shown` files that hold it.
+    """
+    mentions = stage(file_mentions(files, subjects, 5, 5, _TOPIC_CLUES))
+    clue = _judged(mentions, _TOPIC_CLUES)
+    refs = top_k(mentions.drop(*_TOPIC_CLUES), ["project", "subject"], [F.asc("path")], shown,
+                 "ref_no").where("line is not null")
+    counts = refs.groupBy("project", "subject").agg(F.count("*").alias("n_refs"))
+    files_held = mentions.select("project", "subject").distinct().withColumn("held", F.lit(True))
     s = F.col("subject")
     tail = (F.when(F.col("n").isNull(), "")
             .when(F.col("cls"), F.concat(F.lit("a class that handles "), s, F.lit(" functionality.")))
             .when(F.col("fun"), F.concat(F.lit("a function or method related to "), s, F.lit(".")))
             .otherwise(F.concat(F.lit("code related to "), s, F.lit("."))))
-    answers = subjects.join(files_held, ["project", "subject"], "left").join(
-        clue, ["project", "subject"], "left").select("project", "subject", F.when(
-            F.col("held").isNull(), F.concat(
-                F.lit("I couldn't find any code related to "), _quoted("subject"),
-                F.lit(" in the project."))).otherwise(F.concat(
-                    F.lit("Here's an explanation of "), _quoted("subject"),
-                    F.lit(":\n\nBased on the code, this appears to be "), tail)).alias("answer"),
-            F.coalesce("n", F.lit(0)).alias("n_refs"))
+    key = ["project", "subject"]
+    answers = subjects.join(files_held, key, "left").join(clue, key, "left").join(counts, key, "left").select(
+        *key, F.when(F.col("held").isNull(), F.concat(
+            F.lit("I couldn't find any code related to "), _quoted("subject"),
+            F.lit(" in the project."))).otherwise(F.concat(
+                F.lit("Here's an explanation of "), _quoted("subject"),
+                F.lit(":\n\nBased on the code, this appears to be "), tail)).alias("answer"),
+        F.coalesce("n_refs", F.lit(0)).alias("n_refs"))
     return answers, refs
 
 
 # --- compare ----------------------------------------------------------------------------
 
+def definitions(files: DataFrame, kind: str) -> DataFrame:
+    """files(project, path, content, elements) -> (project, path, line, name, subject, code, params,
+    methods) of every element of a kind; subject is the lower-cased name, code its header and body."""
+    def cut(lines: Column) -> Column:
+        def one(e: Column) -> Column:
+            at = F.greatest(e.line, F.lit(1))
+            return F.struct(
+                e.line.alias("line"), e["name"].alias("name"), F.lower(e["name"]).alias("subject"),
+                F.array_join(F.concat(F.array(F.get(lines, at - 1)), block_lines(lines, at)), "\n").alias("code"),
+                e.params.alias("params"), e.methods.alias("methods"))
+
+        return F.transform(F.filter("elements", lambda e: e.type == kind), one)
+
+    return files.select("project", "path", F.inline(X.each(X.let(X.lines(F.col("content")), cut))))
+
+
+def against_first(found: DataFrame) -> DataFrame:
+    """Every definition beside the first one of its full name, by project, path and line.
+
+    So all definitions of a name are compared, however many there are, by one pair each.
+    """
+    found = stage(found)
+    place = F.struct("project", "path", "line", "name", "code", "params", "methods")
+    first = found.groupBy("subject").agg(F.min(place).alias("f"))
+    columns = ["project", "path", "line", "name", "code", "params", "methods"]
+    pairs = hot_join(found, first, ["subject"]).select(
+        "subject", *[F.col(c).alias(f"{c}1") for c in columns], *[F.col(f"f.{c}").alias(f"{c}2") for c in columns])
+    return pairs.where((F.col("project1") != F.col("project2")) | (F.col("path1") != F.col("path2")) | (
+        F.col("line1") != F.col("line2")))
+
+
 def compare_function_pairs(pairs: DataFrame, exact: bool = False) -> DataFrame:
     """pairs with name1/2, code1/2, params1/2 -> the sentences comparing two functions."""
     ratio = (matcher_ratio if exact else shingle_overlap)(F.col("code1"), F.col("code2"))

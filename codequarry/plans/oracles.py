@@ -417,6 +417,12 @@ STEPS: dict[str, str] = {
     "mentions": """SELECT s.project, s.subject, l.path, list_position(list_transform(l.split_lines,
           lambda x: contains(lower(x), s.subject)), true) AS line, l.split_lines AS lines
       FROM subjects s JOIN file_lines l ON l.project = s.project AND contains(lower(l.content), s.subject)""",
+    "all_mentions": """SELECT * FROM (SELECT s.project, s.subject, l.path, l.split_lines AS lines,
+          unnest(range(1, len(l.split_lines) + 1)) AS line
+        FROM subjects s JOIN file_lines l ON l.project = s.project AND contains(lower(l.content), s.subject)) m
+      WHERE contains(lower(lines[line]), subject)""",
+    "all_near": """SELECT project, subject, array_to_string(lines[greatest(1, line - 3):line + 2], chr(10)) AS context FROM all_mentions""",
+    "all_wide": """SELECT project, subject, array_to_string(lines[greatest(1, line - 5):line + 4], chr(10)) AS context FROM all_mentions""",
     "near": """SELECT project, subject, path, line, array_to_string(lines[greatest(1, line - 3):line + 2], chr(10)) AS context
       FROM mentions WHERE line IS NOT NULL AND line > 0""",
     "concept_texts": """SELECT s.project, s.subject, CASE WHEN n IS NULL THEN 'I couldn''t find any information about '''
@@ -425,12 +431,13 @@ STEPS: dict[str, str] = {
             WHEN fun THEN 'a function that ' WHEN imp THEN 'a module or library that '
             WHEN var THEN 'a variable that stores ' ELSE 'a concept related to ' END
           || 'is used in the project for functionality related to ' || s.subject || '.' END AS answer,
-        least(coalesce(n, 0), 3) AS n_refs
-      FROM subjects s LEFT JOIN (SELECT project, subject, count(*) AS n, bool_or(contains(context, 'class')) AS cls,
+        least(coalesce(held, 0), 3) AS n_refs
+      FROM subjects s LEFT JOIN (SELECT project, subject, count(*) AS held FROM near GROUP BY ALL) h USING (project, subject)
+        LEFT JOIN (SELECT project, subject, count(*) AS n, bool_or(contains(context, 'class')) AS cls,
           bool_or(contains(context, 'def __init__')) AS init, bool_or(contains(context, 'def ' || subject)) AS fun,
           bool_or(contains(context, 'import') AND contains(context, subject)) AS imp,
           bool_or(contains(context, '=') AND contains(split_part(context, '=', 1), subject)) AS var
-        FROM near GROUP BY ALL) c USING (project, subject)""",
+        FROM all_near GROUP BY ALL) c USING (project, subject)""",
     "wide": """SELECT project, subject, path, line, array_to_string(lines[greatest(1, line - 5):line + 4], chr(10)) AS context, ref_no
       FROM (SELECT *, row_number() OVER (PARTITION BY project, subject ORDER BY path) AS ref_no FROM mentions) a
       WHERE ref_no <= 3 AND line IS NOT NULL AND line > 0""",
@@ -438,9 +445,10 @@ STEPS: dict[str, str] = {
           || s.subject || ''' in the project.' ELSE 'Here''s an explanation of ''' || s.subject || ''':' || chr(10) || chr(10)
           || 'Based on the code, this appears to be ' || CASE WHEN cls THEN 'a class that handles ' || s.subject || ' functionality.'
             WHEN fun THEN 'a function or method related to ' || s.subject || '.' ELSE 'code related to ' || s.subject || '.' END END AS answer,
-        coalesce(n, 0) AS n_refs
+        coalesce(shown, 0) AS n_refs
       FROM subjects s LEFT JOIN (SELECT project, subject, count(*) AS n, bool_or(contains(lower(context), 'class')) AS cls,
-          bool_or(regexp_matches(lower(context), 'function|def')) AS fun FROM wide GROUP BY ALL) c USING (project, subject)""",
+          bool_or(regexp_matches(lower(context), 'function|def')) AS fun FROM all_wide GROUP BY ALL) c USING (project, subject)
+        LEFT JOIN (SELECT project, subject, count(*) AS shown FROM wide GROUP BY ALL) w USING (project, subject)""",
     "listing": """SELECT project, 'file' AS kind, path, 0 AS ord, 0 AS line, path AS context FROM meta
       UNION ALL SELECT project, type, path, found, CASE WHEN type = 'import' THEN 0 ELSE line END, name
         FROM (SELECT *, row_number() OVER (PARTITION BY project, path ORDER BY line, found) AS seq FROM elements) e
@@ -550,23 +558,22 @@ def _gram_sets(left: str, right: str) -> str:
 
 _SHARED = "len(list_intersect(a, b))"
 _UNION = "(len(a) + len(b) - len(list_intersect(a, b)))"
-_STEM_AND_BLOCK = """(regexp_replace(name, '[0-9]+$', '') || '#' ||
-  CAST(CAST(regexp_extract(path, '([0-9]+)\\.[a-z]+$', 1) AS BIGINT) // 24 AS VARCHAR))"""
-_PAIR_STEPS = {
-    "files": FX.RICH_FILES,
-    "things_used": """SELECT * FROM (SELECT *, {subject} AS subject, row_number() OVER (
-        PARTITION BY project, {subject} ORDER BY path, ord) AS nth
-      FROM things WHERE type = '{kind}') t WHERE nth = 1""",
-}
-
-
 _CODED = f"""SELECT *, {_run_list('wa')} AS grams FROM (SELECT *, regexp_extract_all(lower(code), '[\\p{{L}}\\p{{N}}_]+') AS wa
   FROM (SELECT *, array_to_string(list_concat([lines[greatest(line, 1)]], body), chr(10)) AS code FROM blocks) c) d"""
 
 
 def _pairs(kind: str) -> dict[str, str]:
-    return {"files": FX.RICH_FILES, "things_used": _PAIR_STEPS["things_used"].format(kind=kind, subject=_STEM_AND_BLOCK),
-            "coded": _CODED}
+    return {"files": FX.FORKED_FILES, "coded": _CODED,
+            "things_used": f"SELECT *, lower(name) AS subject FROM things WHERE type = '{kind}'",
+            "first_named": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject
+              ORDER BY project, path, line) AS nth_ FROM coded) n WHERE nth_ = 1"""}
+
+
+def _against_first(answer: str) -> str:
+    return f"""SELECT x.subject, x.project AS project1, x.path AS path1, x.line AS line1, y.project AS project2,
+        y.path AS path2, y.line AS line2, {answer} AS answer
+      FROM coded x JOIN first_named y ON x.subject = y.subject
+        AND (x.project <> y.project OR x.path <> y.path OR x.line <> y.line)"""
 
 
 _BOTH = {"return": "Both functions return values.", "if": "Both functions contain conditional logic.",
@@ -861,10 +868,8 @@ ORACLES: dict[str, str] = {
       FROM (SELECT r.*, l.path, l.lines, l.lines[r.line] AS text FROM ({FX.LINE_REQUESTS}) r LEFT JOIN (SELECT * FROM (SELECT a.qid, f.path, f.lines,
           row_number() OVER (PARTITION BY a.qid ORDER BY f.path) AS nth FROM ({FX.LINE_REQUESTS}) a JOIN file_lines f
           ON f.project = a.project AND contains(f.path, a.file_name)) p WHERE nth = 1) l USING (qid)) x"""),
-    "q11_compare_functions": build(f"""SELECT x.subject, x.project AS project1, y.project AS project2, {_function_answer()} AS answer
-      FROM coded x JOIN coded y ON x.subject = y.subject AND x.project < y.project""", **_pairs("function")),
-    "q12_compare_classes": build(f"""SELECT x.subject, x.project AS project1, y.project AS project2, {_class_answer()} AS answer
-      FROM coded x JOIN coded y ON x.subject = y.subject AND x.project < y.project""", **_pairs("class")),
+    "q11_compare_functions": build(_against_first(_function_answer()), **_pairs("function")),
+    "q12_compare_classes": build(_against_first(_class_answer()), **_pairs("class")),
     "q13_compare_files": build(f"""SELECT e.project, e.src, e.dst, {_file_answer('xf', 'yf')} AS answer FROM bare_edges e
       JOIN file_sets xf ON xf.project = e.project AND xf.path = e.src JOIN file_sets yf ON yf.project = e.project AND yf.path = e.dst
       JOIN figures xfc ON xfc.project = e.project AND xfc.path = e.src JOIN figures yfc ON yfc.project = e.project AND yfc.path = e.dst""",

@@ -624,18 +624,10 @@ def _(spark, sf):
 
 
 def _compared(spark, sf, kind, compare) -> DataFrame:
-    """Every definition against those of its kind in the other team projects: the same name up to
-    its number, in files whose numbers are in the same block of twenty-four."""
-    files = derived(spark, sf, FX.RICH_FILES)
-    analysed_ = S.with_elements(files).drop("content")
-    things = A.named_things(analysed_).where(F.col("type") == kind).withColumn(
-        "subject", F.concat(F.regexp_replace("name", "[0-9]+$", ""), F.lit("#"), F.floor(
-            F.regexp_extract("path", r"([0-9]+)\.[a-z]+$", 1).cast("long") / 24).cast("string")))
-    best = A._with_code(A.best_elements(things.withColumn("partial", F.lit(0))), files)
-    side = lambda n: best.select("subject", *[F.col(c).alias(f"{c}{n}") for c in
-                                              ("project", "name", "code", "params", "methods")])
-    pairs = side(1).join(side(2), "subject").where("project1 < project2")
-    return compare(pairs).select("subject", "project1", "project2", "answer")
+    """Every definition against the first one of its full name in all projects and their forks."""
+    files = S.with_elements(derived(spark, sf, FX.FORKED_FILES))
+    return compare(A.against_first(A.definitions(files, kind))).select(
+        "subject", "project1", "path1", "line1", "project2", "path2", "line2", "answer")
 
 
 @query("q13_compare_files")
