@@ -55,73 +55,81 @@ KEY_BYTES = 6
 
 # suffix arrays
 
-def _named(*columns: np.ndarray) -> np.ndarray:
-    """Ranks, from 1, of the rows: equal rows have one rank."""
-    key = columns[0]
+def _packed(columns: list[np.ndarray]) -> np.ndarray:
+    """One number per row, in the order of the rows."""
+    key = columns[0].astype(np.int64)
     for c in columns[1:]:
         width = int(c.max(initial=0)) + 1
         if int(key.max(initial=0)) * width >= 1 << 62:
             key = np.unique(key, return_inverse=True)[1]
         key = key * width + c
+    return key
+
+
+def _ranks(key: np.ndarray) -> np.ndarray:
+    """Ranks, from 1, of numbers: equal ones have one rank."""
+    top = int(key.max(initial=0)) + 1
+    if top <= 4 * len(key) + 1024:
+        seen = np.zeros(top, dtype=np.int32)
+        seen[key] = 1
+        return np.cumsum(seen, dtype=np.int32)[key]
     order = np.argsort(key)
     step = key[order]
-    out = np.empty(len(key), dtype=np.int64)
-    out[order] = np.cumsum(np.concatenate(([True], step[1:] != step[:-1])))
+    out = np.empty(len(key), dtype=np.int32)
+    out[order] = np.cumsum(np.concatenate(([True], step[1:] != step[:-1])), dtype=np.int32)
     return out
 
 
+def _sorted_by(values: np.ndarray, limit: int) -> np.ndarray:
+    """A stable argsort of numbers from 0 to `limit`, sixteen bits at a time."""
+    order = np.argsort((values & 0xFFFF).astype(np.uint16), kind="stable")
+    if limit >= 1 << 16:
+        order = order[np.argsort((values >> 16).astype(np.uint16)[order], kind="stable")]
+    return order
+
+
 def _before(sorted_: list[np.ndarray], asked: list[np.ndarray]) -> np.ndarray:
     """How many rows of `sorted_` are less than each asked one; both in order, columns first to last."""
     n = len(sorted_[0])
-    ranks = _joint(sorted_, asked)
+    key = _packed([np.concatenate(c) for c in zip(sorted_, asked)])
     # rows equal as far as the order goes may stand in any order
-    return np.searchsorted(np.maximum.accumulate(ranks[:n]), np.maximum.accumulate(ranks[n:]))
-
-
-def _joint(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarray:
-    key = np.concatenate((first[0], second[0]))
-    for a, b in zip(first[1:], second[1:]):
-        c = np.concatenate((a, b))
-        width = int(c.max(initial=0)) + 1
-        if int(key.max(initial=0)) * width >= 1 << 62:
-            key = np.unique(key, return_inverse=True)[1]
-        key = key * width + c
-    return key
+    return np.searchsorted(np.maximum.accumulate(key[:n]), np.maximum.accumulate(key[n:]))
 
 
 def suffix_order(text: np.ndarray, depth: int, reach: int = 1) -> np.ndarray:
     """The places of the suffixes of `text`, in order as far as `depth` bytes tell.
 
-    text: int64 symbols from 1 on; each stands for `reach` bytes. Suffixes that agree in more bytes
-    stand next to each other in any order.
+    text: symbols from 1 on, below 2**31; each stands for `reach` bytes. Suffixes that agree in
+    more bytes stand next to each other in any order.
     """
     n = len(text)
+    limit = int(text.max(initial=0))
     if reach >= depth or n < 2:
-        return np.argsort(text, kind="stable")
-    s = np.concatenate((text, np.zeros(3, dtype=np.int64)))
+        return _sorted_by(text, limit)
+    s = np.concatenate((text, np.zeros(3, dtype=text.dtype))).astype(np.int32)
     # the cover: places 1 and 2 of each three; the empty suffix too where it parts both halves
-    sample = np.concatenate((np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)))
-    rank = np.zeros(n + 3, dtype=np.int64)
-    names = _named(s[sample], s[sample + 1], s[sample + 2])
-    if names.max(initial=0) == len(names):
-        order = np.argsort(names)
-    else:
-        order = suffix_order(names, depth, 3 * reach)
-    rank[sample[order]] = np.arange(1, len(order) + 1)
+    sample = np.concatenate((np.arange(1, n + (n % 3 == 1), 3, dtype=np.int32), np.arange(2, n, 3, dtype=np.int32)))
+    names = _ranks(_packed([s[sample], s[sample + 1], s[sample + 2]]))
+    most = int(names.max(initial=0))
+    order = _sorted_by(names, most) if most == len(names) else suffix_order(names, depth, 3 * reach)
     chosen = sample[order]
-    chosen = chosen[chosen < n]
-
-    rest = np.arange(0, n, 3)
-    rest = rest[np.argsort(_joint([s[rest], rank[rest + 1]], [s[:0], rank[:0]]))]
-    ones, twos = chosen[chosen % 3 == 1], chosen[chosen % 3 == 2]
+    rank = np.zeros(n + 3, dtype=np.int32)
+    rank[chosen] = np.arange(1, len(chosen) + 1, dtype=np.int32)
+
+    # the rest stand by their first symbol, then as the suffixes after them
+    kind = chosen % 3
+    rest = chosen[kind == 1] - 1
+    rest = rest[_sorted_by(s[rest], limit)]
+    real = chosen < n
+    ones, twos = chosen[(kind == 1) & real], chosen[kind == 2]
     place = (np.arange(len(rest))
              + _before([s[ones], rank[ones + 1]], [s[rest], rank[rest + 1]])
              + _before([s[twos], s[twos + 1], rank[twos + 2]], [s[rest], s[rest + 1], rank[rest + 2]]))
-    out = np.empty(n, dtype=np.int64)
+    out = np.empty(n, dtype=np.int32)
     free = np.ones(n, dtype=bool)
     free[place] = False
     out[place] = rest
-    out[free] = chosen
+    out[free] = chosen[real]
     return out
 
 
@@ -149,7 +157,10 @@ def repeats_in(pieces: bytes, lengths: np.ndarray, ids: np.ndarray, window: int)
     inside = np.ones(total, dtype=bool)
     inside[ends - 1] = False
     data[inside] = np.frombuffer(pieces, dtype=np.uint8)
-    text = data.astype(np.int64) + 2
+    # bytes that do not occur need no symbol
+    seen = np.zeros(256, dtype=np.int32)
+    seen[data[inside]] = 1
+    text = (np.cumsum(seen) + 1)[data].astype(np.int32)
     text[ends - 1] = 1
     order = suffix_order(text, window)
     del text
