@@ -45,8 +45,8 @@ HOT_DOCUMENTS = 10_000
 HOT_SLOTS = 1 << 20
 #: Grams, and bytes of distinct pieces, that a task holds before it settles them.
 FLUSH, FLUSH_BYTES = 1_500_000, 24 << 20
-#: Buckets of pieces per shuffle partition: one bucket is ordered at a time.
-SLICES = 8
+#: Slices of a bucket of pieces, and bytes of slices whose suffixes are ordered at a time.
+SLICES, SLICE_BYTES = 256, 384 << 10
 #: Bytes of marks that may be broadcast; more are joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
 #: Highest bytes of a gram's hash that travel; where they agree by chance a piece travels in vain.
@@ -248,6 +248,25 @@ def _columns(rows: list[dict], keep: list[int], first: int = 0) -> list[np.ndarr
     return [np.concatenate([unpack(r[f"c{first + i}"], k) for r in rows]) for i, k in enumerate(keep)]
 
 
+class _Gathered:
+    """Numbers on their way to their documents; the first column is the id."""
+
+    def __init__(self, buckets: int, keep: list[int]):
+        self.buckets, self.keep, self.held, self.size = buckets, keep, [], 0
+
+    def add(self, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        self.held.append(columns)
+        self.size += len(columns[0])
+        if self.size >= FLUSH:
+            yield from self.rows()
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            columns = [np.concatenate(c) for c in zip(*self.held)]
+            yield _row(0, _home(columns[0].view(np.int64), self.buckets), self.buckets, columns, self.keep, len(self.keep))
+        self.held, self.size = [], 0
+
+
 #: Highest bytes kept of: key, id, number of the row among those of its id, stretch, documents.
 _GRAM_KEEP = [KEY_BYTES, 8, 4, 5, 4]
 
@@ -301,11 +320,11 @@ def _grams(window: int, gram: int, buckets: int):
 def _shared_grams(hot: int, buckets: int):
     """Stretches of grams that several documents have, to their document (kind 0); slots of hot grams (kind 2)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home = _Gathered(buckets, [8, 4, 5])
         for rows in _by_bucket(batches):
             settled, opened = [r for r in rows if r["kind"] == 0], [r for r in rows if r["kind"] == 1]
             if settled:
-                ids, no, at = _columns(settled, [8, 4, 5])
-                yield _row(0, _home(ids.view(np.int64), buckets), buckets, [ids, no, at], [8, 4, 5], 3)
+                yield from home.add(_columns(settled, [8, 4, 5]))
             if not opened:
                 continue
             keys, ids, no, at, documents = _columns(opened, _GRAM_KEEP)
@@ -318,8 +337,8 @@ def _shared_grams(hot: int, buckets: int):
                 yield _row(2, np.zeros(len(slots), np.int64), 1, [slots.view(U64)], [8], 3)
             shared, _, _ = _settled(keys, ids.view(np.int64))
             if len(shared):
-                yield _row(0, _home(ids[shared].view(np.int64), buckets), buckets,
-                           [ids[shared], no[shared], at[shared]], [8, 4, 5], 3)
+                yield from home.add([ids[shared], no[shared], at[shared]])
+        yield from home.rows()
     return run
 
 
@@ -350,10 +369,10 @@ class _Held:
         self.later: list[tuple[int, int, int, int]] = []
         self.size = 0
 
-    def add(self, piece: bytes, bucket: int, key: int, no: int, at: int) -> None:
+    def add(self, piece: bytes, slot: int, key: int, no: int, at: int) -> None:
         have = self.pieces.get(piece)
         if have is None:
-            self.pieces[piece] = [bucket, key, [(no, at)]]
+            self.pieces[piece] = [slot, key, [(no, at)]]
             self.size += len(piece) + 100
         elif key == have[1]:
             have[2].append((no, at))
@@ -367,18 +386,18 @@ class _Held:
         if self.later:
             ids, no, first, end = (np.array(c, dtype=np.int64) for c in zip(*self.later))
             yield _row(0, _home(ids, buckets), buckets,
-                       [ids.view(U64), _tall(no, 4), _tall(first, 5), _tall(end, 5)], [8, 4, 5, 5], 6)
+                       [ids.view(U64), _tall(no, 4), _tall(first, 5), _tall(end, 5)], [8, 4, 5, 5], 7)
         dealt: dict[int, list] = {}
-        for piece, (bucket, key, places) in self.pieces.items():
-            dealt.setdefault(bucket, []).append((piece, key, places))
+        for piece, (slot, key, places) in self.pieces.items():
+            dealt.setdefault(slot // SLICES, []).append((piece, slot % SLICES, key, places))
         for bucket, found in dealt.items():
-            sizes = np.array([(len(p), k, len(w)) for p, k, w in found], dtype=np.int64).T
-            places = np.array([x for _, _, w in found for x in w], dtype=np.int64).T
-            columns = [np.ascontiguousarray(c).tobytes() for c in (sizes[0], sizes[1], sizes[2], places[0], places[1])]
+            sizes = np.array([(len(p), s, k, len(w)) for p, s, k, w in found], dtype=np.int64).T
+            places = np.array([x for *_, w in found for x in w], dtype=np.int64).T
+            columns = [np.ascontiguousarray(c).tobytes() for c in (*sizes, *places)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([bucket], pa.int32()), *(pa.array([c], pa.binary()) for c in columns),
-                 pa.array([b"".join(p for p, _, _ in found)], pa.binary()), pa.array([1], pa.int32())],
-                ["bucket", *(f"c{i}" for i in range(6)), "kind"])
+                 pa.array([b"".join(p for p, *_ in found)], pa.binary()), pa.array([1], pa.int32())],
+                ["bucket", *(f"c{i}" for i in range(7)), "kind"])
 
 
 def _pieces(window: int, gram: int, hot: np.ndarray, buckets: int):
@@ -397,15 +416,15 @@ def _pieces(window: int, gram: int, hot: np.ndarray, buckets: int):
                 ends = np.append(starts[1:], len(least))
                 top = least[starts[chosen]] >> U64(8 * (8 - KEY_BYTES)) << U64(8 * (8 - KEY_BYTES))
                 alone = hot[(top >> U64(40)).astype(np.int64) % HOT_SLOTS] if len(hot) else np.zeros(len(chosen), bool)
-                dealt = (mix(top) % U64(buckets)).astype(np.int64).tolist()
+                slots = (mix(top) % U64(buckets * SLICES)).astype(np.int64).tolist()
                 raw = data.tobytes()
-                for a, b, bucket, one in zip(starts[chosen].tolist(), ends[chosen].tolist(), dealt, alone.tolist()):
+                for a, b, slot, one in zip(starts[chosen].tolist(), ends[chosen].tolist(), slots, alone.tolist()):
                     if one:
-                        keys = windows(data[a:b - 1 + window].astype(U64) + U64(1), window) % U64(buckets)
+                        keys = windows(data[a:b - 1 + window].astype(U64) + U64(1), window) % U64(buckets * SLICES)
                         for i, k in enumerate(keys.tolist(), a):
                             held.add(raw[i:i + window], k, key, no, i)
                     else:
-                        held.add(raw[a:b - 1 + window], bucket, key, no, a)
+                        held.add(raw[a:b - 1 + window], slot, key, no, a)
                 if held.size + 40 * len(held.later) >= FLUSH_BYTES:
                     yield from held.rows(buckets)
                     held = _Held()
@@ -413,31 +432,39 @@ def _pieces(window: int, gram: int, hot: np.ndarray, buckets: int):
     return run
 
 
+def _sliced(rows: list[dict]) -> Iterator[tuple[bytes, list[np.ndarray]]]:
+    """(pieces, [lengths, ids, counts, no, at]) of a few slices of a bucket after the other."""
+    lengths, slices, ids, counts, no, at = (
+        np.concatenate([np.frombuffer(r[f"c{i}"], dtype=np.int64) for r in rows]) for i in range(6))
+    data = np.frombuffer(b"".join(r["c6"] for r in rows), dtype=np.uint8)
+    load = np.cumsum(np.bincount(slices, weights=lengths, minlength=SLICES)) // SLICE_BYTES
+    of = load.astype(np.int64)[slices]
+    for k in np.unique(of):
+        mine = of == k
+        places = np.repeat(mine, counts)
+        yield data[np.repeat(mine, lengths)].tobytes(), [lengths[mine], ids[mine], counts[mine], no[places], at[places]]
+
+
 def _ordered(window: int, buckets: int):
     """The repeated bytes of each document, from the suffix arrays of the pieces."""
-    def out(ids, no, first, end) -> pa.RecordBatch:
-        columns = [ids.view(U64), _tall(no, 4), _tall(first, 5), _tall(end, 5)]
-        return _row(0, _home(ids, buckets), buckets, columns, [8, 4, 5, 5], 4)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home = _Gathered(buckets, [8, 4, 5, 5])
         for rows in _by_bucket(batches):
             settled, opened = [r for r in rows if r["kind"] == 0], [r for r in rows if r["kind"] == 1]
             if settled:
-                ids, no, first, end = _columns(settled, [8, 4, 5, 5])
-                yield out(ids.view(np.int64), _low(no, 4), _low(first, 5), _low(end, 5))
-            if not opened:
-                continue
-            lengths, ids, counts, no, at = (
-                np.concatenate([np.frombuffer(r[f"c{i}"], dtype=np.int64) for r in opened]) for i in range(5))
-            piece, first, end = repeats_in(b"".join(r["c5"] for r in opened), lengths, ids, window)
-            if not len(piece):
-                continue
-            # every place of the piece loses the same bytes
-            begin = np.cumsum(counts) - counts
-            many = counts[piece]
-            which = np.repeat(begin[piece], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            shift = at[which]
-            yield out(np.repeat(ids[piece], many), no[which], np.repeat(first, many) + shift, np.repeat(end, many) + shift)
+                yield from home.add(_columns(settled, [8, 4, 5, 5]))
+            for pieces, (lengths, ids, counts, no, at) in _sliced(opened) if opened else ():
+                piece, first, end = repeats_in(pieces, lengths, ids, window)
+                if not len(piece):
+                    continue
+                # every place of the piece loses the same bytes
+                begin = np.cumsum(counts) - counts
+                many = counts[piece]
+                which = np.repeat(begin[piece], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                shift = at[which]
+                yield from home.add([np.repeat(ids[piece], many).view(U64), _tall(no[which], 4),
+                                     _tall(np.repeat(first, many) + shift, 5), _tall(np.repeat(end, many) + shift, 5)])
+        yield from home.rows()
     return run
 
 
@@ -490,12 +517,12 @@ def _with_numbers(texts: DataFrame) -> DataFrame:
 def repeated_bytes(texts: DataFrame, window: int, gram: int = GRAM, hot: int = HOT_DOCUMENTS) -> DataFrame:
     """(id, no, runs) of the rows (id, no, text) that lose bytes; text: binary, runs: int64 pairs [first, end)."""
     n = partitions(texts.sparkSession)
-    buckets, gram = SLICES * n, min(gram, window)
+    buckets, gram = 2 * n, min(gram, window)
 
     def dealt(df: DataFrame, columns: list[str]) -> DataFrame:
         return df.select("kind", "bucket", *columns).repartition(n, "bucket").sortWithinPartitions("bucket")
 
-    three, four, five, six = ([f"c{i}" for i in range(k)] for k in (3, 4, 5, 6))
+    three, four, five, seven = ([f"c{i}" for i in range(k)] for k in (3, 4, 5, 7))
     shared = stage(dealt(texts.mapInArrow(_grams(window, gram, buckets), _schema(5)), five)
                    .mapInArrow(_shared_grams(hot, buckets), _schema(3)))
     # at most HOT_SLOTS numbers
@@ -505,7 +532,7 @@ def repeated_bytes(texts: DataFrame, window: int, gram: int = GRAM, hot: int = H
         flags[x] = True
     marks = stage(dealt(shared.where("kind = 0"), three).mapInArrow(_marks, "id long, no long, marks binary"))
     pieces = texts.join(_sized(marks, "marks"), ["id", "no"]).select("id", "no", "text", "marks")
-    found = (dealt(pieces.mapInArrow(_pieces(window, gram, flags, buckets), _schema(6)), six)
+    found = (dealt(pieces.mapInArrow(_pieces(window, gram, flags, buckets), _schema(7)), seven)
              .mapInArrow(_ordered(window, buckets), _schema(4)))
     return stage(dealt(found, four).mapInArrow(_runs, "id long, no long, runs binary"))
 
