@@ -2,13 +2,19 @@
 
 A page becomes a tree of its block elements. Each node has its characters, tags, characters in
 links and links; its density is characters per tag, lowered the more of them are links. The node
-whose children's densities have the greatest sum leads to the content: of the nodes on the path
-from the body to it, the highest one that is as dense as the body is kept whole. A page that marks
-articles is searched there only: of its articles, the one with the greatest sum is kept whole.
+whose children's densities have the greatest sum, the maximum-sum subtree, leads to the content: of
+the nodes on the path from it to the body, the highest one that is denser than the body is kept
+whole; if the path leads through an element that marks an article, that one is.
 
-Menus, forms, notices, adverts, comments and the like, known by element, role or class, are
-left out before. A block is the text between two boundaries of block elements. Null and empty
-pages give empty text. Trees are walked by loops, so depth does not matter.
+What elements, roles and classes say only weighs in. Densities inside an article count PRIOR times,
+those inside menus, forms, notices, adverts, comments and the like LOWERED times, and of the content
+such parts are left out, unless they hold the maximum-sum subtree themselves. A class or id names
+such a part if one of its tokens consists of such words alone: `cookie-notice` does, `has-sidebar`
+and `social-science` do not. Elements without text of their own to show, and hidden ones, are gone.
+
+A block is the text between two boundaries of block elements. Null and empty pages give empty text,
+and so does an empty table no rows. Rows that repeat are extracted each. Of nodes that tie, the
+first of the outermost is taken. Trees are walked by loops, so depth does not matter.
 """
 
 from __future__ import annotations
@@ -25,9 +31,13 @@ from pyspark.sql import functions as F
 
 from codequarry.llm.shared import small_batches
 
-#: Elements that are not part of an article.
+#: Elements that show no text, or none that is part of a page's.
 DROPPED = frozenset("head script style noscript template svg math iframe object embed canvas audio video "
-                    "nav footer aside form button select option textarea label fieldset menu dialog".split())
+                    "button select option textarea".split())
+#: Elements of other parts of a page.
+OTHER_ELEMENTS = frozenset("nav footer aside form label fieldset menu dialog".split())
+#: How much densities count inside an article, and inside other parts of a page.
+PRIOR, LOWERED = 3.0, 0.1
 #: Elements with raw text, which ends at their end tag only.
 RAW = "script|style|textarea|title|noscript|template|svg|iframe|xmp"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -59,38 +69,47 @@ _NAME_WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "dropped", "article", "chars", "tags", "link_chars", "links",
+    __slots__ = ("tag", "parent", "dropped", "other", "article", "weight", "chars", "tags", "link_chars", "links",
                  "density", "total", "best")
 
-    def __init__(self, tag: str, parent: int, dropped: bool, article: int):
-        self.tag, self.parent, self.dropped, self.article = tag, parent, dropped, article
+    def __init__(self, tag: str, parent: int, dropped: bool, other: bool, article: int, weight: float):
+        self.tag, self.parent, self.dropped, self.other = tag, parent, dropped, other
+        self.article, self.weight = article, weight
         self.chars = self.tags = self.link_chars = self.links = 0
         self.density = self.total = 0.0
         self.best = -1
 
 
-def _other_part(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in DROPPED or tag == "header" and not in_article:
-        return True
+def _names_part(value: str, names: frozenset[str]) -> bool:
+    """Whether a token of a class or id is made of such names alone, numbers aside."""
+    return any(words and all(w.lower() in names for w in words)
+               for words in map(_NAME_WORD.findall, value.split()))
+
+
+def _kind(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
+    """(dropped, other): whether an element is gone, and whether it is another part of the page."""
+    if tag in DROPPED:
+        return True, False
+    other = tag in OTHER_ELEMENTS or tag == "header" and not in_article
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return False, other
     names = OTHER_PARTS if in_article else PAGE_PARTS
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, False
         if name == "style" and _HIDDEN.search(value):
-            return True
+            return True, False
         if name == "role" and value.lower() in OTHER_ROLES:
-            return True
-        if name in ("class", "id") and any(w.lower() in names for w in _NAME_WORD.findall(value)):
-            return True
-    return False
+            other = True
+        if name in ("class", "id") and _names_part(value, names):
+            other = True
+    return False, other
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Nodes, parents before children, and the blocks (node, text) in page order."""
-    nodes = [Node("html", -1, False, -1)]
+    nodes = [Node("html", -1, False, False, -1, 1.0)]
     blocks: list[tuple[int, str]] = []
     stack, text = [0], []
     in_link = False
@@ -137,8 +156,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 in_link = False
             close({tag})
             continue
-        part = tag not in VOID and (_other_part(tag, m["attrs"], here.article >= 0)
-                                    or here.dropped and here.tag == tag)
+        dropped, other = (False, False) if tag in VOID else _kind(tag, m["attrs"], here.article >= 0)
+        part = tag not in VOID and (dropped or other or (here.dropped or here.other) and here.tag == tag)
         if tag in INLINE and not part:
             if not here.dropped:
                 here.tags += 1
@@ -165,7 +184,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             boundary()
         here = nodes[stack[-1]]
         article = here.article if here.article >= 0 else len(nodes) if tag in ("article", "main") else -1
-        nodes.append(Node(tag, stack[-1], here.dropped or part, article))
+        weight = here.weight * (PRIOR if article == len(nodes) else 1.0)
+        if other and here.weight >= 1.0:
+            weight *= LOWERED
+        nodes.append(Node(tag, stack[-1], here.dropped or dropped, other, article, weight))
         stack.append(len(nodes) - 1)
         is_open[tag] += 1
     add(page[at:])
@@ -195,7 +217,7 @@ def weigh(nodes: list[Node]) -> int:
             n.best = i
         if i and not n.dropped:
             up = nodes[n.parent]
-            up.total += n.density
+            up.total += n.density * n.weight
             if up.best < 0 or nodes[n.best].total >= nodes[up.best].total:
                 up.best = n.best
     return body
@@ -207,16 +229,21 @@ def main_text(page: str | None) -> str:
     if not blocks:
         return ""
     body = weigh(nodes)
-    articles = [i for i, n in enumerate(nodes) if n.article == i and n.chars]
-    top = max(articles, key=lambda i: nodes[i].total) if articles else nodes[body].best
-    chosen, at = top, top
-    while not articles and at not in (body, 0):
-        if nodes[at].density >= nodes[body].density:
-            chosen = at
+    top = nodes[body].best
+    path = [top]
+    while path[-1] not in (body, 0):
+        path.append(nodes[path[-1]].parent)
+    denser = [i for i in path[:-1] if nodes[i].density > nodes[body].density]
+    article = nodes[top].article
+    chosen = article if article >= 0 else denser[-1] if denser else top
+    # other parts are left out, but for those that hold the content
+    leads, at = set(), top
+    while at >= 0:
+        leads.add(at)
         at = nodes[at].parent
     inside = [False] * len(nodes)
     for i, n in enumerate(nodes):
-        inside[i] = i == chosen or n.parent >= 0 and inside[n.parent]
+        inside[i] = i == chosen or n.parent >= 0 and inside[n.parent] and (not n.other or i in leads)
     return "\n".join(line for at, line in blocks if inside[at])
 
 

@@ -1,6 +1,8 @@
 """Main text of pages."""
 
 import html
+import math
+import random
 import re
 
 import pytest
@@ -56,6 +58,73 @@ def test_without_an_article_density_decides():
                                  "And another one, which has words too, and many.\nShort.")
 
 
+LONG = "".join(f"<p>Paragraph {i} says quite a lot about the subject of the page, and then some more.</p>" for i in range(4))
+LONG_TEXT = "\n".join(f"Paragraph {i} says quite a lot about the subject of the page, and then some more." for i in range(4))
+MENU = "<ul class=menu><li><a href=a>one</a></li><li><a href=b>two</a></li></ul>"
+
+
+@pytest.mark.parametrize("page", [
+    "<body><div class='layout has-sidebar'>{}<article>{}</article></div>", "<div class='content no-sidebar'>{}<article>{}</article></div>",
+    "<div id='page' class='with-nav'>{}<article>{}</article></div>", "<body>{}<article><div class='comments-open entry'>{}</div></article>",
+    "<body>{}<article><section class='social-science'>{}</section></article>", "<body><div class='social'>{}<article>{}</article></div>",
+    "<body><form id='aspnetForm'><div>{}<div id=text>{}</div></div></form></body>", "<body><div id='sidebar'>{}<div>{}</div></div></body>",
+    "<body>{}<article><p>Teaser</p></article><article>{}</article><article><p>Other</p></article></body>",
+    "<body>{}<div class='post'>{}</div><div class='comments'><p>I liked this one, it is good.</p><p>Me too</p></div></body>",
+    "<body><div><div>{}</div><div><div class=col>{}</div></div></div></body>", "<aside>{}<main>{}</main></aside>"])
+def test_classes_and_elements_only_weigh_in(page):
+    assert H.main_text(page.format(MENU, LONG)) == LONG_TEXT
+
+
+def plain_weights(nodes):
+    """Density and density sum of every node, each worked out from its own subtree alone."""
+    kids = {i: [j for j, n in enumerate(nodes) if n.parent == i and not n.dropped] for i in range(len(nodes))}
+    own = [(n.chars, n.tags, n.link_chars, n.links) for n in nodes]
+
+    def whole(i):
+        parts = [own[i]] + [(c, t + 1, lc, k) for c, t, lc, k in map(whole, kids[i])]
+        return tuple(map(sum, zip(*parts)))
+
+    body = next((i for i, n in enumerate(nodes) if n.tag == "body" and not n.dropped), 0)
+    chars, _, linked, _ = whole(body)
+    rate = linked / max(1, chars)
+
+    def density(i):
+        c, t, lc, k = whole(i)
+        if not c:
+            return 0.0
+        lc = min(lc, c)
+        base = math.log(c / max(1, c - lc) * lc + rate * c + math.e)
+        return c / max(1, t) * math.log(c / max(1, lc) * max(1, t) / max(1, k) + 1) / max(
+            math.log(base), math.log(math.log(1 + math.e)))
+
+    return [density(i) for i in range(len(nodes))], [sum(density(j) * nodes[j].weight for j in kids[i]) for i in kids]
+
+
+def test_densities_equal_a_plain_computation():
+    rng = random.Random(4)
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randrange(2, 25)):
+            parts.append(rng.choice(["<div>", "</div>", "<div class=ad>", "<article>", "</article>", "<a href=x>link</a>", "<p>words of a text ",
+                                     "<ul><li>item", "</ul>", "some <b>more</b> words ", "<form>", "</form>", "<script>x</script>"]))
+        page = "<body>" + "".join(parts)
+        nodes, _ = H.parse(page)
+        want = plain_weights(nodes)
+        nodes, _ = H.parse(page)
+        body = H.weigh(nodes)
+        live = [i for i, n in enumerate(nodes) if not n.dropped]
+        assert [nodes[i].density for i in live] == pytest.approx([want[0][i] for i in live])
+        assert [nodes[i].total for i in live] == pytest.approx([want[1][i] for i in live])
+        under = [i for i in live if i == body or body in _above(nodes, i)]
+        assert nodes[nodes[body].best].total == pytest.approx(max(want[1][i] for i in under))
+
+
+def _above(nodes, i):
+    while nodes[i].parent >= 0:
+        i = nodes[i].parent
+        yield i
+
+
 @pytest.mark.parametrize("page,text", [
     (None, ""), ("", ""), ("<p></p>", ""), ("plain &lt; text", "plain < text"), ("a < b > c", "a < b > c"),
     ("<p>x&nbsp;\u2003y</p>", "x y"), ("<article><p>open", "open"), ("<div>" * 50_000 + "deep", "deep"),
