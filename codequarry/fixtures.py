@@ -58,6 +58,11 @@ FORKED_FILES = f"""{FILES} UNION ALL SELECT concat(project, '-fork') AS project,
   replace(replace(replace(content, 'return a', 'if a: return a + 1'), 'def name(self)', 'def title(self)'),
     'for item in rest', 'while rest') AS content FROM ({RICH_FILES}) forked"""
 
+# The files as they are a day later: some have grown a line, some are gone.
+_UNIT = "CAST(split_part(split_part(path, 'unit', 2), '.', 1) AS INT)"
+LATER_FILES = f"""SELECT project, path, CASE WHEN {_UNIT} % 10 = 0 THEN concat(content, '# more', chr(10)) ELSE content END AS content
+FROM ({CODE_FILES}) before WHERE {_UNIT} % 17 <> 1"""
+
 # Uploads of assorted type and size per source.
 UPLOADS = """SELECT source AS project, doc_id AS ord, CAST(n_chars * 900 AS BIGINT) AS size,
   concat('file', CAST(doc_id AS VARCHAR(12)), CASE doc_id % 6 WHEN 0 THEN '.py' WHEN 1 THEN '.JS'

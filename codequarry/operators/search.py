@@ -1,8 +1,9 @@
 """Finding many texts inside many texts with equi-joins.
 
-A substring has at least one gram in common with the text that holds it, so
-candidates come from a hash join on grams and are then checked, however many or few
-the needles are. A blank needle is in no text.
+A text that holds a needle holds all its grams, so candidates come from a hash join on
+the gram of the needle that the fewest texts hold, and are then checked, however many or
+few the needles are. Grams that many texts hold, or that many needles are left with, are
+split over tasks. A blank needle is in no text.
 """
 
 from __future__ import annotations
@@ -11,40 +12,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.functions import text as X
+from codequarry.operators.spread import KEY_ROWS, sized, split_join
+from codequarry.plans.stage import stage
 
 _GRAMS = (6, 3, 1)
 _CHUNK = 1000
 WORD_RUN = r"[\p{L}\p{N}_]++"
 
 
-def _needle_gram(needle: Column) -> Column:
+def _pieces(text: Column, size: int) -> Column:
+    n = F.length(text) - (size - 1)
+    return F.when(n > 0, F.transform(
+        F.sequence(F.lit(1), n), lambda i: F.substr(text, i, F.lit(size)))).otherwise(
+            F.array().cast("array<string>"))
+
+
+def _needle_grams(needle: Column) -> Column:
+    """All grams of a needle, of the longest size it has."""
     size = F.length(needle)
-    k = F.when(size >= _GRAMS[0], _GRAMS[0]).when(size >= _GRAMS[1], _GRAMS[1]).otherwise(1)
-    return F.right(needle, k)
+    one, three, six = (_pieces(needle, k) for k in sorted(_GRAMS))
+    return F.array_distinct(F.when(size >= _GRAMS[0], six).when(size >= _GRAMS[1], three).otherwise(one))
 
 
 def _grams(text: Column) -> Column:
-    def of(k: int) -> Column:
-        n = F.length(text) - (k - 1)
-        return F.when(n > 0, F.transform(
-            F.sequence(F.lit(1), n), lambda i: F.substr(text, i, F.lit(k)))).otherwise(
-                F.array().cast("array<string>"))
-
-    return F.array_distinct(F.concat(*[of(k) for k in _GRAMS]))
+    return F.array_distinct(F.concat(*[_pieces(text, k) for k in _GRAMS]))
 
 
-def substring_pairs(haystack: DataFrame, needles: DataFrame) -> DataFrame:
+def substring_pairs(haystack: DataFrame, needles: DataFrame, split: int = KEY_ROWS) -> DataFrame:
     """haystack(project, hid, text) x needles(project, needle) -> (project, hid, needle)
     for every text that contains the needle. Without ``text``, ``hid`` is the text."""
     named = "text" not in haystack.columns
     haystack = haystack.withColumn("text", F.col("hid")) if named else haystack
     needles = needles.select("project", "needle").where("needle <> ''").distinct()
-    keyed = needles.withColumn("gram", _needle_gram(F.col("needle")))
+    asked = stage(needles.select("project", "needle", F.explode(_needle_grams(F.col("needle"))).alias("gram")))
     chunks = haystack.select("project", "hid", F.explode(F.transform(
         F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(_CHUNK)),
         lambda s: F.substr(F.col("text"), s, F.lit(_CHUNK + _GRAMS[0] - 1)))).alias("chunk"))
-    grams = chunks.select("project", "hid", F.explode(_grams(F.col("chunk"))).alias("gram"))
-    candidates = grams.join(keyed, ["project", "gram"]).select(
+    held = stage(chunks.select("project", "hid", F.explode(_grams(F.col("chunk"))).alias("gram")).join(
+        sized(asked.select("project", "gram").distinct()), ["project", "gram"], "left_semi"))
+    spread = held.groupBy("project", "gram").agg(F.count("*").alias("df"))
+    rarest = stage(asked.join(spread, ["project", "gram"], "left").groupBy("project", "needle").agg(
+        F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("g")).where(
+            "g.df > 0").select("project", "needle", "g.gram"))
+    candidates = split_join(held, rarest, ["project", "gram"], split).select(
         "project", "hid", "needle").distinct()
     if named:
         return candidates.where(F.contains("hid", F.col("needle")))
@@ -79,21 +89,28 @@ def content_hits(files: DataFrame, needles: DataFrame) -> DataFrame:
     return hits.where(~spaced).unionByName(checked)
 
 
-def word_hits(files: DataFrame, words: DataFrame) -> DataFrame:
-    """(project, path, needle, line) of every line holding the needle as whole words."""
-    words = words.select("project", "needle").distinct().withColumn(
-        "word", F.get(F.regexp_extract_all("needle", F.lit(WORD_RUN), F.lit(0)), 0)
-    ).where("word is not null")
-    tokens = files.select("project", "path", F.explode(F.array_distinct(
-        F.regexp_extract_all(F.lower("content"), F.lit(WORD_RUN), F.lit(0)))).alias("word"))
-    hits = tokens.join(words, ["project", "word"]).select("project", "path", "needle")
+def word_hits(files: DataFrame, words: DataFrame, split: int = KEY_ROWS) -> DataFrame:
+    """(project, path, needle, line) of every line holding the needle as whole words.
+
+    Lines are looked up by the word of the needle that the fewest lines hold.
+    """
+    asked = words.select("project", "needle").distinct().select("project", "needle", F.explode(
+        F.array_distinct(F.regexp_extract_all("needle", F.lit(WORD_RUN), F.lit(0)))).alias("word"))
+    asked = stage(asked)
+    lines = files.select("project", "path", F.posexplode(X.lines(F.lower("content"))).alias("at", "text"))
+    held = stage(lines.select("project", "path", "at", "text", F.explode(F.array_distinct(
+        F.regexp_extract_all("text", F.lit(WORD_RUN), F.lit(0)))).alias("word")).join(
+            sized(asked.select("project", "word").distinct()), ["project", "word"], "left_semi"))
+    spread = held.groupBy("project", "word").agg(F.count("*").alias("df"))
+    rarest = stage(asked.join(spread, ["project", "word"], "left").groupBy("project", "needle").agg(
+        F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("w")).where(
+            "w.df > 0").select("project", "needle", "w.word"))
     edge = r"[\p{L}\p{N}_]"
     pattern = F.concat(F.lit(f"(?<!{edge})\\Q"), F.replace("needle", F.lit("\\E"), F.lit("")),
                        F.lit(f"\\E(?!{edge})"))
-    rows = hits.join(files.select("project", "path", "content"), ["project", "path"]).select(
-        "project", "path", "needle", F.posexplode(X.lines(F.lower("content"))).alias("at", "text"))
-    return rows.where(F.contains("text", F.col("needle")) & F.rlike("text", pattern)).select(
-        "project", "path", "needle", (F.col("at") + 1).alias("line"))
+    return split_join(held, rarest, ["project", "word"], split).where(
+        F.contains("text", F.col("needle")) & F.rlike("text", pattern)).select(
+            "project", "path", "needle", (F.col("at") + 1).alias("line"))
 
 
 def suffix_matches(paths: DataFrame, requests: DataFrame) -> DataFrame:

@@ -1,9 +1,12 @@
 """Similar files by TF-IDF cosine, as an exact filtered self-join on terms.
 
-Files with equal term counts can never be in the result (their cosine is 1), so
-they are joined as one class. Terms are ordered rarest first; a pair above the
-threshold shares a term while both remaining norms still exceed it, so only that
-prefix of each vector is indexed. Candidates are scored with their full vectors.
+Files with equal term counts can never be in the result (their cosine is 1), so they are one
+class. Terms are ordered rarest first; a pair above the threshold shares a term while both
+remaining norms still exceed it, so only that prefix of each vector is indexed. The index lists
+blocks of classes, not classes: blocks that share an indexed term are multiplied as sparse matrices,
+each pair of blocks in a task of its own, and only pairs above the threshold leave it. Classes are
+put into blocks in the order of their most common and rarest terms, so that those of one language
+and subject are neighbours and other blocks need not meet.
 """
 
 from __future__ import annotations
@@ -12,21 +15,27 @@ import sys
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import pyarrow.compute  # noqa: F401
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
 from codequarry import catalog as C
 from codequarry.functions import text as X
 from codequarry.operators.rollup import top_k
+from codequarry.operators.spread import dealt
 from codequarry.plans.stage import stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _SLACK = 1e-9
-_BLOCK = 4096
+#: Classes of one block, and terms of its matrix that are multiplied at a time.
+BLOCK, TERMS = 1024, 2048
+#: Products of one term in two blocks from which on they are taken as a matrix; below, one by one,
+#: this many at a time.
+DENSE, PRODUCTS = 20_000, 2_000_000
+#: Files of one class that are spelled out in one task.
+_MEMBERS = 4096
 
 
 def term_counts(files: DataFrame, stopwords: list[str] | None = None) -> DataFrame:
@@ -39,122 +48,162 @@ def term_counts(files: DataFrame, stopwords: list[str] | None = None) -> DataFra
 
 
 def vocabulary(terms: DataFrame, files: DataFrame, max_terms: int | None = None) -> DataFrame:
-    """The terms of each project with idf; ``rank`` orders them rarest first. ``max_terms`` keeps
-    only the most frequent ones."""
+    """(project, term, df, idf) of each project. ``max_terms`` keeps only the most frequent ones."""
     n = files.groupBy("project").agg(F.count("*").alias("n"))
     kept = terms.groupBy("project", "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
     if max_terms is not None:
         kept = top_k(kept, ["project"], [F.desc("total"), F.asc("term")], max_terms)
-    kept = kept.join(n, "project")
-    rarest = Window.partitionBy("project").orderBy("df", "term")
-    return kept.select(
-        "project", "term", F.row_number().over(rarest).alias("rank"),
-        (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return kept.join(n, "project").select(
+        "project", "term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 def vectors(files: DataFrame, stopwords: list[str] | None = None,
             max_terms: int | None = None) -> DataFrame:
-    """(project, path, sig, ranks, weights): unit vectors; equal ``sig`` = equal vector."""
+    """(project, path, sig, ids, weights): unit vectors, rarest terms first; equal ``sig`` = equal
+    vector. A term's id is a hash of 64 bits."""
     terms = stage(term_counts(files, stopwords))
-    vocab = vocabulary(terms, files, max_terms)
+    vocab = vocabulary(terms, files, max_terms).withColumn("id", F.xxhash64("term"))
     entries = terms.join(vocab, ["project", "term"]).groupBy("project", "path").agg(
-        F.sort_array(F.collect_list(F.struct("rank", "tf", (F.col("tf") * F.col("idf")).alias("w"))))
+        F.sort_array(F.collect_list(F.struct("df", "id", "tf", (F.col("tf") * F.col("idf")).alias("w"))))
         .alias("v"))
+    # worked out once per file: inside a lambda it would be once per term
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, e: acc + e.w * e.w))
-    return entries.withColumn("norm", norm).select(
+    return entries.select(
         "project", "path",
         F.md5(F.array_join(F.transform("v", lambda e: F.concat_ws(
-            ":", e["rank"].cast("string"), e.tf.cast("string"))), ",")).alias("sig"),
-        F.transform("v", lambda e: e["rank"]).alias("ranks"),
-        F.transform("v", lambda e: e.w / F.col("norm")).alias("weights"))
+            ":", e["id"].cast("string"), e.tf.cast("string"))), ",")).alias("sig"),
+        F.transform("v", lambda e: e["id"]).alias("ids"),
+        X.let(norm, lambda n: F.transform("v", lambda e: e.w / n)).alias("weights"))
 
 
 def vector_classes(vectors_: DataFrame) -> DataFrame:
-    """(project, sig, cid, n, ranks, weights): one row per distinct vector, ``n`` files having
-    it."""
+    """(project, sig, cid, n, first, ids, weights): one row per distinct vector, ``n`` files having
+    it, ``first`` the first of them."""
     distinct = vectors_.groupBy("project", "sig").agg(
-        F.count("*").alias("n"), F.any_value("ranks").alias("ranks"),
+        F.count("*").alias("n"), F.min("path").alias("first"), F.any_value("ids").alias("ids"),
         F.any_value("weights").alias("weights"))
     return stage(distinct.withColumn("cid", F.xxhash64("project", "sig")))
 
 
-def _dot(r1: pa.Array, w1: pa.Array, r2: pa.Array, w2: pa.Array) -> pa.Array:
-    """Sparse dot product of each row, one merge over the whole batch."""
-    rows = len(r1)
-    n1, n2 = (pc.list_value_length(r).to_numpy(zero_copy_only=False) for r in (r1, r2))
-    k1, k2 = (pc.list_flatten(r).to_numpy(zero_copy_only=False).astype(np.int64) for r in (r1, r2))
-    v1, v2 = (pc.list_flatten(w).to_numpy(zero_copy_only=False) for w in (w1, w2))
-    if not len(k1) or not len(k2):
-        return pa.array(np.zeros(rows))
-    stride = int(max(k1.max(), k2.max())) + 1
-    at = np.repeat(np.arange(rows), n1)
-    k1 = at * stride + k1
-    k2 = np.repeat(np.arange(rows), n2) * stride + k2
-    pos = np.minimum(np.searchsorted(k2, k1), len(k2) - 1)
-    same = k2[pos] == k1
-    return pa.array(np.bincount(at[same], v1[same] * v2[pos[same]], minlength=rows))
-
-
-def _prefix_postings(classes: DataFrame, above: float) -> DataFrame:
-    """(project, rank, sig, w, rest): indexed entries, ``rest`` the norm after the entry."""
+def _indexed(classes: DataFrame, above: float) -> DataFrame:
+    """(project, id, block): the terms each block is indexed under."""
     squares = F.reverse(F.transform("weights", lambda w: w * w))
-    sums = F.reverse(F.aggregate(
-        squares, F.array().cast("array<double>"),
-        lambda acc, s: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0.0)) + s))))
-    rows = classes.withColumn("tail", sums).select("project", "cid", F.inline(F.filter(
-        F.transform("ranks", lambda r, i: F.struct(
-            r.alias("rank"), F.get("weights", i).alias("w"),
-            F.get("tail", i).alias("tail"),
-            F.coalesce(F.get("tail", i + 1), F.lit(0.0)).alias("after"))),
-        lambda e: F.sqrt(e.tail) > above - _SLACK)))
-    return rows.select("project", "rank", "cid", "w", F.sqrt("after").alias("rest"))
+    # how many of the last entries stay within the threshold
+    rest = F.aggregate(squares, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")), lambda acc, s: F.struct(
+        (acc["sum"] + s).alias("sum"),
+        F.when(F.sqrt(acc["sum"] + s) <= above - _SLACK, acc.n + 1).otherwise(acc.n).alias("n")), lambda acc: acc.n)
+    return classes.select("project", "block", F.explode(
+        F.slice("ids", F.lit(1), F.size("ids") - rest)).alias("id")).distinct()
+
+
+def block_pairs(classes: DataFrame, above: float) -> DataFrame:
+    """(project, i, j), i <= j: the blocks that share an indexed term."""
+    index = stage(_indexed(classes, above))
+    one, two = (index.select("project", "id", F.col("block").alias(c)) for c in "ij")
+    return one.join(two, ["project", "id"]).where("i <= j").select("project", "i", "j").distinct()
+
+
+def _matrix(rows: np.ndarray, places: np.ndarray, weights: np.ndarray, n: int, low: int) -> np.ndarray:
+    out = np.zeros((n, TERMS))
+    here = (places >= low) & (places < low + TERMS)
+    out[rows[here], places[here] - low] = weights[here]
+    return out
+
+
+def _sum_products(one: tuple, two: tuple, n1: int, n2: int) -> np.ndarray:
+    """All dot products of the vectors of two blocks; one, two: (row, term, weight) of their entries."""
+    found = np.zeros((n1, n2))
+    shared = np.intersect1d(one[1], two[1])  # terms of one side only add nothing
+    if not len(shared):
+        return found
+    sides = []
+    for row, term, weight in (one, two):
+        held = np.isin(term, shared)
+        place = np.searchsorted(shared, term[held])
+        order = np.argsort(place, kind="stable")
+        sides.append((row[held][order], place[order], weight[held][order]))
+    (row1, at1, w1), (row2, at2, w2) = sides
+    count1, count2 = (np.bincount(at, minlength=len(shared)) for at in (at1, at2))
+    many = count1 * count2 > DENSE
+    column = np.where(many, np.cumsum(many) - 1, -1)
+    for low in range(0, int(many.sum()), TERMS):
+        found += _matrix(row1, column[at1], w1, n1, low) @ _matrix(row2, column[at2], w2, n2, low).T
+    few = np.flatnonzero(~many[at1])
+    partners = count2[at1[few]]
+    first = np.cumsum(count2) - count2
+    part = np.cumsum(partners) // PRODUCTS
+    for p in np.unique(part):
+        mine, k = few[part == p], partners[part == p]
+        left = np.repeat(mine, k)
+        right = np.repeat(first[at1[mine]], k) + np.arange(len(left)) - np.repeat(np.cumsum(k) - k, k)
+        found += np.bincount(row1[left] * n2 + row2[right], w1[left] * w2[right], minlength=n1 * n2).reshape(n1, n2)
+    return found
+
+
+def _products(above: float, below: float):
+    """The pairs of classes of two blocks, or within one, whose product is between the thresholds."""
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        sides = []
+        for side in (1, 2):
+            part = group.filter(pa.compute.equal(group.column("side"), side))
+            lists = part.column("ids").combine_chunks()
+            size = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+            sides.append((part, np.repeat(np.arange(len(part)), size),
+                          pa.compute.list_flatten(lists).to_numpy(zero_copy_only=False),
+                          pa.compute.list_flatten(part.column("weights").combine_chunks()).to_numpy(zero_copy_only=False)))
+        within = len(sides[1][0]) == 0
+        (one, *left), (two, *right) = sides[0], sides[0] if within else sides[1]
+        found = _sum_products(tuple(left), tuple(right), len(one), len(two))
+        found = np.round(found, 9)
+        a, b = np.nonzero((found > above) & (found < below))
+        if within:
+            a, b = a[a < b], b[a < b]
+        out = {"project": pa.array(np.repeat(group.column("project")[0].as_py(), len(a)), pa.string()),
+               "score": pa.array(found[a, b])}
+        for n, part, pick in ((1, one, a), (2, two, b)):
+            for c in ("cid", "n", "first"):
+                out[f"{c}{n}"] = part.column(c).combine_chunks().take(pa.array(pick))
+        return pa.table({c: out[c] for c in ("project", "cid1", "cid2", "n1", "n2", "first1", "first2", "score")})
+    return run
+
+
+def similar_classes(classes: DataFrame, above: float = C.SIMILAR_ABOVE,
+                    below: float = C.SIMILAR_BELOW) -> DataFrame:
+    """(project, cid1, cid2, n1, n2, first1, first2, score) for every pair of classes between the
+    thresholds."""
+    placed = classes.withColumn("common", F.element_at("ids", -1)).withColumn("rare", F.get("ids", 0))
+    cut = stage(dealt(placed.where(F.size("ids") > 0), "project", ["common", "rare", "cid"], BLOCK)
+                .select("project", "block", "cid", "n", "first", "ids", "weights"))
+    pairs = stage(block_pairs(cut, above))
+    one = cut.withColumnRenamed("block", "i").join(pairs, ["project", "i"]).withColumn("side", F.lit(1))
+    two = cut.withColumnRenamed("block", "j").join(pairs.where("i < j"), ["project", "j"]).withColumn("side", F.lit(2))
+    return one.unionByName(two).groupBy("project", "i", "j").applyInArrow(
+        _products(above, below), "project string, cid1 long, cid2 long, n1 long, n2 long, "
+                                 "first1 string, first2 string, score double")
 
 
 def _blocks(n: Column) -> Column:
-    """How many blocks a group of ``n`` rows is split into."""
-    return F.ceil(n / _BLOCK).cast("int")
+    """How many blocks a class of ``n`` files is split into."""
+    return F.ceil(n / _MEMBERS).cast("int")
 
 
 def _block_of(key: Column, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(key), blocks).cast("int")
 
 
-def _posting_pairs(postings: DataFrame) -> DataFrame:
-    """Pairs of postings of one term. A long list is cut into blocks and each pair of blocks
-    is a join key of its own, so no task meets more than a block squared."""
-    sizes = postings.groupBy("project", "rank").agg(_blocks(F.count("*")).alias("blocks"))
-    cut = postings.join(sizes, ["project", "rank"]).withColumn(
-        "block", _block_of(F.col("cid"), F.col("blocks")))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-
-    def side(n: int, own: str, other: str) -> DataFrame:
-        return cut.select("project", "rank", F.col("block").alias(own), every.alias(other), *[
-            F.col(c).alias(f"{c}{n}") for c in ("cid", "w", "rest")])
-
-    return side(1, "i", "j").join(side(2, "j", "i"), ["project", "rank", "i", "j"]).where(
-        "cid1 < cid2")
-
-
-def similar_classes(classes: DataFrame, above: float = C.SIMILAR_ABOVE,
-                    below: float = C.SIMILAR_BELOW) -> DataFrame:
-    """(cid1, cid2, n1, n2, score) for every pair of classes between the thresholds.
-
-    The products of the shared indexed terms are summed per pair; with the norms left
-    after the last of them they bound the cosine, and pairs below the bound go unscored.
-    """
-    pairs = _posting_pairs(_prefix_postings(classes, above))
-    bounded = pairs.groupBy("cid1", "cid2").agg(
-        F.sum(F.col("w1") * F.col("w2")).alias("dot"),
-        F.min(F.col("rest1") * F.col("rest2")).alias("rest"))
-    candidates = bounded.where(F.col("dot") + F.col("rest") > above - _SLACK).select("cid1", "cid2")
-    full = lambda n: classes.select(*[
-        F.col(c).alias(f"{c}{n}") for c in ("cid", "n", "ranks", "weights")])
-    # Non-deterministic only to the planner: the threshold is then tested on the scored
-    # column and the product is not worked out a second time below it.
-    dot = arrow_udf(_dot, "double").asNondeterministic()
-    scored = candidates.join(full(1), "cid1").join(full(2), "cid2").select(
-        "cid1", "cid2", "n1", "n2", F.round(dot("ranks1", "weights1", "ranks2", "weights2"), 9).alias("score"))
-    return scored.where((F.col("score") > above) & (F.col("score") < below))
+def similar_representatives(files: DataFrame, stopwords: list[str] | None = None,
+                            max_terms: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pairs (project, file1, file2, similarity) of the first files of classes with equal term
+    counts, and the members (project, path, first) of all classes."""
+    vectors_ = stage(vectors(files, stopwords, max_terms))
+    classes = vector_classes(vectors_)
+    pairs = similar_classes(classes).select(
+        "project", F.least("first1", "first2").alias("file1"), F.greatest("first1", "first2").alias("file2"),
+        X.py_round(F.col("score"), 2).alias("similarity"))
+    members = vectors_.select("project", "sig", "path").join(
+        classes.select("project", "sig", "first"), ["project", "sig"]).select("project", "path", "first")
+    return pairs, members
 
 
 def similar_files(files: DataFrame, stopwords: list[str] | None = None,
@@ -172,7 +221,8 @@ def similar_files(files: DataFrame, stopwords: list[str] | None = None,
         _block_of(F.col("path"), _blocks(F.col("n"))).alias(f"block{n}"),
         *(["project"] if n == 1 else []))
     over = lambda n: F.explode(F.sequence(F.lit(0), _blocks(F.col(f"n{n}")) - 1))
-    pairs = similar_classes(classes).withColumn("block1", over(1)).withColumn("block2", over(2))
+    pairs = similar_classes(classes).drop("project", "first1", "first2").withColumn(
+        "block1", over(1)).withColumn("block2", over(2))
     return pairs.join(side(1, "a"), ["cid1", "block1"]).join(side(2, "b"), ["cid2", "block2"]).select(
         "project", F.least("a", "b").alias("file1"), F.greatest("a", "b").alias("file2"),
         X.py_round(F.col("score"), 2).alias("similarity"))

@@ -1,8 +1,8 @@
-"""Joins on keys that a large share of the rows may hold."""
+"""Joins and orders on keys that a large share of the rows may hold."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry.plans.stage import stage
@@ -14,6 +14,12 @@ KEY_ROWS = 10_000
 BROADCAST_ROWS = 500_000
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """A staged frame, marked for broadcast if it has few enough rows."""
+    df = stage(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def hot_join(left: DataFrame, right: DataFrame, on: list[str], key_rows: int = KEY_ROWS) -> DataFrame:
     """An inner join with a table that has each key once.
 
@@ -26,3 +32,43 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], key_rows: int = K
         return left.join(right, on)
     rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right, on)
     return left.join(F.broadcast(hot), on).unionByName(rest)
+
+
+def split_join(left: DataFrame, right: DataFrame, on: list[str], size: int = KEY_ROWS) -> DataFrame:
+    """An inner join in which both sides may repeat a key as often as they like.
+
+    The rows of a key beyond `size` are cut into blocks on either side, and each pair of blocks is
+    a key of its own. Both sides are read several times: pass staged frames.
+    """
+    counts = [df.groupBy(*on).agg(F.ceil(F.count("*") / size).cast("int").alias(c)) for df, c in ((left, "n_i"), (right, "n_j"))]
+    many = stage(counts[0].join(counts[1], on).where("n_i > 1 OR n_j > 1"))
+    if not 0 < many.count() <= BROADCAST_ROWS:
+        return left.join(right, on)
+    many = F.broadcast(many)
+
+    def cut(df: DataFrame, own: str, other: str) -> DataFrame:
+        row = F.pmod(F.xxhash64(*[c for c in df.columns if c not in on]), F.col(f"n_{own}")).cast("int")
+        return df.join(many, on).withColumn(own, row).withColumn(
+            other, F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1))).drop("n_i", "n_j")
+
+    few = left.join(many, on, "left_anti").join(right, on)
+    return few.unionByName(cut(left, "i", "j").join(cut(right, "j", "i"), [*on, "i", "j"]).drop("i", "j"))
+
+
+def dealt(df: DataFrame, group: str, order: list[str], size: int) -> DataFrame:
+    """df with `block`: the rows of each group in order, `size` to a block.
+
+    Ranges of group and order are sorted task by task; only their row counts meet in a window. A
+    block ends where a task's rows end, so it may be smaller.
+    """
+    keys = [F.col(c).asc_nulls_first() for c in (group, *order)]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stage(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn(
+        "place", F.monotonically_increasing_id()).withColumn("task", F.shiftright("place", 33)))
+    starts = rows.groupBy(group, "task").agg(F.min("place").alias("start"), F.count("*").alias("n_rows"))
+    blocks = F.ceil(F.col("n_rows") / size)
+    before = Window.partitionBy(group).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select(group, "task", "start", F.coalesce(F.sum(blocks).over(before), F.lit(0)).alias("before"))
+    return rows.join(starts, [group, "task"]).withColumn(
+        "block", (F.col("before") + F.floor((F.col("place") - F.col("start")) / size)).cast("int")).drop(
+            "place", "task", "start", "before")

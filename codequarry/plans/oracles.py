@@ -341,7 +341,7 @@ STEPS: dict[str, str] = {
       WHERE EXISTS (SELECT 1 FROM class_rows c WHERE c.project = a.project AND c.name = a.parent)""",
 
     # similarity
-    "docs": """SELECT concat_ws('/', source, lang) AS project, 'd' || doc_id AS path, text AS content FROM documents""",
+    "docs": """SELECT 'documents' AS project, 'd' || doc_id AS path, text AS content FROM documents""",
 
     # copies
     "passages": """SELECT concat_ws('/', source, lang) AS project, 'd' || doc_id AS path, text AS content, doc_id AS own FROM documents
@@ -525,23 +525,28 @@ _BYTES = """CASE doc_id % 5 WHEN 1 THEN encode(text) || '\\x00'::BLOB
 _DOC_WORDS = "regexp_extract_all(text, '[\\p{L}\\p{N}_]+')"
 
 
-def _similar(source: str) -> str:
+_VECTORS = {
+    "tf": f"""SELECT project, path, term, count(*) AS tf FROM (SELECT project, path,
+        unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM texts) a
+      WHERE term NOT IN ({_STOP}) GROUP BY ALL""",
+    "terms": "SELECT project, term, count(*) AS df FROM tf GROUP BY project, term",
+    "sizes": "SELECT project, count(*) AS n FROM texts GROUP BY project",
+    "raw": """SELECT project, path, term, tf * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS w
+      FROM tf JOIN terms USING (project, term) JOIN sizes USING (project)""",
+    "unit": """SELECT project, path, term, w / sqrt(sum(w * w) OVER (PARTITION BY project, path)) AS w FROM raw""",
+    "counted": "SELECT project, path, string_agg(term || ':' || tf, ' ' ORDER BY term) AS bag FROM tf GROUP BY ALL",
+    "members": "SELECT project, path, min(path) OVER (PARTITION BY project, bag) AS first_ FROM counted",
+}
+
+
+def _similar(source: str, members: str = "") -> str:
     """Plain all-terms form: every shared term of every pair is summed."""
     return build(f"""
 SELECT project, least(p1, p2) AS file1, greatest(p1, p2) AS file2, {py_round_sql('s', 2)} AS similarity
 FROM (SELECT a.project, a.path AS p1, b.path AS p2, round(sum(a.w * b.w), 9) AS s
       FROM unit a JOIN unit b ON a.project = b.project AND a.term = b.term AND a.path < b.path
       GROUP BY ALL) pairs
-WHERE s > 0.7 AND s < 0.99""", texts=f"SELECT project, path, content FROM {source}", **{
-        "tf": f"""SELECT project, path, term, count(*) AS tf FROM (SELECT project, path,
-            unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM texts) a
-          WHERE term NOT IN ({_STOP}) GROUP BY ALL""",
-        "terms": "SELECT project, term, count(*) AS df FROM tf GROUP BY project, term",
-        "sizes": "SELECT project, count(*) AS n FROM texts GROUP BY project",
-        "raw": """SELECT project, path, term, tf * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS w
-          FROM tf JOIN terms USING (project, term) JOIN sizes USING (project)""",
-        "unit": """SELECT project, path, term, w / sqrt(sum(w * w) OVER (PARTITION BY project, path)) AS w FROM raw""",
-    })
+WHERE s > 0.7 AND s < 0.99{members}""", texts=f"SELECT project, path, content FROM {source}", **_VECTORS)
 
 
 def _run_list(words: str) -> str:
@@ -684,6 +689,14 @@ _ANSWERS = {
 _COMPARE_STEPS = {"things_used": "SELECT * FROM best", "coded": _BEST_USED["coded"],
                   "file_sets": _FILE_SETS}
 
+_STORED_RUNS = build(f"""SELECT 'day1' AS run, project, path, meta.language, line_count, sha256(meta.content) AS digest, 'day1' AS stored
+    FROM figures JOIN meta USING (project, path)
+  UNION ALL SELECT 'day2', project, path, language, CASE WHEN changed THEN line_count + 1 ELSE line_count END, sha256(l.content),
+    CASE WHEN changed THEN 'day2' ELSE 'day1' END
+    FROM (SELECT project, path, meta.language, line_count, later.content, later.content <> meta.content AS changed
+          FROM figures JOIN meta USING (project, path) JOIN ({FX.LATER_FILES}) later USING (project, path)) l""",
+                     files=FX.CODE_FILES)
+
 ORACLES: dict[str, str] = {
     "s02_drop_binary": f"""SELECT doc_id FROM (SELECT doc_id, hex({_BYTES}) AS h FROM documents) a
       WHERE NOT regexp_matches(h, '^(?:[0-9A-F][0-9A-F])*00') AND TRY(decode(unhex(h))) IS NOT NULL""",
@@ -702,6 +715,9 @@ ORACLES: dict[str, str] = {
     "s06_repo_rejects": f"SELECT url FROM ({FX.REPO_URLS}) u WHERE NOT regexp_matches(url, {_re2(C.REPO_URL)})",
     "s07_results_json": build("""SELECT project, path, '{"path":"' || path || '","language":"' || language || '","size":' || size
         || ',"line_count":' || line_count || ',"quality_score":' || quality_score || '}' AS json FROM figures"""),
+    "s07_stored_runs": _STORED_RUNS,
+    "s07_stored_summaries": f"""SELECT run, project, count(*) AS file_count, CAST(sum(line_count) AS BIGINT) AS line_count
+      FROM ({_STORED_RUNS}) r GROUP BY ALL""",
     "s08_file_lookup": build(f"SELECT project, path, line_count FROM figures SEMI JOIN ({FX.STORED}) s USING (project, path)"),
     "s09_expired": """SELECT event_id, event_type FROM events
       WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 24 HOURS""",
@@ -828,7 +844,10 @@ ORACLES: dict[str, str] = {
     "j01_file_edges_bare": build("SELECT * FROM bare_edges"),
     "j02_component_edges": build("SELECT * FROM component_pairs"),
     "j03_class_edges": build("SELECT * FROM class_pairs"),
-    "j04_similar_documents": _similar("docs"),
+    "j04_similar_documents": _similar("docs", """
+  AND p1 IN (SELECT first_ FROM members) AND p2 IN (SELECT first_ FROM members)"""),
+    "j04_document_classes": build("SELECT project, path, first_ AS \"first\" FROM members",
+                                  texts="SELECT project, path, content FROM docs", **_VECTORS),
     "j04_similar_code": _similar("files"),
     "j05_copied_sources": build("""SELECT project, path, source IS NOT NULL AS found, source, coalesce(n_copied, 0) AS n_copied
       FROM passages LEFT JOIN copied USING (project, path)"""),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -56,14 +57,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def derived(spark: SparkSession, sf: str, sql: str, *tables: str) -> DataFrame:
-    """A corpus computed from given tables by the SQL the oracle shares.
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than the cluster has cores, dealt out to all of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
 
-    Their rows are short and each becomes a file, so they are spread before it does.
-    """
-    cores = spark.sparkContext.defaultParallelism
+def derived(spark: SparkSession, sf: str, sql: str, *tables: str) -> DataFrame:
+    """A corpus computed from given tables by the SQL the oracle shares."""
     for name in tables or ("part",):
-        table(spark, sf, name).repartition(cores).createOrReplaceTempView(name)
+        spread(table(spark, sf, name)).createOrReplaceTempView(name)
     return spark.sql(sql)
 
 
@@ -80,8 +83,9 @@ def analysed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
-        F.concat_ws("/", "source", "lang").alias("project"),
+    """All documents as files of one project."""
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select(
+        F.lit("documents").alias("project"),
         F.concat(F.lit("d"), "doc_id").alias("path"), F.col("text").alias("content"))
 
 
@@ -142,6 +146,34 @@ def _(spark, sf):
                                 ["path", "language", "size", "line_count", "quality_score"])
 
 
+def _two_runs(spark, sf) -> str:
+    """A store of the code files and of what became of them, in the folder the session shares."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{folder.rstrip('/')}/store-{uuid.uuid4().hex}"
+    results.write_run(code(spark, sf), path, "day1")
+    results.write_run(derived(spark, sf, FX.LATER_FILES), path, "day2", previous="day1")
+    return path
+
+
+def _of_both(read) -> DataFrame:
+    return read("day1").withColumn("run", F.lit("day1")).unionByName(read("day2").withColumn("run", F.lit("day2")))
+
+
+@query("s07_stored_runs")
+def _(spark, sf):
+    """Two runs written and read back, with the run that analysed each file."""
+    path = _two_runs(spark, sf)
+    return _of_both(lambda run: results.read_run(spark, path, run).select(
+        "project", "path", "language", "line_count", "digest", "stored"))
+
+
+@query("s07_stored_summaries")
+def _(spark, sf):
+    path = _two_runs(spark, sf)
+    return _of_both(lambda run: results.read_summary(spark, path, run).select(
+        "project", "file_count", F.col("total_lines").alias("line_count")))
+
+
 @query("s08_file_lookup")
 def _(spark, sf):
     wanted = derived(spark, sf, FX.STORED).select("project", "path")
@@ -464,7 +496,13 @@ def _(spark, sf):
 
 @query("j04_similar_documents")
 def _(spark, sf):
-    return SI.similar_files(documents(spark, sf))
+    """Pairs between the first documents of each class of equal term counts."""
+    return SI.similar_representatives(documents(spark, sf))[0]
+
+
+@query("j04_document_classes")
+def _(spark, sf):
+    return SI.similar_representatives(documents(spark, sf))[1]
 
 
 @query("j04_similar_code")
@@ -474,7 +512,7 @@ def _(spark, sf):
 
 def _passages(spark, sf):
     """All documents and benchmark items; a document is not copied from itself."""
-    docs = table(spark, sf, "documents").select(
+    docs = spread(table(spark, sf, "documents")).select(
         F.concat_ws("/", "source", "lang").alias("project"), F.concat(F.lit("d"), "doc_id").alias("path"),
         F.col("text").alias("content"), F.col("doc_id").alias("own"))
     return docs.unionByName(table(spark, sf, "benchmark").select(
@@ -483,7 +521,7 @@ def _passages(spark, sf):
 
 
 def _known(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("source"), "text")
+    return spread(table(spark, sf, "documents").select(F.col("doc_id").alias("source"), "text"))
 
 
 @query("j05_copied_sources")

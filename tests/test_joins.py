@@ -53,6 +53,25 @@ def test_substring_pairs(spark):
     assert {tuple(r) for r in SE.substring_pairs(h, n).collect()} == want
 
 
+def test_names_that_all_end_alike(spark):
+    """The last gram is on every name; it is neither chosen nor, where it must be, left to one task."""
+    names = [("p", f"{i}_number_handler") for i in range(300)]
+    h = spark.createDataFrame(names, "project string, hid string")
+    needles = ["handler", "ndler", "r", "7_number_handler", "12_number_handler", "99_num", "handlers"]
+    n = spark.createDataFrame([("p", x) for x in needles], "project string, needle string")
+    want = {("p", t, x) for _, t in names for x in needles if x in t}
+    assert {tuple(r) for r in SE.substring_pairs(h, n, split=7).collect()} == want
+
+
+def test_split_join_equals_join(spark):
+    from codequarry.operators.spread import split_join
+
+    left = spark.createDataFrame([("hot", i) for i in range(40)] + [("a", 1), ("a", 2), ("x", 1)], "k string, v int").persist()
+    right = spark.createDataFrame([("hot", i) for i in range(9)] + [("a", 5), ("a", 6), ("y", 1)], "k string, w int").persist()
+    want = sorted(tuple(r) for r in left.join(right, ["k"]).collect())
+    assert sorted(tuple(r) for r in split_join(left, right, ["k"], 4).collect()) == want and len(want) == 364
+
+
 def test_word_hits(spark, make_files):
     files = make_files(("p", "a", "load item\nloaded item load\nLoad\nunload load2"), ("p", "b", "none"))
     n = spark.createDataFrame([("p", "load"), ("p", "load item")], "project string, needle string")
@@ -88,7 +107,10 @@ def cosine_pairs(files):
 
 
 def test_similar_files_against_all_pairs(make_files, monkeypatch):
-    monkeypatch.setattr(SI, "_BLOCK", 4)  # cut the lists of this small corpus as well
+    monkeypatch.setattr(SI, "BLOCK", 4)  # several blocks and parts of matrices here as well
+    monkeypatch.setattr(SI, "TERMS", 7)
+    monkeypatch.setattr(SI, "DENSE", 4)
+    monkeypatch.setattr(SI, "PRODUCTS", 5)
     words = [f"w{i}" for i in range(30)]
     rows = []
     for i in range(60):

@@ -69,3 +69,24 @@ def test_results_round_trip(spark, make_files, tmp_path):
     files, summary = results.read_results(spark, str(tmp_path), "r1", "p")
     assert [r.path for r in files.collect()] == ["a.py"] and summary.count() == 1
     assert files.first().elements[0].name == "os"
+
+
+def test_a_run_analyses_what_changed(spark, make_files, tmp_path):
+    path = str(tmp_path)
+    first = [("p", "a.py", "x = 1\n"), ("p", "b.py", "y = 1\n"), ("q", "c.go", "z = 1\n"), ("q", "empty.py", "")]
+    then = [("p", "a.py", "x = 1\n"), ("p", "b.py", "y = 2\nw = 3\n"), ("p", "new.py", "n = 1\n")]
+    seen = []
+
+    def analyse(files):
+        seen.append(sorted(r.path for r in files.collect()))
+        return analyse_files(files)
+
+    results.write_run(make_files(*first), path, "r1", analyse=analyse)
+    results.write_run(make_files(*then), path, "r2", previous="r1", analyse=analyse)
+    results.write_run(make_files(*then), path, "r3", previous="r2", analyse=analyse)
+    assert seen == [["a.py", "b.py", "c.go", "empty.py"], ["b.py", "new.py"], []]
+    rows = lambda run, *more: {(r.path, r.line_count, r.stored) for r in results.read_run(spark, path, run, *more).collect()}
+    assert rows("r1") == {("a.py", 1, "r1"), ("b.py", 1, "r1"), ("c.go", 1, "r1")}
+    assert rows("r2") == rows("r3") == {("a.py", 1, "r1"), ("b.py", 2, "r2"), ("new.py", 1, "r2")}
+    assert rows("r1", "q") == {("c.go", 1, "r1")} and rows("r2", "q") == set()
+    assert [tuple(r) for r in results.read_summary(spark, path, "r3").select("project", "file_count", "total_lines").collect()] == [("p", 3, 4)]
