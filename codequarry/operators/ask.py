@@ -96,6 +96,11 @@ def best_elements(hits: DataFrame) -> DataFrame:
         "methods")).alias("b")).select("project", "subject", "b.*")
 
 
+def _hits_of(asked: DataFrame, analysed: DataFrame, hits: DataFrame | None) -> DataFrame:
+    """The hits of the subjects asked for, looked up unless they are at hand."""
+    return find_elements(asked.select("project", "subject").distinct(), analysed) if hits is None else hits
+
+
 # --- where --------------------------------------------------------------------------
 
 def _located(routed: DataFrame, found: DataFrame) -> DataFrame:
@@ -117,11 +122,11 @@ def _is_usage() -> Column:
     return (F.col("intent") == "where") & F.coalesce("action", F.lit("")).isin("used", "called")
 
 
-def where_defined(routed: DataFrame, analysed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def where_defined(routed: DataFrame, analysed: DataFrame, hits: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Answers of ``where is X`` / ``where is X defined``, and references (project, subject, file,
     line, context), each once however many questions ask for the subject."""
     asked = routed.where((F.col("intent") == "where") & ~_is_usage())
-    hits = find_elements(asked.select("project", "subject").distinct(), analysed)
+    hits = _hits_of(asked, analysed, hits)
     refs = hits.select("project", "subject", F.col("path").alias("file"), "line", "context")
     return _located(asked, hits), refs
 
@@ -172,12 +177,18 @@ def _describe_element() -> Column:
             F.lit("; methods: "), _list_or_none(F.col("methods")), F.lit("."))))
 
 
-def what_is(routed: DataFrame, analysed: DataFrame, files: DataFrame) -> DataFrame:
+def _described(best: DataFrame) -> DataFrame:
+    return best.where("type in ('function', 'class', 'file')")
+
+
+def what_is(routed: DataFrame, analysed: DataFrame, files: DataFrame, best: DataFrame | None = None,
+            mentions: DataFrame | None = None) -> DataFrame:
     """Describe the best hit if it is a file, function or class, else the concept."""
     asked = routed.where("intent = 'what'").select("qid", "project", "subject")
     subjects = asked.select("project", "subject").distinct()
-    best = best_elements(find_elements(subjects, analysed)).where(
-        "type in ('function', 'class', 'file')")
+    if best is None:
+        best = best_elements(find_elements(subjects, analysed))
+    best = _described(best).join(subjects, ["project", "subject"], "left_semi")
     described = best.join(
         describe_files(analysed).withColumnRenamed("answer", "file_answer"), ["project", "path"],
         "left").select(
@@ -186,7 +197,7 @@ def what_is(routed: DataFrame, analysed: DataFrame, files: DataFrame) -> DataFra
             .otherwise(_describe_element()).alias("answer"))
     rest = stage(subjects.join(best.select("project", "subject"), ["project", "subject"],
                                "left_anti"))
-    answers = described.unionByName(describe_concepts(rest, files)[0].drop("n_refs"))
+    answers = described.unionByName(describe_concepts(rest, files, hits=mentions)[0].drop("n_refs"))
     return asked.join(answers, ["project", "subject"]).select("qid", "answer")
 
 
@@ -221,11 +232,14 @@ def _unexplained(verb_head: str, tail: str) -> Column:
                     _quoted("subject"), F.lit(tail))
 
 
-def how_works(routed: DataFrame, analysed: DataFrame, files: DataFrame) -> DataFrame:
+def how_works(routed: DataFrame, analysed: DataFrame, files: DataFrame,
+              best: DataFrame | None = None) -> DataFrame:
     """Body statistics of the best hit: lines, branches, loops, returns."""
     asked = routed.where("intent = 'how'").select("qid", "project", "subject")
-    best = best_elements(find_elements(asked.select("project", "subject").distinct(), analysed))
-    best = _with_code(best.where("type in ('function', 'class', 'file')"), files)
+    subjects = asked.select("project", "subject").distinct()
+    if best is None:
+        best = best_elements(find_elements(subjects, analysed))
+    best = _with_code(_described(best).join(subjects, ["project", "subject"], "left_semi"), files)
     count = lambda words: F.regexp_count(
         F.array_join("body", "\n"), F.lit(f"(?<![\\p{{L}}\\p{{N}}_])(?:{words})(?![\\p{{L}}\\p{{N}}_])"))
     answer = F.concat(
@@ -252,11 +266,14 @@ def comment_above(lines: Column, at: Column) -> Column:
     return X.let(F.reverse(F.slice(lines, F.lit(1), F.greatest(at - 1, F.lit(0)))), run)
 
 
-def why_is(routed: DataFrame, analysed: DataFrame, files: DataFrame) -> DataFrame:
+def why_is(routed: DataFrame, analysed: DataFrame, files: DataFrame,
+           best: DataFrame | None = None) -> DataFrame:
     """The comment block right above the best hit."""
     asked = routed.where("intent = 'why'").select("qid", "project", "subject")
-    best = best_elements(find_elements(asked.select("project", "subject").distinct(), analysed))
-    said = best.join(files.select("project", "path", "content"), ["project", "path"]).select(
+    subjects = asked.select("project", "subject").distinct()
+    if best is None:
+        best = best_elements(find_elements(subjects, analysed))
+    said = best.join(subjects, ["project", "subject"], "left_semi").join(files.select("project", "path", "content"), ["project", "path"]).select(
         "project", "subject",
         comment_above(X.lines(F.col("content")), F.col("line")).alias("said")).where("said <> ''")
     return asked.join(said, ["project", "subject"], "left").select("qid", F.when(
@@ -348,13 +365,16 @@ def explain_lines(requests: DataFrame, files: DataFrame) -> DataFrame:
 # --- concepts and topics ----------------------------------------------------------------
 
 def file_mentions(files: DataFrame, subjects: DataFrame, before: int, after: int,
-                  clues: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
+                  clues: dict[str, Callable[[Column, Column], Column]],
+                  hits: DataFrame | None = None) -> DataFrame:
     """(project, subject, path, line, context, clues): a row per file that holds the subject.
 
     line and context are of its first mention, null where no single line holds the subject; a clue
-    is true if it holds for the surroundings of any mention in the file.
+    is true if it holds for the surroundings of any mention in the file. `hits` are those of
+    `content_hits` where they are at hand.
     """
-    hits = content_hits(files, subjects.select("project", F.col("subject").alias("needle")))
+    needles = subjects.select("project", F.col("subject").alias("needle")).distinct()
+    hits = content_hits(files, needles) if hits is None else hits.join(needles, ["project", "needle"], "left_semi")
     rows = hits.withColumnRenamed("needle", "subject").join(
         files.select("project", "path", "content"), ["project", "path"])
     subject = F.col("subject")
@@ -396,12 +416,13 @@ def _judged(mentions: DataFrame, clues: dict) -> DataFrame:
         F.count("*").alias("n"), *[F.bool_or(c).alias(c) for c in clues])
 
 
-def describe_concepts(subjects: DataFrame, files: DataFrame, shown: int = 3) -> tuple[DataFrame, DataFrame]:
+def describe_concepts(subjects: DataFrame, files: DataFrame, shown: int = 3,
+                      hits: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """What a subject seems to be, judged from all its mentions in all files.
 
     References are the first mentions of the first `shown` files.
     """
-    mentions = stage(file_mentions(files, subjects, 3, 3, _CONCEPT_CLUES))
+    mentions = stage(file_mentions(files, subjects, 3, 3, _CONCEPT_CLUES, hits))
     clue = _judged(mentions, _CONCEPT_CLUES)
     guess = (F.when(F.col("cls"), F.concat(F.lit("a class or object that "), F.when(
         F.col("init"), "initializes with some parameters and ").otherwise("")))
@@ -419,12 +440,13 @@ def describe_concepts(subjects: DataFrame, files: DataFrame, shown: int = 3) ->
     return answers, refs
 
 
-def explain_topics(subjects: DataFrame, files: DataFrame, shown: int = 3) -> tuple[DataFrame, DataFrame]:
+def explain_topics(subjects: DataFrame, files: DataFrame, shown: int = 3,
+                   hits: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """A topic judged from all its mentions in all files.
 
     References are the first mentions of the first `shown` files that hold it.
     """
-    mentions = stage(file_mentions(files, subjects, 5, 5, _TOPIC_CLUES))
+    mentions = stage(file_mentions(files, subjects, 5, 5, _TOPIC_CLUES, hits))
     clue = _judged(mentions, _TOPIC_CLUES)
     refs = top_k(mentions.drop(*_TOPIC_CLUES), ["project", "subject"], [F.asc("path")], shown,
                  "ref_no").where("line is not null")
@@ -552,13 +574,14 @@ def compare_file_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def compare(routed: DataFrame, analysed: DataFrame, files: DataFrame,
-            exact: bool = False) -> DataFrame:
+            exact: bool = False, best: DataFrame | None = None) -> DataFrame:
     """(qid, answer) of ``compare X with Y``, by the type of the two best hits."""
     asked = routed.where("intent = 'compare'").select("qid", "project", "subject", "subject2")
     subjects = asked.select("project", "subject").unionByName(
         asked.select("project", F.col("subject2").alias("subject"))).distinct()
-    best = best_elements(find_elements(subjects, analysed))
-    best = _with_code(best, files).join(
+    if best is None:
+        best = best_elements(find_elements(subjects, analysed))
+    best = _with_code(best.join(subjects, ["project", "subject"], "left_semi"), files).join(
         analysed.select("project", "path", "elements"), ["project", "path"])
     side = lambda n, subject: best.select(
         "project", F.col("subject").alias(subject),
@@ -587,20 +610,37 @@ def compare(routed: DataFrame, analysed: DataFrame, files: DataFrame,
 # --- everything -------------------------------------------------------------------------
 
 def answer_all(questions: DataFrame, analysed: DataFrame, files: DataFrame) -> DataFrame:
-    """(qid, intent, answer) for every question, whatever its kind."""
-    routed = route(questions)
+    """(qid, intent, answer) for every question, whatever its kind.
+
+    All subjects are looked up among the elements at once, and those that are concepts or topics
+    in the contents at once.
+    """
+    routed = stage(route(questions))
 
     def spread(intent: str, answers: DataFrame) -> DataFrame:
         return routed.where(F.col("intent") == intent).join(
             answers, ["project", "subject"]).select("qid", "answer")
 
+    compared = routed.where("intent = 'compare'")
+    named = routed.where((F.col("intent").isin("what", "how", "why", "compare")) | (
+        (F.col("intent") == "where") & ~_is_usage()))
+    subjects = named.select("project", "subject").unionByName(
+        compared.select("project", F.col("subject2").alias("subject"))).distinct()
+    hits = stage(find_elements(subjects, analysed))
+    best = stage(best_elements(hits))
+    concepts = routed.where("intent = 'what'").select("project", "subject").join(
+        _described(best).select("project", "subject"), ["project", "subject"], "left_anti")
+    topics = subjects_of(routed, "explain")
+    mentions = stage(content_hits(files, concepts.unionByName(topics.select("project", "subject")).select(
+        "project", F.col("subject").alias("needle"))))
+
     parts = [
-        what_is(routed, analysed, files), how_works(routed, analysed, files),
-        where_defined(routed, analysed)[0].select("qid", "answer"),
-        where_used(routed, files)[0].select("qid", "answer"), why_is(routed, analysed, files),
+        what_is(routed, analysed, files, best, mentions), how_works(routed, analysed, files, best),
+        where_defined(routed, analysed, hits)[0].select("qid", "answer"),
+        where_used(routed, files)[0].select("qid", "answer"), why_is(routed, analysed, files, best),
         list_all(routed, analysed)[0].select("qid", "answer"),
-        spread("explain", explain_topics(subjects_of(routed, "explain"), files)[0]),
-        compare(routed, analysed, files),
+        spread("explain", explain_topics(topics, files, hits=mentions)[0]),
+        compare(routed, analysed, files, best=best),
         routed.where("intent = 'generic'").select("qid", F.lit(
             "I couldn't analyze this query. Please try asking about something specific in the code."
         ).alias("answer")),
