@@ -17,6 +17,7 @@ HEADLINE = [
     "j04_similar_documents", "j04_similar_code", "j05_copied_sources", "j06_percent_copied",
     "q02_find_elements", "q04_where_used", "q05_what_is", "q14_concepts", "q16_compare",
     "answer_all", "q04_where_used_refs", "q10_explain_line", "q13_compare_files", "s07_results_json",
+    "q11_compare_functions", "q12_compare_classes", "s07_stored_runs",
 ]
 
 
