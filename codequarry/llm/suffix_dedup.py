@@ -19,7 +19,8 @@ a name, 9 bytes at least, per byte of text.
 
 Texts are UTF-8 bytes and may be cut inside a character. Null texts are empty. Rows without an id
 keep all and repeat for nobody. Rows that repeat an id are judged each by its own text and never
-against each other. Other columns do not matter.
+against each other, equal rows alike. Texts of any length are read whole, as one row; those shorter
+than `window` lose nothing. An empty table has no rows. Other columns do not matter.
 """
 
 from __future__ import annotations
