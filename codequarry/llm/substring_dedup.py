@@ -10,8 +10,10 @@ At each level a batch settles what repeats within it and hands on, per fingerpri
 places of its smallest document: all others are known to be repeats. So a window that is in a
 third of all documents meets itself as often as there are batches.
 
-Null ids keep all their words. Null and empty texts have none. Rows that repeat an id are parts of
-one document.
+Null ids keep all their words, and no window starts in them. Null and empty texts have none. Rows
+that repeat an id keep or lose words by their own text: a window counts as starting in a smaller id
+if any row of such an id holds it, and rows of one id never remove each other's words. An empty
+table gives no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,13 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.llm.blobs import gather, scatter
-from codequarry.llm.shared import partitions, stage, text_rows
+from codequarry.llm.order import numbered
+from codequarry.llm.shared import partitions, sized, small_batches, stage
 from codequarry.llm.words import U64, hash_words, mix, spans, text_bytes, windows, word_hashes
 
 #: Windows that a task holds before it settles them.
 FLUSH = 1_500_000
 #: Bytes of runs that may be broadcast; more are joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
+#: A place holds the row's part above these bits, and the word's number below.
+PLACE_BITS = 32
 
 
 def lengths(window: int, levels: int = 2) -> list[int]:
@@ -95,7 +100,7 @@ def _level(prev: int, size: int, last: bool, buckets: int, home: int):
         def flush() -> Iterator[pa.RecordBatch]:
             keys, ids, at = (np.concatenate(x) for x in zip(*held))
             (mark_id, mark_at), (keys, ids, at) = settle(keys, ids, at, last)
-            for kind, bucket, columns in ((0, home_of(mark_id, home), [mark_id, mark_at, mark_at[:0]]),
+            for kind, bucket, columns in ((0, home_of(mark_id, mark_at, home), [mark_id, mark_at, mark_at[:0]]),
                                           (1, keys % U64(buckets), [keys, ids, at])):
                 if not len(bucket):
                     continue
@@ -108,8 +113,9 @@ def _level(prev: int, size: int, last: bool, buckets: int, home: int):
                 yield out.append_column("kind", pa.array([kind] * out.num_rows, pa.int32()))
 
         for batch in batches:
-            places = batch.column(2) if prev else None
-            for i, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
+            places = batch.column(3) if prev else None
+            ids_parts = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2))
+            for i, (key, part, text) in enumerate(ids_parts):
                 if key is None:
                     continue
                 words = word_hashes(text.as_py())
@@ -121,7 +127,7 @@ def _level(prev: int, size: int, last: bool, buckets: int, home: int):
                     at = np.flatnonzero(covered(
                         np.frombuffer(places[i].as_py(), dtype=np.int64).reshape(-1, 2), len(keys)))
                 if len(at):
-                    held.append((keys[at], np.full(len(at), key, dtype=np.int64), at))
+                    held.append((keys[at], np.full(len(at), key, dtype=np.int64), at + (part << PLACE_BITS)))
                     total += len(at)
                 if total >= FLUSH:
                     yield from flush()
@@ -131,8 +137,10 @@ def _level(prev: int, size: int, last: bool, buckets: int, home: int):
     return run
 
 
-def home_of(ids: np.ndarray, home: int) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(U64)) % U64(home)).astype(np.int64)
+def home_of(ids: np.ndarray, at: np.ndarray, home: int) -> np.ndarray:
+    """The bucket of each row; the parts of an id that many rows repeat are spread."""
+    part = mix((at >> PLACE_BITS).astype(np.int64).view(U64))
+    return (mix(ids.astype(np.int64).view(U64) ^ part) % U64(home)).astype(np.int64)
 
 
 def _compare(last: bool, home: int):
@@ -144,31 +152,33 @@ def _compare(last: bool, home: int):
                 (open_ if k else settled).append(batch.slice(row, 1).select([2, 3, 4]))
         if settled:
             ids, at = gather(iter(settled), [8, 8])
-            yield scatter(home_of(ids.view(np.int64), home), home, [ids, at])
+            yield scatter(home_of(ids.view(np.int64), at.view(np.int64), home), home, [ids, at])
         if open_:
             keys, ids, at = gather(iter(open_), [8, 8, 8])
             (ids, at), _ = settle(keys, ids.view(np.int64), at.view(np.int64), last)
             if len(ids):
-                yield scatter(home_of(ids, home), home, [ids, at])
+                yield scatter(home_of(ids, at, home), home, [ids, at])
     return run
 
 
 def _by_document(before: int, after: int):
-    """(id, runs): each place p of a document becomes [p - before, p + after)."""
+    """(id, part, runs): each place p of a row becomes [p - before, p + after)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, at = (x.view(np.int64) for x in gather(batches, [8, 8]))
         if not len(ids):
             return
         order = np.lexsort((at, ids))
         ids, at = ids[order], at[order]
-        start = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        part, at = at >> PLACE_BITS, at & ((1 << PLACE_BITS) - 1)
+        start = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (part[1:] != part[:-1]))))
         end = np.append(start[1:], len(ids))
         found = [runs(np.maximum(at[s:e] - before, 0), at[s:e] + after).tobytes()
                  for s, e in zip(start, end)]
         for i in range(0, len(found), 10_000):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[start[i:i + 10_000]]), pa.array(found[i:i + 10_000], pa.binary())],
-                ["id", "runs"])
+                [pa.array(ids[start[i:i + 10_000]]), pa.array(part[start[i:i + 10_000]]),
+                 pa.array(found[i:i + 10_000], pa.binary())],
+                ["id", "part", "runs"])
     return run
 
 
@@ -177,18 +187,31 @@ def _sized(found: DataFrame) -> DataFrame:
     return F.broadcast(found) if total <= BROADCAST_BYTES else found
 
 
+def parted(texts: DataFrame) -> DataFrame:
+    """texts with `part`: the number of the text among the different ones of its id, from 0."""
+    known = texts.where("id is not null")
+    again = sized(stage(known.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")))
+    if again.isEmpty():
+        return texts.withColumn("part", F.lit(0).cast("long"))
+    named = texts.withColumn("body", F.xxhash64("text"))
+    bodies = named.join(again, "id", "left_semi").select("id", "body").distinct()
+    parts = sized(stage(numbered(bodies, ["id"], ["body"]).select("id", "body", F.col("idx").alias("part"))))
+    return (named.join(parts, ["id", "body"], "left").drop("body")
+            .withColumn("part", F.coalesce("part", F.lit(0).cast("long"))))
+
+
 def repeated_runs(texts: DataFrame, window: int, levels: int = 2) -> DataFrame:
-    """(id, runs) of the documents (id, text) that lose words; runs: int64 pairs [first, end)."""
+    """(id, part, runs) of the rows (id, part, text) that lose words; runs: int64 pairs [first, end)."""
     spark, steps = texts.sparkSession, lengths(window, max(2, levels))
     n = partitions(spark)
     found = None
     for i, size in enumerate(steps):
         last = i == len(steps) - 1
         if found is None:
-            source = texts
+            source = texts.select("id", "part", "text")
             level = _level(0, (size, steps[1]), False, 4 * n, 4 * n)
         else:
-            source = texts.join(_sized(found), "id")
+            source = texts.join(_sized(found), ["id", "part"]).select("id", "part", "text", "runs")
             level = _level(steps[i - 1], size, last, 4 * n, 4 * n)
         # a window of the next length holds one of this length at p, at the first level at any
         # of its places, later at its first and so at its last one too
@@ -199,7 +222,7 @@ def repeated_runs(texts: DataFrame, window: int, levels: int = 2) -> DataFrame:
             .select("kind", "bucket", "c0", "c1", "c2").repartition(n, "bucket")
             .mapInArrow(_compare(last, 4 * n), "bucket int, c0 binary, c1 binary")
             .repartition(n, "bucket").select("c0", "c1")
-            .mapInArrow(_by_document(before, after), "id long, runs binary"))
+            .mapInArrow(_by_document(before, after), "id long, part long, runs binary"))
         if found.isEmpty():
             break
     return found
@@ -236,11 +259,13 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
     id; runs are judged on the input, not on what is left. With `carry` each row also has the
     document's own row, as a struct `row`.
     """
-    found = repeated_runs(text_rows(docs, id_col, text_col), window)
+    small_batches(docs.sparkSession)
     row = [F.struct("*").alias("row")] if carry else []
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *row)
+    texts = parted(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *row))
+    found = repeated_runs(texts, window)
     schema = "id long, n_words long, n_removed long, kept string"
     if carry:
         schema += f", row {docs.schema.simpleString()}"
-    return (texts.join(_sized(found), "id", "left").select("id", "text", "runs", *(["row"] if carry else []))
+    return (texts.join(_sized(found), ["id", "part"], "left")
+            .select("id", "text", "runs", *(["row"] if carry else []))
             .mapInArrow(_kept, schema))

@@ -51,6 +51,27 @@ def test_equals_all_windows(spark, monkeypatch, window):
     assert got == brute(rows, window)
 
 
+def test_rows_of_one_id_keep_their_own_words(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (2, b), (2, f"{c} {a}"), (2, None), (2, ""), (3, f"{b} {c}"), (None, a), (None, b),
+            (-(1 << 62), c[:20]), (5, c), (5, "x " + a), (1, "y " + b)]
+    got = sorted(((r.id, r.n_words, r.n_removed, r.kept) for r in run(spark, rows, 50).collect()), key=str)
+    assert got == brute(rows, 50)
+    assert (2, 60, 0, b) not in got and (2, 60, 60, "") in got
+    few = sorted(((r.id, r.kept) for r in run(spark, [(1, a), (2, a), (2, b)], 50).collect()))
+    assert few == [(1, a), (2, ""), (2, b)]
+
+
+def test_many_texts_of_one_id(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(rng.choice([3, 3, 3, 9, None, rng.randrange(20)]), " ".join(
+        words[(low := rng.randrange(250)):low + rng.randrange(40)])) for _ in range(300)]
+    monkeypatch.setattr(S, "FLUSH", 200)
+    got = sorted(((r.id, r.n_words, r.n_removed, r.kept) for r in run(spark, rows, 6).collect()), key=str)
+    assert got == brute(rows, 6)
+
+
 def test_rows_can_be_carried(spark):
     text = " ".join(f"w{i}" for i in range(60))
     got = {r.id: r for r in run(spark, [(1, text), (2, "new " + text)], 50, carry=True).collect()}
