@@ -1,12 +1,14 @@
 """Benchmark passages in documents, by winnowed fingerprints; DataFrame functions only.
 
 Every run of SPAN words contains SPAN - GRAM + 1 word grams. The smallest gram hash of each run is
-kept on both sides, so a shared run has a shared fingerprint for certain. Documents with one are
-extended: all their runs of SPAN words are compared with those of the items.
+kept on both sides, with the runs it stands for, so a shared run has a shared fingerprint for
+certain. Fingerprints that meet are extended to their runs of words, which are compared exactly
+with those of the items.
 
 An item with fewer words, but not none, is one run. Documents are searched for runs of those
-lengths only if such items exist. Null texts have no words; null ids no hits. Rows that repeat a
-doc_id are one document and each get its hits.
+lengths only if such items exist. Null texts have no words. A row is judged by its own text, also
+if its id is null or repeated. An item without an id gives hits, but no name. Empty tables give no
+rows, or no hits. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +25,10 @@ from codequarry.llm.shared import sized, stage
 SPAN = 10
 #: Words of a gram.
 GRAM = 5
+#: Columns that name a row: digests of its id and of its text.
+ROW = ["k_id", "k_text"]
+#: Bytes of hits that may be broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 #: `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` once A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -63,14 +69,35 @@ def minima(values: Column, span: int) -> Column:
     return _runs(values, span, lambda run: F.least(*run) if span > 1 else run[0])
 
 
-def winnowed(texts: DataFrame, span: int, gram: int) -> DataFrame:
-    """(id, print): the fingerprints of each text, runs of one value once."""
-    return (texts.select("id", loose_hashes(F.col("text")).alias("h"))
+def winnowed(texts: DataFrame, keys: list[str], span: int, gram: int) -> DataFrame:
+    """(*keys, print, at, n): the fingerprints of each text, and the runs of words they stand for,
+    which start at `at` and the n - 1 words after it."""
+    m, starts = F.col("m"), F.col("starts")
+    return (texts.select(*keys, loose_hashes(F.col("text")).alias("h"))
             .where(F.size("h") >= span)
-            .select("id", grams(F.col("h"), gram).alias("g"))
-            .select("id", minima(F.col("g"), span - gram + 1).alias("m"))
-            .select("id", F.explode(F.filter(
-                "m", lambda x, i: (i == 0) | (x != F.get(F.col("m"), i - 1)))).alias("print")))
+            .select(*keys, grams(F.col("h"), gram).alias("g"))
+            .select(*keys, minima(F.col("g"), span - gram + 1).alias("m"))
+            .select(*keys, "m", F.filter(
+                F.sequence(F.lit(0), F.size(m) - 1),
+                lambda i: (i == 0) | (F.get(m, i) != F.get(m, i - 1))).alias("starts"))
+            .select(*keys, F.explode(F.coalesce(F.transform(starts, lambda s, j: F.struct(
+                F.get(m, s).alias("print"), s.alias("at"),
+                (F.coalesce(F.get(starts, j + 1), F.size(m)) - s).alias("n"))), F.array())).alias("f"))
+            .select(*keys, "f.print", "f.at", "f.n"))
+
+
+def extended(held: DataFrame, sizes: list[int]) -> DataFrame:
+    """(*ROW, size, at, key) for the runs of words that the met fingerprints of a text stand for."""
+    def key(at: Column, size: Column) -> Column:
+        made = [F.when(size == s, F.xxhash64(*[F.get(F.col("e"), at + j) for j in range(s)])) for s in sizes]
+        return F.coalesce(*made)
+
+    runs = F.transform(F.col("met"), lambda f: F.transform(
+        F.sequence(f["at"], f["at"] + f["n"] - 1),
+        lambda i: F.struct(f["size"].alias("size"), i.alias("at"), key(i, f["size"]).alias("key"))))
+    return (held.select(*ROW, "met", exact_hashes(F.col("text")).alias("e"))
+            .select(*ROW, F.explode(F.coalesce(F.flatten(runs), F.array())).alias("r"))
+            .select(*ROW, "r.size", "r.at", "r.key"))
 
 
 def _windows(texts: DataFrame, size: int) -> DataFrame:
@@ -80,52 +107,65 @@ def _windows(texts: DataFrame, size: int) -> DataFrame:
                     F.posexplode(grams(F.col("h"), size)).alias("at", "key")))
 
 
+def _sized(found: DataFrame, width: Column) -> DataFrame:
+    """A staged table, marked for broadcast if its rows, `width` bytes each, are within the bound."""
+    total = found.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(found) if total <= BROADCAST_BYTES else found
+
+
 def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM,
                   id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                  item_text: str = "text") -> DataFrame:
+                  item_text: str = "text", carry: bool = False) -> DataFrame:
     """(id, n_words, n_hit, items) per document; items: sorted ids, as strings, of those it holds.
 
-    n_hit counts words inside any occurrence of a run of `span` words of an item.
+    n_hit counts words inside any occurrence of a run of `span` words of an item. With `carry` each
+    row also has the document's own row, as a struct `row`.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    row = [F.struct("*").alias("row")] if carry else []
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+                        F.xxhash64(F.col(id_col)).alias(ROW[0]), F.xxhash64(F.col(text_col)).alias(ROW[1]), *row)
     tests = items.select(F.col(item_col).cast("string").alias("id"), F.col(item_text).alias("text"))
     lengths = (tests.select(F.least(F.size(words_of(F.col("text"))), F.lit(span)).alias("n"))
                .where("n > 0").distinct())
     short = sorted(r.n for r in lengths.collect() if r.n < span)
 
-    prints = sized(stage(winnowed(tests, span, gram).select("print").distinct()))
-    near = winnowed(texts, span, gram).join(prints, "print", "left_semi").select("id")
+    prints = sized(stage(winnowed(tests, ["id"], span, gram).select("print").distinct()))
+    near = (winnowed(texts, ROW, span, gram).join(prints, "print", "left_semi")
+            .select(*ROW, F.lit(span).alias("size"), "at", "n"))
     few = tests.withColumn("n", F.size(words_of(F.col("text"))))
     for size in short:
         keys = sized(stage(
             few.where(F.col("n") == size)
             .select(F.explode(grams(loose_hashes(F.col("text")), size)).alias("print")).distinct()))
         near = near.unionByName(
-            texts.select("id", loose_hashes(F.col("text")).alias("h"))
-            .select("id", F.explode(grams(F.col("h"), size)).alias("print"))
-            .join(keys, "print", "left_semi").select("id"))
-    near = sized(stage(near.distinct()))
+            texts.select(*ROW, loose_hashes(F.col("text")).alias("h"))
+            .select(*ROW, F.posexplode(grams(F.col("h"), size)).alias("at", "print"))
+            .join(keys, "print", "left_semi")
+            .select(*ROW, F.lit(size).alias("size"), "at", F.lit(1).alias("n")))
+    near = stage(near.groupBy(*ROW).agg(F.collect_set(F.struct("size", "at", "n")).alias("met")))
 
-    held = texts.join(near, "id", "left_semi")
+    held = texts.join(_sized(near, 48 + 16 * F.size("met")), ROW).select(*ROW, "text", "met")
     sizes = [*short, span]
     whole = [few.where(F.col("n") == s if s < span else F.col("n") >= s).select("id", "text") for s in sizes]
     wanted = stage(reduce(DataFrame.unionByName, [_windows(w, s) for w, s in zip(whole, sizes)])
                    .select("size", "key", F.col("id").alias("item")).distinct())
     keys = sized(stage(wanted.select("size", "key").distinct()))
-    hits = stage(reduce(DataFrame.unionByName, [_windows(held, s) for s in sizes])
-                 .join(keys, ["size", "key"], "left_semi"))
-    words = (hits.groupBy("id", "at").agg(F.max("size").alias("size")).groupBy("id")
+    hits = stage(extended(held, sizes).join(keys, ["size", "key"], "left_semi"))
+    words = (hits.groupBy(*ROW, "at").agg(F.max("size").alias("size")).groupBy(*ROW)
              .agg(F.array_sort(F.collect_list(F.struct("at", (F.col("at") + F.col("size")).alias("end")))).alias("s"))
-             .select("id", F.aggregate(
+             .select(*ROW, F.aggregate(
                  "s", F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach")),
                  lambda a, x: F.struct(
                      (a.n + F.greatest(F.lit(0), x.end - F.greatest(a.reach, x["at"]))).alias("n"),
                      F.greatest(a.reach, x.end).alias("reach")),
                  lambda a: a.n.cast("long")).alias("n_hit")))
-    named = (hits.select("id", "size", "key").distinct().join(wanted, ["size", "key"])
-             .groupBy("id").agg(F.array_sort(F.collect_set("item")).alias("items")))
-    found = stage(words.join(named, "id"))
-    return (texts.select("id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
-            .join(found, "id", "left")
+    named = (hits.select(*ROW, "size", "key").distinct().join(wanted, ["size", "key"])
+             .groupBy(*ROW).agg(F.array_sort(F.collect_set("item")).alias("items")))
+    found = stage(words.join(named, ROW))
+    found = _sized(found, F.lit(48) + F.octet_length(F.array_join("items", ",")) + 16 * F.size("items"))
+    return (texts.select("id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"), *ROW,
+                         *(["row"] if carry else []))
+            .join(found, ROW, "left")
             .select("id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-                    F.coalesce("items", F.array().cast("array<string>")).alias("items")))
+                    F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+                    *(["row"] if carry else [])))

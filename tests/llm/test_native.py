@@ -74,6 +74,28 @@ def test_decontamination_of_little(spark):
     assert contaminated(spark, [(1, "a b"), (None, "c")], []) == [(1, 2, 0, []), (None, 1, 0, [])]
 
 
+def test_rows_are_judged_by_their_own_text(spark):
+    passage, clean = " ".join(f"p{i}" for i in range(12)), " ".join(f"c{i}" for i in range(30))
+    docs = [(1, passage), (1, clean), (1, None), (None, passage), (None, clean), (None, None), (1, passage), (2, clean)]
+    for items in ([(7, passage)], [(7, passage), (8, "p3 p4"), (9, "c1"), (8, "c2 c3")]):
+        assert contaminated(spark, docs, items) == brute(docs, items)
+    got = contaminated(spark, docs, [(7, passage)])
+    assert got.count((1, 12, 12, ["7"])) == 2 and (1, 30, 0, []) in got and (None, 12, 12, ["7"]) in got
+
+
+def test_long_runs_of_one_fingerprint(spark):
+    docs = [(1, "same " * 300 + "other " * 30), (2, "same " * 9 + "x"), (3, ("a b c " * 40) + "d")]
+    items = [(1, "same " * 11), (2, "b c a " * 5), (3, "same other " * 6)]
+    assert contaminated(spark, docs, items) == brute(docs, items)
+
+
+def test_carried_rows(spark):
+    d = spark.createDataFrame([(1, "a " * 12, 5, "p", "u", 3), (None, None, 5, "p", "u", 4)], DOCS)
+    i = spark.createDataFrame([(1, "a " * 10, 1, "k")], ITEMS)
+    got = {r.row.id: r for r in D.contamination(d, i, carry=True).collect()}
+    assert got[3].row.n_hit == 5 and got[3].n_hit == 12 and got[4].row.text is None and got[4].n_hit == 0
+
+
 def test_words_of_short_items_are_hit_once(spark):
     assert contaminated(spark, [(1, "a b a b a b x")], [(7, "a b a"), (8, "b A b")]) == [(1, 7, 6, ["7", "8"])]
 
