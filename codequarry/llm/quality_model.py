@@ -5,8 +5,10 @@ covariance. A score is the squashed difference of the two log densities, each a
 distance through a Cholesky factor that is worked out once. Moments come from sums over all
 labelled rows; only those sums reach the driver.
 
-Null texts are empty, and have a score like any text. Without rows of both labels every score is
-the share of label 1, or 0.5 without labels.
+Null texts are empty, and have a score like any text; whole texts count, however long. Every row has
+its own score, also if its id is null or repeated; a label belongs to all rows of its id. Without
+rows of both labels every score is the share of label 1, or 0.5 without labels. An empty table gives
+no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,13 +44,13 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [features(t.as_py()) for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["id", "x"])
+            [batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.float64()))], ["id", "body", "x"])
 
 
 def document_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Staged (id, x)."""
-    texts = text_rows(docs, id_col, text_col)
-    return stage(texts.mapInArrow(_features, "id long, x array<double>"))
+    """Staged (id, body, x); body is xxhash64 of the text."""
+    texts = text_rows(docs, id_col, text_col).withColumn("body", F.xxhash64("text"))
+    return stage(texts.mapInArrow(_features, "id long, body long, x array<double>"))
 
 
 class Discriminant:
@@ -95,9 +97,9 @@ def train(labelled: DataFrame) -> Discriminant:
 def _scores(model: Discriminant):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.asarray(batch.column(1).flatten()).reshape(-1, len(FEATURES))
+            x = np.asarray(batch.column(2).flatten()).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(model.score(x), pa.float64())], ["id", "score"])
+                [batch.column(0), batch.column(1), pa.array(model.score(x), pa.float64())], ["id", "body", "score"])
     return run
 
 
@@ -108,11 +110,12 @@ def training_fold(doc_id: Column) -> Column:
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                    text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """(id, held_out, score, predicted). Labels of the held-out third are never read."""
+    """(id, body, held_out, score, predicted) per row; body is xxhash64 of the text, which with the id
+    tells rows apart. Labels of the held-out third are never read."""
     found = document_features(docs, id_col, text_col)
     marks = (labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
              .where(training_fold(F.col("id"))))
     model = train(found.join(marks, "id"))
-    return (found.mapInArrow(_scores(model), "id long, score double")
-            .select("id", (~training_fold(F.col("id"))).alias("held_out"), "score",
+    return (found.mapInArrow(_scores(model), "id long, body long, score double")
+            .select("id", "body", (~training_fold(F.col("id"))).alias("held_out"), "score",
                     F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")))

@@ -35,7 +35,7 @@ def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 def op4_quality_model(spark: SparkSession, sf: str) -> DataFrame:
     docs, labels = _table(spark, sf, "documents"), _table(spark, sf, "labels")
-    return quality_model.quality_scores(docs, labels).withColumnRenamed("id", "doc_id")
+    return quality_model.quality_scores(docs, labels).withColumnRenamed("id", "doc_id").drop("body")
 
 
 #: A conversation that every run adds: its texts hold control strings and one that looks escaped.
