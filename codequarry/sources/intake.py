@@ -9,6 +9,7 @@ from codequarry import catalog as C
 from codequarry.functions import text as X
 from codequarry.operators.rollup import top_k
 from codequarry.operators.search import suffix_matches
+from codequarry.operators.spread import shuffled
 
 
 def is_binary(raw: Column, sample: int | None = None) -> Column:
@@ -68,7 +69,7 @@ def content_lookup(files: DataFrame, requests: DataFrame) -> DataFrame:
     the first file of which either path is a suffix of the other."""
     wanted = requests.select("project", "request").distinct()
     paths = files.select("project", "path")
-    exact = wanted.join(paths.withColumn("request", F.col("path")), ["project", "request"], "left")
+    exact = wanted.join(shuffled(paths.withColumn("request", F.col("path"))), ["project", "request"], "left")
     missed = exact.where("path is null").select("project", "request")
     close = suffix_matches(paths, missed).groupBy("project", "request").agg(
         F.min("path").alias("path"))

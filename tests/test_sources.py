@@ -90,3 +90,12 @@ def test_a_run_analyses_what_changed(spark, make_files, tmp_path):
     assert rows("r2") == rows("r3") == {("a.py", 1, "r1"), ("b.py", 2, "r2"), ("new.py", 1, "r2")}
     assert rows("r1", "q") == {("c.go", 1, "r1")} and rows("r2", "q") == set()
     assert [tuple(r) for r in results.read_summary(spark, path, "r3").select("project", "file_count", "total_lines").collect()] == [("p", 3, 4)]
+
+
+def test_looked_up_paths_are_not_broadcast(spark):
+    """Spark takes a worked-out path for 20 bytes, so it would send all paths to every task."""
+    paths = spark.range(3000).selectExpr("'p' AS project", "concat('src/', repeat('deep/', 30), id, '.py') AS path")
+    wanted = spark.range(40).selectExpr("'p' AS project", "concat('/', id, '.py') AS request")
+    found = intake.content_lookup(paths, wanted)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 40
