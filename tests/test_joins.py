@@ -263,3 +263,18 @@ def test_scores_stay_in_range(make_files):
     row = analyse_files(make_files(("a.py", bad))).first()
     assert row.quality_score == 0 and len(row.suggestions) == 30
     assert [s.line for s in row.security_issues] == list(range(2, 32))
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_contents_are_not_broadcast(spark):
+    """Spark takes a worked-out content for 20 bytes, so it would send all of them to every task."""
+    files = spark.range(2000).selectExpr("'p' AS project", "concat('f', id, '.py') AS path",
+                                         "concat('needle', id, repeat(' filler', 500)) AS content")
+    subjects = spark.range(50).selectExpr("'p' AS project", "concat('needle', id) AS subject")
+    hits = files.selectExpr("project", "path", "split(content, ' ')[0] AS needle")
+    found = A.file_mentions(files, subjects, 1, 1, {}, hits)
+    assert "BroadcastHashJoin" not in _plan(found)
+    assert found.count() == 50
