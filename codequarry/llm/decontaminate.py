@@ -1,9 +1,9 @@
 """Benchmark passages in documents, by winnowed fingerprints; DataFrame functions only.
 
 Every run of SPAN words contains SPAN - GRAM + 1 word grams. The smallest gram hash of each run is
-kept on both sides, with the runs it stands for, so a shared run has a shared fingerprint for
-certain. Fingerprints that meet are extended to their runs of words, which are compared exactly
-with those of the items.
+kept on both sides, so a shared run has a shared fingerprint for certain. Only in documents where
+fingerprints meet are they placed; they are extended to the runs of words they stand for, which are
+compared exactly with those of the items.
 
 An item with fewer words, but not none, is one run. Documents are searched for runs of those
 lengths only if such items exist. Null texts have no words. A row is judged by its own text, also
@@ -29,13 +29,13 @@ GRAM = 5
 ROW = ["k_id", "k_text"]
 #: Bytes of hits that may be broadcast; more are joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
-#: `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` once A-Z are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What lies between the words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`, also while A-Z are not lower-cased.
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
     """The words, letters as they are."""
-    return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.array_remove(F.split(text, GAP), ""), F.array().cast("array<string>"))
 
 
 def lower_ascii(text: Column) -> Column:
@@ -65,21 +65,34 @@ def grams(values: Column, size: int) -> Column:
     return _runs(values, size, lambda run: F.xxhash64(*run))
 
 
-def minima(values: Column, span: int) -> Column:
-    return _runs(values, span, lambda run: F.least(*run) if span > 1 else run[0])
+def _folded(texts: DataFrame, keys: list[str], width: int, two) -> DataFrame:
+    """(*keys, m): `two` taken over every `width` neighbouring values of m, by doubling; the last
+    step may overlap."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        texts = texts.select(*keys, F.zip_with("m", F.slice("m", step + 1, F.size("m")), two).alias("m"))
+        done += step
+    # what lacks neighbours stands at the end
+    return texts.select(*keys, F.slice("m", 1, F.greatest(F.size("m") - (width - 1), F.lit(0))).alias("m"))
+
+
+def gram_minima(texts: DataFrame, keys: list[str], span: int, gram: int) -> DataFrame:
+    """(*keys, n_words, m): the smallest gram hash of each run of `span` words."""
+    keep = [*keys, "n_words"]
+    hashed = texts.select(*keys, loose_hashes(F.col("text")).alias("m")).select(*keys, F.size("m").cast("long").alias("n_words"), "m")
+    return _folded(_folded(hashed, keep, gram, lambda a, b: F.xxhash64(a, b)), keep, span - gram + 1, lambda a, b: F.least(a, b))
 
 
 def winnowed(texts: DataFrame, keys: list[str], span: int, gram: int) -> DataFrame:
     """(*keys, print, at, n): the fingerprints of each text, and the runs of words they stand for,
     which start at `at` and the n - 1 words after it."""
     m, starts = F.col("m"), F.col("starts")
-    return (texts.select(*keys, loose_hashes(F.col("text")).alias("h"))
-            .where(F.size("h") >= span)
-            .select(*keys, grams(F.col("h"), gram).alias("g"))
-            .select(*keys, minima(F.col("g"), span - gram + 1).alias("m"))
+    # no filter on sizes here: it would be pushed down, and work everything out again
+    return (gram_minima(texts, keys, span, gram)
             .select(*keys, "m", F.filter(
-                F.sequence(F.lit(0), F.size(m) - 1),
-                lambda i: (i == 0) | (F.get(m, i) != F.get(m, i - 1))).alias("starts"))
+                F.sequence(F.lit(0), F.greatest(F.size(m) - 1, F.lit(0))),
+                lambda i: (i < F.size(m)) & ((i == 0) | (F.get(m, i) != F.get(m, i - 1)))).alias("starts"))
             .select(*keys, F.explode(F.coalesce(F.transform(starts, lambda s, j: F.struct(
                 F.get(m, s).alias("print"), s.alias("at"),
                 (F.coalesce(F.get(starts, j + 1), F.size(m)) - s).alias("n"))), F.array())).alias("f"))
@@ -130,7 +143,13 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
     short = sorted(r.n for r in lengths.collect() if r.n < span)
 
     prints = sized(stage(winnowed(tests, ["id"], span, gram).select("print").distinct()))
-    near = (winnowed(texts, ROW, span, gram).join(prints, "print", "left_semi")
+    scanned = gram_minima(texts, ["id", *ROW], span, gram).select(
+        "id", *ROW, "n_words", F.array_distinct("m").alias("prints"))
+    scanned = scanned if carry else stage(scanned)  # read again for its counts
+    touched = stage(scanned.select(*ROW, F.explode(F.coalesce("prints", F.array())).alias("print")).join(prints, "print", "left_semi")
+                    .select(*ROW).distinct())
+    near = (winnowed(texts.join(_sized(touched, F.lit(48)), ROW, "left_semi"), ROW, span, gram)
+            .join(prints, "print", "left_semi")
             .select(*ROW, F.lit(span).alias("size"), "at", "n"))
     few = tests.withColumn("n", F.size(words_of(F.col("text"))))
     for size in short:
@@ -163,8 +182,8 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
              .groupBy(*ROW).agg(F.array_sort(F.collect_set("item")).alias("items")))
     found = stage(words.join(named, ROW))
     found = _sized(found, F.lit(48) + F.octet_length(F.array_join("items", ",")) + 16 * F.size("items"))
-    return (texts.select("id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"), *ROW,
-                         *(["row"] if carry else []))
+    counted = texts.withColumn("n_words", F.size(words_of(F.col("text"))).cast("long")) if carry else scanned
+    return (counted.select("id", "n_words", *ROW, *(["row"] if carry else []))
             .join(found, ROW, "left")
             .select("id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
                     F.coalesce("items", F.array().cast("array<string>")).alias("items"),

@@ -191,3 +191,11 @@ def test_marks_are_needed_to_reach_a_template():
 
 def test_digest_of_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_texts_are_cut_into_words_once(spark):
+    """A filter on sizes would be pushed below the fingerprints, and work them out again."""
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l " * 3), (2, "a"), (3, None), (4, "")], "id long, text string")
+    prints = D.winnowed(docs, ["id"], 10, 5)
+    assert prints._jdf.queryExecution().optimizedPlan().toString().count("xxhash64(lower(") == 1
+    assert {r.id for r in prints.collect()} == {1}
