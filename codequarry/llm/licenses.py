@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,7 +126,13 @@ def _reachable(templates: dict[str, str], percent: int):
     def reachable(text: str) -> Column:
         words = words_of(lower_ascii(F.col(text)))
         found = F.size(words) > low
-        return found if need is None else found & F.arrays_overlap(words, F.lit(need))
+        if need is None:
+            return found
+        found &= F.arrays_overlap(words, F.lit(need))
+        if not all(map(str.isascii, need)):
+            return found
+        # most texts hold no marked word even as letters, and need not be cut into words
+        return F.exists(F.array(F.lower(text)), lambda t: reduce(or_, [F.contains(t, F.lit(w)) for w in need])) & found
 
     return reachable
 

@@ -199,3 +199,10 @@ def test_texts_are_cut_into_words_once(spark):
     prints = D.winnowed(docs, ["id"], 10, 5)
     assert prints._jdf.queryExecution().optimizedPlan().toString().count("xxhash64(lower(") == 1
     assert {r.id for r in prints.collect()} == {1}
+
+
+def test_texts_without_marked_letters_are_not_cut(spark):
+    docs = spark.createDataFrame([(1, "some prose"), (2, "PERMISSION is hereby granted " * 40)], "id long, text string")
+    near = L.reachable_texts(docs, L.TEMPLATES, 80)
+    assert "contains(" in near._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert [r.id for r in near.collect()] == [2]
