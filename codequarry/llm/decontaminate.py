@@ -146,7 +146,8 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
     scanned = gram_minima(texts, ["id", *ROW], span, gram).select(
         "id", *ROW, "n_words", F.array_distinct("m").alias("prints"))
     scanned = scanned if carry else stage(scanned)  # read again for its counts
-    touched = stage(scanned.select(*ROW, F.explode(F.coalesce("prints", F.array())).alias("print")).join(prints, "print", "left_semi")
+    # outer: an inner one is given a filter on sizes, which is pushed below all steps of the folding
+    touched = stage(scanned.select(*ROW, F.explode_outer("prints").alias("print")).join(prints, "print", "left_semi")
                     .select(*ROW).distinct())
     near = (winnowed(texts.join(_sized(touched, F.lit(48)), ROW, "left_semi"), ROW, span, gram)
             .join(prints, "print", "left_semi")

@@ -206,3 +206,21 @@ def test_texts_without_marked_letters_are_not_cut(spark):
     near = L.reachable_texts(docs, L.TEMPLATES, 80)
     assert "contains(" in near._jdf.queryExecution().optimizedPlan().toString().lower()
     assert [r.id for r in near.collect()] == [2]
+
+
+def test_carried_rows_do_not_blow_the_plan_up(spark, monkeypatch):
+    """A filter pushed below the folding repeats the texts' words hundreds of times."""
+    sizes, write = [], D.stage
+
+    def stage(df):
+        sizes.append(len(df._jdf.queryExecution().optimizedPlan().toString()))
+        return write(df)
+
+    monkeypatch.setattr(D, "stage", stage)
+    text = " ".join(f"word{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, "Before it " + text), (2, "other words"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, text)], "item_id long, text string")
+    found = D.contamination(docs, items, carry=True)
+    sizes.append(len(found._jdf.queryExecution().optimizedPlan().toString()))
+    assert max(sizes) < 50_000
+    assert sorted((r.id, r.n_words, r.n_hit, r["items"]) for r in found.collect()) == [(1, 32, 30, ["7"]), (2, 2, 0, []), (3, 0, 0, [])]
