@@ -122,6 +122,37 @@ def test_similar_files_against_all_pairs(make_files, monkeypatch):
     assert got == want and len(want) > 20
 
 
+def test_similar_files_of_several_tiles(make_files, monkeypatch):
+    """Blocks travel once per tile that their tile meets, not once per block."""
+    monkeypatch.setattr(SI, "BLOCK", 4)
+    monkeypatch.setattr(SI, "TILES", 2)
+    rows = []
+    for i in range(60):
+        base = random.Random(i // 12).choices([f"w{i}" for i in range(30)], k=12)
+        rows.append(("p", f"f{i:02}", " ".join([*base, f"x{i % 7}"])))
+    sent = []
+    run = SI._tiled
+    monkeypatch.setattr(SI, "_tiled", lambda cut, pairs, tile: sent.append((cut, tile)) or run(cut, pairs, tile))
+    got = {tuple(r) for r in SI.similar_files(make_files(*rows)).collect()}
+    assert got == cosine_pairs(rows) and len(got) > 20
+    cut, tile = sent[0]
+    assert 1 < tile == cut.select("block").distinct().count() // 2
+
+
+def test_similar_counts_stop_where_enough_is_found(make_files, monkeypatch):
+    monkeypatch.setattr(SI, "BLOCK", 4)
+    words = [f"w{i}" for i in range(30)]
+    rows = [("few", f"f{i:02}", " ".join(random.Random(i).choices(words, k=12))) for i in range(30)]
+    rows += [("few", "copy", rows[3][2] + " w1"), ("few", "same1", rows[5][2] + " w2"), ("few", "same2", rows[5][2] + " w2"), ("none", "a", "w1")]
+    rows += [("many", f"f{i:02}", " ".join(words[:20] + words[20:20 + i % 9])) for i in range(40)]
+    want = Counter(r[0] for r in cosine_pairs(rows))
+    assert 0 < want["few"] < 12 < want["many"]
+    exact = {r.project: r.pairs for r in SI.similar_counts(make_files(*rows), enough=10**6).collect()}
+    assert exact == {"few": want["few"], "many": want["many"], "none": 0}
+    some = {r.project: r.pairs for r in SI.similar_counts(make_files(*rows), enough=12).collect()}
+    assert some["few"] == want["few"] and some["none"] == 0 and 12 < some["many"] < want["many"]
+
+
 def test_copies_against_all_pairs(spark, make_files):
     sentences = [" ".join(RNG.choices(["alpha", "beta", "gamma", "delta", "eps-ilon", "zeta"], k=9)) for _ in range(30)]
     sources = [(i, f"Start {sentences[i]}. And {sentences[(i * 7) % 30]} end") for i in range(30)] + [(99, "Tiny words")]
