@@ -309,3 +309,42 @@ def test_contents_are_not_broadcast(spark):
     found = A.file_mentions(files, subjects, 1, 1, {}, hits)
     assert "BroadcastHashJoin" not in _plan(found)
     assert found.count() == 50
+
+
+def test_matching_blocks_are_found_by_their_text(monkeypatch):
+    letters = ["ab", "abc de", "abcdefghijklm nopqrstuvwxyz", "".join(map(chr, range(0x4E00, 0x4E00 + 300)))]
+    pairs = [("", "abc"), ("abc", "")]
+    for n in range(120):
+        a = "".join(RNG.choices(letters[n % 4], k=RNG.choice([1, 40, 199, 200, 201, 500])))
+        at = RNG.randrange(len(a))
+        pairs.append((a, RNG.choice([a[at:] + a[:at], a[:at] + "".join(RNG.choices(letters[n % 4], k=30)) + a[at + 7:]])))
+    want = [sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks()) for a, b in pairs]
+    assert [CP.n_matched(a, b) for a, b in pairs] == want
+    # difflib's own search goes through 500 x 500 equal characters for each of the blocks
+    monkeypatch.setattr(difflib, "SequenceMatcher", None)
+    words = ["".join(RNG.choices("etaoin shr" * 9 + "dlcumwfg", k=8)) for _ in range(6000)]
+    assert 0 < CP.n_matched(" ".join(words), " ".join(reversed(words))) < 54_000
+
+
+def test_words_are_cut_as_text(monkeypatch):
+    texts_ = ["", "One two\r\nthree\rfour_4\u2028five\n\nONE", "\n", "é ß² İx x\x85y ٣ 中文 a-b", "\r", "\none", "x" * 300 + " x", "ab ba"]
+    hashes, size, lines = CP._words_of(texts_)
+    want = [[(w, n) for n, line in enumerate(t.lower().splitlines(), 1) for w in re.findall(r"\w+", line)] for t in texts_]
+    assert size.tolist() == [len(ws) for ws in want]
+    flat = [wn for ws in want for wn in ws]
+    assert lines.tolist() == [n for _, n in flat]
+    by_word = {w: h for (w, _), h in zip(flat, hashes.tolist())}
+    assert [by_word[w] for w, _ in flat] == hashes.tolist() and len(set(by_word.values())) == len(by_word)
+
+
+def test_windows_are_cut_outside_the_jvm(spark, make_files):
+    """The hashes of words and runs are worked out on whole arrays, not value by value in expressions."""
+    files = make_files(("f0", "One two three four\nfive six"), ("f1", None), ("f2", ""), ("f3", "a b"))
+    cut = CP._stretches(files, ["project", "path"], 4)
+    assert "MapInArrow" in cut._jdf.queryExecution().toString()
+    rows = cut.orderBy("at").collect()
+    assert {r.path for r in rows} == {"f0"} and [r.at for r in rows[1:]] == [r.until for r in rows[:-1]]
+    assert rows[0].at == 0 and rows[-1].until == 3
+    spelt = CP._windows(files, cut, ["project", "path"], 4).orderBy("at").collect()
+    assert [(r.at, r["first"], r["last"]) for r in spelt] == [(0, 1, 1), (1, 1, 2), (2, 1, 2)]
+    assert len({r.run for r in spelt}) == 3
