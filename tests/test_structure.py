@@ -86,3 +86,34 @@ def test_native_equals_exact_on_hard_texts(make_files):
         a, b = exact[f"{i}.py"], native[f"{i}.py"]
         assert a.parse_ok == b.parse_ok, text
         assert shape(a) == shape(b), text
+
+
+def test_parser_does_not_enter_expressions(monkeypatch):
+    import ast
+
+    from codequarry.functions.pyfacts import syntax_facts
+    text = ("try:\n    import a\nexcept E:\n    def f(x): pass\nelse:\n    from b import c\nfinally:\n    class D(B):\n"
+            "        def m(self): pass\nmatch q:\n    case 1 if (lambda: 0):\n        def g(a, b, c, d, e, f): pass\n"
+            "x = y = [lambda v: v for _ in z]\nasync def h():\n    with w as u:\n        import d\n")
+    monkeypatch.setattr(ast, "iter_child_nodes", None)  # it hands on every expression
+    facts = syntax_facts(text)
+    assert [(e["line"], e["type"], e["name"]) for e in facts["elements"]] == [
+        (2, "import", "a"), (4, "function", "f"), (6, "import", "from b import c"), (8, "class", "D"),
+        (12, "function", "g"), (13, "variable", "x"), (13, "variable", "y"), (16, "import", "d")]
+    assert [w["name"] for w in facts["wide"]] == ["g"]
+
+
+def test_quality_and_advice_read_only_what_they_need(spark, make_files):
+    from codequarry.operators import rollup as R
+    from codequarry.operators.analysis import analyse_files
+    from codequarry.plans.review import QUALITY, review_advice, review_analysed
+    whole = analyse_files(make_files(("p", "a/x.py", "import os\npassword = 'very-secret'\nif 1:\n    y = 2000\n"),
+                                     ("p", "a/y.js", "// n\nfunction f(a) { return 1234; }\n"), ("q", "z.go", "package main\n")))
+    few = whole.select("project", "path", *QUALITY)
+    full = {r.project: r for r in review_analysed(whole).collect()}
+    for r in R.quality_assessment(few).collect():
+        assert r.asDict() == {"project": r.project, **full[r.project].code_quality.asDict()}
+    assert {r.project: r.quality_score for r in R.ai_quality(few).collect()} == {
+        p: r.ai_summary.quality_score for p, r in full.items()}
+    advice = review_advice(whole.select("project", "path", "language", "elements", "line_count", *QUALITY))
+    assert {r.project: r.recommendations for r in advice.collect()} == {p: r.recommendations for p, r in full.items()}
