@@ -348,3 +348,11 @@ def test_windows_are_cut_outside_the_jvm(spark, make_files):
     spelt = CP._windows(files, cut, ["project", "path"], 4).orderBy("at").collect()
     assert [(r.at, r["first"], r["last"]) for r in spelt] == [(0, 1, 1), (1, 1, 2), (2, 1, 2)]
     assert len({r.run for r in spelt}) == 3
+
+
+def test_classes_need_no_pairs(spark, make_files, monkeypatch):
+    rows = [("p", f"f{i}", t) for i, t in enumerate(["alpha beta", "beta alpha", "gamma", "alpha beta beta", "gamma!", ""])]
+    want = SI.similar_representatives(make_files(*rows))[1].collect()
+    monkeypatch.setattr(SI, "block_pairs", None)
+    got = SI.class_members(make_files(*rows)).collect()
+    assert sorted(got) == sorted(want) and {r.path: r.first for r in got}["f4"] == "f2"
