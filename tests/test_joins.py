@@ -356,3 +356,34 @@ def test_classes_need_no_pairs(spark, make_files, monkeypatch):
     monkeypatch.setattr(SI, "block_pairs", None)
     got = SI.class_members(make_files(*rows)).collect()
     assert sorted(got) == sorted(want) and {r.path: r.first for r in got}["f4"] == "f2"
+
+
+def test_openings_against_all_texts(spark, make_files, monkeypatch):
+    monkeypatch.setattr(CP, "BROADCAST_ROWS", 7)
+    rng = random.Random(5)
+    words = ["Alpha", "beta", "der", "d", "ÉTÉ", "𝔘x𝔘", "a-b", "|", "日本", "İs"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", "\n", ", "]) for _ in range(rng.choice((3, 40, 200)))) for _ in range(60)]
+    texts += [texts[7], "ab" * 300, "x" * 400 + "y", "ab" * 200 + "a\n", "tail " + texts[9]]
+    sources = [(None if i == 3 else i % 62, t) for i, t in enumerate(texts)] + [(70, None), (71, "")]
+    asked = [t[k:k + n] for t in texts for k, n in ((0, 1000), (1, 95), (2, 94), (3, 63), (5, 7), (4, 2), (30, 170))]
+    asked += [t[:100] + "#" + t[101:] for t in texts] + ["", " \t ", " ", "x" * 300, "x" * 402, "ab" * 301]
+    files = make_files(*[(f"f{i}", o) for i, o in enumerate(asked)])
+    src = spark.createDataFrame(sources, "source int, text string").repartition(3)
+    lower = {r.t: r.q for r in spark.createDataFrame([(t,) for t in {*asked, *texts}], "t string").selectExpr(
+        "t", "lower(t) AS q").collect()}
+    want = {}
+    for i, o in enumerate(asked):
+        q = " ".join(lower[o].splitlines()[:10])
+        held = [s for s, t in sources if s is not None and t and q.strip(" \t\n\x0b\f\r") and q in lower[t]]
+        want |= {f"f{i}": min(held)} if held else {}
+    got = {r.path: r.source for r in CP.copy_hits(files, src, opening_lines=10).collect()}
+    assert got == want and len(set(want.values())) > 20
+
+
+def test_openings_that_all_texts_hold_make_no_pairs(spark):
+    src = spark.createDataFrame([(i, f"the end of der tag {i}") for i in range(400)], "source int, content string").repartition(4)
+    asked = ["the", "end of", "nd of d", "der tag", "f der t"]
+    signed = CP._signed(spark.createDataFrame(list(enumerate(asked)), "key int, q string"), ["key"])
+    rows = CP._holding_short(src, signed.select("half", "run", "size").toArrow()).groupBy("run").agg(
+        F.count("*").alias("n"), F.min("source").alias("first")).collect()
+    assert len(rows) == len(asked) and all(r.n <= 8 and r.first == 0 for r in rows)
