@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from codequarry import fixtures as FX
+from codequarry.functions.pyfacts import syntax_facts
 from codequarry.operators import structure as S
+from codequarry.operators.analysis import analyse_files
 
 
 def shape(row):
@@ -117,3 +119,22 @@ def test_quality_and_advice_read_only_what_they_need(spark, make_files):
         p: r.ai_summary.quality_score for p, r in full.items()}
     advice = review_advice(whole.select("project", "path", "language", "elements", "line_count", *QUALITY))
     assert {r.project: r.recommendations for r in advice.collect()} == {p: r.recommendations for p, r in full.items()}
+
+
+def test_only_texts_with_a_wide_function_need_the_parser(make_files):
+    def args(n, between=", "):
+        return between.join(f"a{i}" for i in range(n))
+
+    texts = [f"def f({args(n)}):\n    pass\n" for n in (5, 6, 7)] + [
+        f"x, y = 1, 2\ndef\tf({args(6, ',\n')}): pass", f"undef f({args(9)})", f"def f(a): pass\n# {args(3)}\ndef g({args(6)}): return 1",
+        f"def \\\n  f({args(6)}): pass", f"def g(a, b): return [{args(9)}]", f"class A:\n    def f(self, {args(5)}): pass", f"def\u2003f({args(6)}): pass",
+        f"async def f({args(6)}): pass", "def a(x) { step }", "", "# def\n" * 50 + "a, b, c, d, e, f", f"(def f({args(6)})", f"{args(9)} def f(a)"]
+    files = make_files(*[(f"f{i}{end}", t) for i, t in enumerate(texts) for end in (".py", ".xyz")])
+    want = {f"f{i}{end}": [(w["name"], w["args"]) for w in syntax_facts(t)["wide"]] for i, t in enumerate(texts) for end in (".py", ".xyz") if t}
+    whole = {r.path: r for r in analyse_files(files).collect()}
+    few = analyse_files(files, elements=False)
+    assert "elements" not in few.columns and "summary" not in few.columns
+    for r in few.collect():
+        assert [(w.name, w.args) for w in r.wide_functions] == want[r.path] == [(w.name, w.args) for w in whole[r.path].wide_functions]
+        assert r.quality_score == whole[r.path].quality_score and r.code_smells == whole[r.path].code_smells
+    assert sum(map(bool, want.values())) >= 12
