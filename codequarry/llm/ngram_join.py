@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.llm.blobs import gather, scatter
-from codequarry.llm.shared import components, partitions, sized, stage, text_rows
+from codequarry.llm.shared import ID_ROWS, components, marked, partitions, stage, text_rows
 from codequarry.llm.words import U64, mix, shingle_set
 
 #: Ratio of the largest to the smallest size of a band; 1.3 gives the fewest signatures per set.
@@ -291,7 +291,11 @@ def _verified(size: int, percent: int):
 
 
 def _used(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    return texts.join(sized(stage(ids.select("id").distinct())), "id", "left_semi")
+    """The texts of the ids, to be joined with them. Where the ids are many, a few other texts are among these."""
+    ids = stage(ids.select("id").distinct())
+    if ids.count() <= ID_ROWS:
+        return texts.join(F.broadcast(ids), "id", "left_semi")
+    return marked(texts, ["id"], ids, "used").where("used").drop("used")
 
 
 def _compare(texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:

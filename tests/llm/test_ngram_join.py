@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from codequarry.llm import ngram_join as J
+from codequarry.llm import shared
 from codequarry.llm.words import pack, shingle_set, unpack
 
 DOCS = "doc_id long, text string, id long, component string, print string, n int"
@@ -147,3 +148,31 @@ def test_planes_round_trip():
     values = np.array([0, 1, 2 ** 40 + 7, 2 ** 63 + 5], dtype=np.uint64)
     assert (unpack(pack(values)) == values).all()
     assert (unpack(pack(values, 6), 6) == values & ~np.uint64(0xFFFF)).all()
+
+
+def test_many_ids_travel_as_bits(spark, monkeypatch):
+    rows = family(1, 60, 120, 9) + family(2, 30, 400, 36, 100)
+    monkeypatch.setattr(J, "ID_ROWS", 0)
+    assert run(spark, rows, 5, 80) == brute(rows, 5, 80)
+
+    monkeypatch.undo()
+    texts = spark.range(300_000).selectExpr("id", "cast(id AS string) AS text")
+    used = J._used(texts, texts.where("id % 2 = 0"))
+    plan = used._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and "bitmap_construct_agg" in plan  # the driver gets bits, not 150,000 ids
+    found = {r.id for r in used.collect()}
+    assert len(found) < 152_000 and found >= set(range(0, 300_000, 2))
+
+
+def test_rows_of_many_ids_are_taken_out(spark, monkeypatch):
+    docs = spark.range(50_000).selectExpr("id", "id % 7 AS body", "cast(id AS string) AS text")
+    gone = shared.stage(docs.where("id % 3 = 0").select("id", "body"))
+    want = sorted(r.id for r in docs.where("id % 3 != 0").collect())
+    for rows in (0, 100_000):
+        monkeypatch.setattr(shared, "ID_ROWS", rows)
+        left = shared.without(docs, gone)
+        assert left.columns == docs.columns and sorted(r.id for r in left.collect()) == want
+    monkeypatch.setattr(shared, "ID_ROWS", 0)
+    monkeypatch.setattr(shared, "MARK_BITS", 1 << 15)  # most rows share a bit with some id
+    assert sorted(r.id for r in shared.without(docs, gone).collect()) == want
+    assert shared.without(docs, gone.limit(0)).count() == 50_000
