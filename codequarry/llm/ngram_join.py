@@ -31,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.llm.blobs import gather, scatter
-from codequarry.llm.shared import ID_ROWS, components, marked, partitions, stage, text_rows
+from codequarry.llm.shared import ID_ROWS, components, partitions, stage, text_rows
 from codequarry.llm.words import U64, mix, shingle_set
+from codequarry.operators.spread import marked
 
 #: Ratio of the largest to the smallest size of a band; 1.3 gives the fewest signatures per set.
 BAND_RATIO = 1.3

@@ -8,11 +8,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codequarry.operators.spread import marked
+
 #: Rows of one or two numbers that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Ids of documents that may be broadcast as rows, which cost the driver some 75 bytes each and as much again
-#: while they are sent; more are broadcast as MARK_BITS bits, a multiple of 2**15.
-ID_ROWS, MARK_BITS = 100_000, 1 << 26
+#: while they are sent; more are broadcast as bits (`marked`).
+ID_ROWS = 100_000
 #: Texts of one Arrow batch.
 BATCH_ROWS = 1_000
 
@@ -42,23 +44,6 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def marked(df: DataFrame, on: list[str], ids: DataFrame, mark: str) -> DataFrame:
-    """df with `mark`, which is true of all rows whose columns `on` are among those of the ids, and of few others.
-
-    The ids travel as bits at places that their hashes choose, of which the driver holds MARK_BITS at most.
-    """
-    def placed(rows: DataFrame) -> DataFrame:
-        slot = F.pmod(F.xxhash64(*on), F.lit(MARK_BITS))
-        return rows.withColumn("_row", F.shiftright(slot, 15)).withColumn("_at", slot.bitwiseAND(F.lit((1 << 15) - 1)).cast("int"))
-
-    # dealt before they are put together: a task's rows of bits would be far larger than its ids
-    bits = (placed(ids.select(*on)).select("_row", "_at").repartition(partitions(df.sparkSession), "_row")
-            .groupBy("_row").agg(F.bitmap_construct_agg("_at").alias("_bits")))
-    byte = F.conv(F.hex(F.substring("_bits", F.shiftright("_at", 3) + 1, F.lit(1))), 16, 10).cast("int")
-    found = placed(df).join(F.broadcast(bits), "_row", "left")
-    return found.select(*df.columns, F.coalesce(F.getbit(byte, F.col("_at").bitwiseAND(F.lit(7))) == 1, F.lit(False)).alias(mark))
-
-
 def without(df: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of df that are not among those of `gone`, a staged frame of some of its columns. Beyond
     ID_ROWS only rows that bits cannot tell from them are shuffled."""

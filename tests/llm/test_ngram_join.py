@@ -10,6 +10,7 @@ import pytest
 from codequarry.llm import ngram_join as J
 from codequarry.llm import shared
 from codequarry.llm.words import pack, shingle_set, unpack
+from codequarry.operators import spread
 
 DOCS = "doc_id long, text string, id long, component string, print string, n int"
 
@@ -173,6 +174,6 @@ def test_rows_of_many_ids_are_taken_out(spark, monkeypatch):
         left = shared.without(docs, gone)
         assert left.columns == docs.columns and sorted(r.id for r in left.collect()) == want
     monkeypatch.setattr(shared, "ID_ROWS", 0)
-    monkeypatch.setattr(shared, "MARK_BITS", 1 << 15)  # most rows share a bit with some id
+    monkeypatch.setattr(spread, "MARK_BITS", 1 << 15)  # most rows share a bit with some id
     assert sorted(r.id for r in shared.without(docs, gone).collect()) == want
     assert shared.without(docs, gone.limit(0)).count() == 50_000
