@@ -12,7 +12,8 @@ Grams that only one document has are found first, and their pieces stay where th
 inside a batch is settled there: a piece goes on once, with its smallest document. Grams that very
 many documents have are split up: their strings travel one by one, dealt by their own hash. Each
 task then orders the suffixes of the pieces it got, some megabytes at a time; recursion ends where
-the names stand for `window` bytes.
+the names stand for `window` bytes. Pieces without a string whose hash a piece of another document
+has are left aside before, and so are pieces that equal one of a smaller document: they lose all.
 
 One array over the whole corpus would give the same rows, but each of its sorts shuffles a place and
 a name, 9 bytes at least, per byte of text.
@@ -181,6 +182,27 @@ def repeats_in(pieces: bytes, lengths: np.ndarray, ids: np.ndarray, window: int)
     return piece, found[:, 0] - starts[piece], found[:, 1] - starts[piece]
 
 
+def _ramps(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ..., n numbers each, one after the other."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - first, n)
+
+
+def meeting(data: np.ndarray, lengths: np.ndarray, ids: np.ndarray, window: int) -> np.ndarray:
+    """Which pieces, of these lengths, hold a string of `window` bytes that has the hash of one in a piece of another id."""
+    hashes = windows(data.astype(U64) + U64(1), window)
+    owner = np.repeat(np.arange(len(lengths)), lengths)[:len(hashes)]
+    whole = np.flatnonzero(np.arange(window, window + len(hashes)) <= np.cumsum(lengths)[owner])
+    out = np.zeros(len(lengths), dtype=bool)
+    if len(whole):
+        order = whole[np.argsort(hashes[whole])]
+        hashes, owner = hashes[order], owner[order]
+        start = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+        of = ids[owner]
+        several = np.minimum.reduceat(of, start) != np.maximum.reduceat(of, start)
+        out[owner[np.repeat(several, np.diff(np.append(start, len(owner))))]] = True
+    return out
+
+
 # dealing out
 
 def least_grams(data: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -433,17 +455,41 @@ def _pieces(window: int, gram: int, hot: np.ndarray, buckets: int):
     return run
 
 
-def _sliced(rows: list[dict]) -> Iterator[tuple[bytes, list[np.ndarray]]]:
-    """(pieces, [lengths, ids, counts, no, at]) of a few slices of a bucket after the other."""
-    lengths, slices, ids, counts, no, at = (
-        np.concatenate([np.frombuffer(r[f"c{i}"], dtype=np.int64) for r in rows]) for i in range(6))
-    data = np.frombuffer(b"".join(r["c6"] for r in rows), dtype=np.uint8)
-    load = np.cumsum(np.bincount(slices, weights=lengths, minlength=SLICES)) // SLICE_BYTES
+def equal_to_earlier(data: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which pieces, of these lengths, equal one of a smaller id."""
+    raw, ends, first = data.tobytes(), np.cumsum(lengths), {}
+    same = np.fromiter((first.setdefault(raw[a:b], i) for i, (a, b) in enumerate(zip((ends - lengths).tolist(), ends.tolist()))),
+                       np.int64, len(lengths))
+    least = ids.copy()
+    np.minimum.at(least, same, ids)
+    return ids > least[same]
+
+
+def _opened(rows: list[dict]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """All pieces of a bucket, and [lengths, slices, ids, counts, no, at]."""
+    return (np.frombuffer(b"".join(r["c6"] for r in rows), dtype=np.uint8),
+            [np.concatenate([np.frombuffer(r[f"c{i}"], dtype=np.int64) for r in rows]) for i in range(6)])
+
+
+def _sliced(data: np.ndarray, columns: list[np.ndarray], gone: np.ndarray, window: int) -> Iterator[tuple[bytes, list[np.ndarray]]]:
+    """(pieces, [lengths, ids, counts, no, at]) of a few slices of a bucket after the other: those that
+    are not gone and meet others."""
+    lengths, slices, ids, counts, no, at = columns
+    load = np.cumsum(np.bincount(slices, weights=np.where(gone, 0, lengths), minlength=SLICES)) // SLICE_BYTES
     of = load.astype(np.int64)[slices]
-    for k in np.unique(of):
-        mine = of == k
-        places = np.repeat(mine, counts)
-        yield data[np.repeat(mine, lengths)].tobytes(), [lengths[mine], ids[mine], counts[mine], no[places], at[places]]
+    order = np.flatnonzero(~gone)
+    order = order[np.argsort(of[order], kind="stable")]
+    begin, first = np.cumsum(lengths) - lengths, np.cumsum(counts) - counts
+    edge = np.concatenate(([0], np.flatnonzero(np.diff(of[order])) + 1, [len(order)]))
+    for a, b in zip(edge[:-1], edge[1:]):
+        mine = order[a:b]
+        text = data[_ramps(begin[mine], lengths[mine])]
+        met = meeting(text, lengths[mine], ids[mine], window)
+        if not met.any():
+            continue
+        text, mine = text[np.repeat(met, lengths[mine])], mine[met]
+        which = _ramps(first[mine], counts[mine])
+        yield text.tobytes(), [lengths[mine], ids[mine], counts[mine], no[which], at[which]]
 
 
 def _ordered(window: int, buckets: int):
@@ -454,14 +500,23 @@ def _ordered(window: int, buckets: int):
             settled, opened = [r for r in rows if r["kind"] == 0], [r for r in rows if r["kind"] == 1]
             if settled:
                 yield from home.add(_columns(settled, [8, 4, 5, 5]))
-            for pieces, (lengths, ids, counts, no, at) in _sliced(opened) if opened else ():
+            if not opened:
+                continue
+            # a piece that another batch has too loses all, but in its smallest document
+            data, columns = _opened(opened)
+            lengths, _, ids, counts, no, at = columns
+            gone = equal_to_earlier(data, lengths, ids)
+            many = counts[gone]
+            which = _ramps((np.cumsum(counts) - counts)[gone], many)
+            yield from home.add([np.repeat(ids[gone], many).view(U64), _tall(no[which], 4), _tall(at[which], 5),
+                                 _tall(at[which] + np.repeat(lengths[gone], many), 5)])
+            for pieces, (lengths, ids, counts, no, at) in _sliced(data, columns, gone, window):
                 piece, first, end = repeats_in(pieces, lengths, ids, window)
                 if not len(piece):
                     continue
                 # every place of the piece loses the same bytes
-                begin = np.cumsum(counts) - counts
                 many = counts[piece]
-                which = np.repeat(begin[piece], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                which = _ramps((np.cumsum(counts) - counts)[piece], many)
                 shift = at[which]
                 yield from home.add([np.repeat(ids[piece], many).view(U64), _tall(no[which], 4),
                                      _tall(np.repeat(first, many) + shift, 5), _tall(np.repeat(end, many) + shift, 5)])

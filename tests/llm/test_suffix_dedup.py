@@ -88,3 +88,29 @@ def test_rows_of_one_id_are_judged_apart(spark):
 
 def test_empty_table(spark):
     assert run(spark, [], 50) == []
+
+
+def test_only_pieces_that_meet_are_ordered(monkeypatch):
+    rng = random.Random(4)
+    held, ordered = S._Held(), []
+    gram, passage = b"a gram that many have", b"a passage of sixty bytes that two of the documents have: both"
+    texts = [bytes(rng.choices(range(97, 123), k=30)) + gram + bytes(rng.choices(range(97, 123), k=30)) for _ in range(500)]
+    texts[7] += passage
+    texts[400] += passage
+    for i, t in enumerate(texts):
+        held.add(t, 0, i, 0, 0)
+    held.add(b"x" * 120, 0, 900, 0, 0)  # repeats only itself
+    own = S.suffix_order
+    monkeypatch.setattr(S, "suffix_order", lambda text, depth, reach=1: (ordered.append(len(text)) if reach == 1 else None, own(text, depth, reach))[1])
+    again = S._Held()  # of another batch
+    for i, t in enumerate(texts[:7]):
+        again.add(t, 0, 1000 + i, 0, 5)
+    batches = [b for h in (held, again) for b in h.rows(4)]
+    out = [r for b in S._ordered(50, 4)(batches) for r in b.to_pylist()]
+    assert sum(ordered) == len(texts[7]) + len(texts[400]) + 2  # all 507 before
+    ids, _, first, end = S._columns(out, [8, 4, 5, 5])
+    got = sorted(zip(ids.tolist(), S._low(first, 5).tolist(), S._low(end, 5).tolist()))
+    assert got == [(400, 81, 81 + len(passage)), *((1000 + i, 5, 5 + 81) for i in range(7))]
+    lengths, ids = np.array([len(t) for t in texts]), np.arange(500)
+    assert np.flatnonzero(S.meeting(np.frombuffer(b"".join(texts), np.uint8), lengths, ids, 50)).tolist() == [7, 400]
+    assert not S.meeting(np.zeros(0, np.uint8), lengths[:0], ids[:0], 50).any()
