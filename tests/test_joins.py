@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +140,31 @@ def test_similar_files_of_several_tiles(make_files, monkeypatch):
     assert 1 < tile == cut.select("block").distinct().count() // 2
 
 
+def test_blocks_travel_packed(make_files, monkeypatch):
+    """A block is one row, without the terms that only one file has, and its vectors can be worked out from it."""
+    monkeypatch.setattr(SI, "BLOCK", 16)
+    words = [f"w{i}" for i in range(40)]
+    rows = [("p", f"f{i:02}", " ".join([*random.Random(i // 4).choices(words, k=14), *[f"only{i}x{k}" for k in range(1 + i % 3)]])) for i in range(60)]
+    sent = []
+    run = SI._tiled
+    monkeypatch.setattr(SI, "_tiled", lambda cut, pairs, tile: sent.append((cut, pairs)) or run(cut, pairs, tile))
+    got = {tuple(r) for r in SI.similar_files(make_files(*rows)).collect()}
+    assert got == cosine_pairs(rows) and len(got) > 20
+    cut, pairs = sent[0]
+    table = cut.toArrow()
+    assert table.num_rows == cut.select("block").distinct().count() < 10
+    blocks = [SI._Block(table.combine_chunks(), i) for i in range(table.num_rows)]
+    assert sum(b.n for b in blocks) == 60 and len(set(np.concatenate([b.terms for b in blocks]).tolist())) <= 40
+    assert all((np.bincount(b.row, b.weight ** 2, b.n) < 1).all() for b in blocks)  # norms count all terms
+    # blocks that share an indexed term meet, however many are marked at once
+    index = {(b, t) for b, ts in zip(table["block"].to_pylist(), table["index"].to_pylist()) for t in ts}
+    want = sorted({(i, j) for i, t in index for j, u in index if t == u and i <= j})
+    assert sorted((r.i, r.j) for r in pairs.collect()) == want
+    monkeypatch.setattr(SI, "_SQUARE", 2)
+    monkeypatch.setattr(SI, "TERMS", 3)
+    assert sorted((r.i, r.j) for r in SI.block_pairs(cut, 0.7).collect()) == want
+
+
 def test_similar_counts_stop_where_enough_is_found(make_files, monkeypatch):
     monkeypatch.setattr(SI, "BLOCK", 4)
     words = [f"w{i}" for i in range(30)]
